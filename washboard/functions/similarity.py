@@ -163,19 +163,26 @@ def best_choice(value: str | None, choices: Sequence[str], at_least: float = 0.0
 BEST_TYPE = "struct<choice:string,score:int>"
 
 
-def best_choice_udf(choices: Sequence[str], at_least: float = 0.0, fold_case: bool = False):
-    """Pandas UDF value -> (choice, score). Each batch scores its distinct values once.
+def best_choice_udf(choices: dict[int, Sequence[str]], at_least: float = 0.0, fold_case: bool = False):
+    """Pandas UDF (slot, value) -> (choice, score), with one list of choices per slot.
 
-    ``fold_case`` compares with lower-cased choices and still returns the choice as written."""
-    choices = tuple(sorted(set(choices)))
-    compare = {c.lower(): c for c in reversed(choices)} if fold_case else {c: c for c in choices}
+    Each batch scores its distinct values once. ``fold_case`` compares with lower-cased choices and still
+    returns the choice as written."""
+    compare = {
+        slot: {c.lower() if fold_case else c: c for c in sorted(set(many), reverse=True)}
+        for slot, many in choices.items()
+    }
 
     @F.pandas_udf(BEST_TYPE)
-    def score(values: pd.Series) -> pd.DataFrame:
-        found = {v: best_choice(v, tuple(compare), at_least) for v in values.dropna().unique()}
-        hits = [found.get(v) if isinstance(v, str) else None for v in values]
-        return pd.DataFrame(
-            {"choice": [compare[h[0]] if h else None for h in hits], "score": [h[1] if h else None for h in hits]}
-        ).astype({"score": "Int32"})
+    def score(slots: pd.Series, values: pd.Series) -> pd.DataFrame:
+        pairs = list(zip(slots, values))
+        found = {
+            (slot, v): best_choice(v, tuple(compare.get(slot, ())), at_least) for slot, v in set(pairs) if v
+        }
+        hits = [found.get(p) for p in pairs]
+        return pd.DataFrame({
+            "choice": [compare[p[0]][h[0]] if h else None for p, h in zip(pairs, hits)],
+            "score": pd.array([h[1] if h else None for h in hits], dtype="Int32"),
+        })
 
     return score
