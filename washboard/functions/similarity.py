@@ -17,14 +17,19 @@ Definitions (all scores 0..100):
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from washboard.functions.text import as_col
 
+# the scorer travels to the executors as code, so they need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def indel_ratio(a, b) -> Column:
     """``200 * lcs(a, b) / (len(a) + len(b))``, two empty texts score 100.

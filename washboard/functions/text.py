@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from washboard import domain
 
 # Java's \s is narrower than Python's whitespace; this class covers the same code points.
 WHITESPACE = r"\s\x0B\x1c-\x1f\x85\p{Z}"
+# Single characters in a class are one table look-up each in Java, ranges are not; over many cells the
+# spelled-out classes run several times faster.
+LETTERS = string.ascii_letters
+LETTERS_DIGITS = string.ascii_letters + string.digits
 
 
 def as_col(c: Column | str) -> Column:
@@ -27,10 +33,12 @@ def collapse_ws(c) -> Column:
 
 def null_like(c, tokens=domain.NULL_TOKENS, *, stripped: bool = False) -> Column:
     """True for null and for texts that stand for null. ``stripped`` says that the column already went
-    through ``collapse_ws``, which saves a regular expression per row."""
+    through ``collapse_ws``, so that a look at the length decides most cells."""
     c = as_col(c)
-    text = F.trim(c) if stripped else strip_ws(c)
-    return c.isNull() | F.lower(text).isin(*tokens)
+    if not stripped:
+        return c.isNull() | F.lower(strip_ws(c)).isin(*tokens)
+    longest = max(map(len, tokens), default=0)
+    return c.isNull() | ((F.length(c) <= longest) & F.lower(c).isin(*tokens))
 
 
 def na_on_load(c, tokens=domain.NA_ON_LOAD) -> Column:
@@ -43,7 +51,7 @@ def strip_special(c, safe: bool = False) -> Column:
     """Replace disallowed characters by a space, collapse spaces, strip.
 
     Illegal characters and whitespace both end up as one space per run, so one pass does it."""
-    keep = r"A-Za-z0-9\-." + (r",#/&'()" if safe else "")
+    keep = LETTERS_DIGITS + r"\-." + (r",#/&'()" if safe else "")
     return F.trim(F.regexp_replace(as_col(c), f"[^{keep}]+", " "))
 
 
@@ -52,8 +60,10 @@ def title_case(c) -> Column:
 
     ``initcap`` only looks at spaces, so a marker and a space go before each letter that follows another
     kind of character, and come out again afterwards. All of it stays in generated code."""
-    marked = F.regexp_replace(as_col(c), "([^A-Za-z ])(?=[A-Za-z])", "$1\u0001 ")
-    return F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
+    c = as_col(c)
+    marked = F.regexp_replace(c, f"([^{LETTERS} ])(?=[{LETTERS}])", "$1\u0001 ")
+    inner = F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
+    return F.when(c.rlike(f"[^{LETTERS} ][{LETTERS}]"), inner).otherwise(F.initcap(c))
 
 
 def digits_only(c) -> Column:

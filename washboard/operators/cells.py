@@ -59,25 +59,32 @@ def apply_casing(t: TrackedFrame, rules, pack: RulePack = RulePack(), *, strippe
     return t.update(edits)
 
 
-def bool_edit(v: Column, present: Column, pack: RulePack) -> Edit:
-    key = F.lower(text.strip_ws(v))
+def prepared(rule: ColumnRule, v: Column) -> Column | None:
+    """The reduced text a check looks at several times; it gets a projection of its own."""
+    if rule.kind == "cnic":
+        return numbers.id_digits(v)
+    if rule.kind == "cell_no":
+        return text.phone_digits(v)
+    if rule.kind == "gender":
+        return text.gender_key(v)
+    if rule.kind == "bool":
+        return F.lower(text.strip_ws(v))
+    return None
+
+
+def bool_edit(v: Column, key: Column, present: Column, pack: RulePack) -> Edit:
     known = F.when(key.isin(*pack.no_values), "No").when(key.isin(*pack.yes_values), "Yes")
-    return Edit(
-        F.when(present & known.isNotNull(), known).otherwise(v), "BOOL_STANDARDIZED", present & known.isNull()
-    )
+    return Edit(F.when(present, F.coalesce(known, v)).otherwise(v), "BOOL_STANDARDIZED", present & known.isNull())
 
 
-def gender_edit(v: Column, present: Column, pack: RulePack) -> Edit:
+def gender_edit(v: Column, key: Column, present: Column, pack: RulePack) -> Edit:
     spellings = {s: label for label, many in pack.gender.items() for s in many}
-    known = text.literal_lookup(spellings, text.gender_key(v))
-    return Edit(
-        F.when(present & known.isNotNull(), known).otherwise(v), "GENDER_STANDARDIZED", present & known.isNull()
-    )
+    known = text.literal_lookup(spellings, key)
+    return Edit(F.when(present, F.coalesce(known, v)).otherwise(v), "GENDER_STANDARDIZED", present & known.isNull())
 
 
-def cnic_edit(v: Column, present: Column, rule: ColumnRule, pack: RulePack) -> Edit:
-    """Format and validity of an identity number; repeats are found by ``keys.key_columns``."""
-    digits = numbers.id_digits(v)
+def cnic_edit(v: Column, digits: Column, present: Column, rule: ColumnRule, pack: RulePack) -> Edit:
+    """Format and validity of an identity number; repeats are found by ``keys.decide_flags``."""
     long_enough = F.length(digits) == domain.ID_LENGTH
     invalid = present & (
         ~long_enough | numbers.is_fake_id(digits, pack.fake_ids) | numbers.is_repeated_digit(digits)
@@ -93,8 +100,7 @@ def id_edit(v: Column, present: Column, rule: ColumnRule) -> Edit:
     return Edit(review=bad | ~present if rule.non_null else bad)
 
 
-def phone_edit(v: Column, present: Column) -> Edit:
-    digits = text.phone_digits(v)
+def phone_edit(v: Column, digits: Column, present: Column) -> Edit:
     valid = present & (F.length(digits) == domain.PHONE_LENGTH) & digits.startswith(domain.PHONE_START)
     return Edit(
         F.when(valid, F.concat(F.lit("0"), digits)).otherwise(v), "CELL_NO_NORMALIZED", present & ~valid
@@ -113,19 +119,23 @@ def coord_edit(v: Column, present: Column, rule: ColumnRule) -> Edit:
 
 def check_values(t: TrackedFrame, rules, pack: RulePack = RulePack(), *, stripped=True) -> TrackedFrame:
     """The one-projection kinds: yes/no, gender, identity numbers, ids, phones, numbers, coordinates."""
+    helpers = {f"key{t.slot(r.name)}": prepared(r, t.value(r.name)) for r in rules}
+    helpers = {k: c for k, c in helpers.items() if c is not None}
+    if helpers:
+        t = t.with_df(t.df.withColumns(helpers))
     edits = {}
     for rule in rules:
-        v = t.value(rule.name)
+        v, key = t.value(rule.name), F.col(f"key{t.slot(rule.name)}")
         # false rather than null for null cells, so that review flags stay two-valued
         present = F.coalesce(~text.null_like(v, pack.null_tokens, stripped=stripped), F.lit(False))
         if rule.kind == "bool":
-            edit = bool_edit(v, present, pack)
+            edit = bool_edit(v, key, present, pack)
         elif rule.kind == "gender":
-            edit = gender_edit(v, present, pack)
+            edit = gender_edit(v, key, present, pack)
         elif rule.kind == "cnic":
-            edit = cnic_edit(v, present, rule, pack)
+            edit = cnic_edit(v, key, present, rule, pack)
         elif rule.kind == "cell_no":
-            edit = phone_edit(v, present)
+            edit = phone_edit(v, key, present)
         elif rule.kind == "float":
             edit = coord_edit(v, present, rule)
         elif rule.is_id:
@@ -133,7 +143,8 @@ def check_values(t: TrackedFrame, rules, pack: RulePack = RulePack(), *, strippe
         else:
             edit = numeric_edit(v, present)
         edits[rule.name] = Edit(edit.value, edit.step, F.coalesce(edit.review, F.lit(False)))
-    return t.update(edits)
+    t = t.update(edits)
+    return t.with_df(t.df.drop(*helpers))
 
 
 def apply_rules(t: TrackedFrame, pack: RulePack) -> TrackedFrame:

@@ -31,6 +31,8 @@ def build_session(app: str = "washboard", master: str | None = None, **conf) ->
         "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
         "spark.sql.parquet.compression.codec": "zstd",
         "spark.ui.showConsoleProgress": "false",
+        # recording a call site for every column expression costs more than building the plan
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():
