@@ -56,13 +56,15 @@ def rates_of(sample: DataFrame, pack: RulePack) -> DataFrame:
     )
 
 
-def sampled_rates(t: TrackedFrame, pack: RulePack) -> list[dict]:
-    """Rates of every candidate column, one dict each.
+def sampled_rates(t: TrackedFrame, pack: RulePack, source: DataFrame | None = None) -> list[dict]:
+    """Rates of every candidate column, one dict each. ``source`` is any table with all row indexes; the one
+    at the start of the plan is the cheapest to read them from.
 
     The sample needs the first rows only, so a short stretch of row indexes is read first (a pushed-down
     filter) and a longer one just for columns that did not fill their sample in it."""
     open_names = {t.slot(n): n for n in date_candidates(t.names, pack)}
-    span = t.df.agg(F.min(ROW_COLUMN).alias("low"), F.max(ROW_COLUMN).alias("high")).first() if open_names else None
+    index = t.df if source is None else source
+    span = index.agg(F.min(ROW_COLUMN).alias("low"), F.max(ROW_COLUMN).alias("high")).first() if open_names else None
     results, stretch = [], FIRST_STRETCH
     while open_names and span["low"] is not None:
         whole = span["low"] + stretch > span["high"]
@@ -89,10 +91,10 @@ def has_date_name(name: str, pack: RulePack) -> bool:
     return any(h in name for h in pack.date_name_hints) or name.endswith(domain.DATE_NAME_SUFFIX)
 
 
-def decide_dates(t: TrackedFrame, pack: RulePack) -> list[str]:
+def decide_dates(t: TrackedFrame, pack: RulePack, source: DataFrame | None = None) -> list[str]:
     """Names of the columns to standardise."""
     return [
-        r["column"] for r in sampled_rates(t, pack)
+        r["column"] for r in sampled_rates(t, pack, source)
         if is_date_column(has_date_name(r["column"], pack), r["time_rate"], r["signal_rate"], r["parse_rate"])
     ]
 

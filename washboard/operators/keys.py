@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from washboard import domain
 from washboard.functions import numbers, text
 from washboard.operators.lookup import BROADCAST_ROWS, bounded_key, left_by_row, members_of
-from washboard.operators.tracked import ROW_COLUMN, Edit, TrackedFrame
+from washboard.operators.tracked import ROW_COLUMN, TrackedFrame
 from washboard.rules import RulePack
 from washboard.session import stage
 
@@ -80,7 +80,9 @@ def add_keys(t: TrackedFrame, pack: RulePack, key_column: str | None = None) ->
     new = {"base_key": base_key(t.original(source), row, pack.null_tokens) if source else row_label(row)}
     for n in ids:
         new[f"id_key{t.slot(n)}"] = text.strip_ws(t.value(n))
+        new[f"id_text{t.slot(n)}"] = t.value(n)
     for n in cnics:
+        new[f"id_text{t.slot(n)}"] = t.value(n)
         digits = numbers.id_digits(t.value(n))
         new[f"id_key{t.slot(n)}"] = F.when(F.length(digits) == domain.ID_LENGTH, digits)
     return t.with_df(t.df.withColumns(new))
@@ -123,7 +125,8 @@ def decide_flags(t: TrackedFrame, pack: RulePack, key_column: str | None = None)
 def apply_flags(t: TrackedFrame, pack: RulePack, flags: DataFrame) -> TrackedFrame:
     """Join the flags to the rows, flag the repeated ids for review and add the record columns.
 
-    Comes before the value checks, so that the review value is the text before formatting."""
+    Comes after all other steps: a repeated cell that is flagged already keeps its review value, which is the
+    same text or the one of a later step; any other gets the text it had before formatting."""
     ids, cnics = unique_columns(t.names, pack)
     slots = [t.slot(n) for n in ids + cnics]
     names = [f"repeat{s}" for s in slots] + ["later_key", "same_row"]
@@ -136,4 +139,9 @@ def apply_flags(t: TrackedFrame, pack: RulePack, flags: DataFrame) -> TrackedFra
         RECORD_KEY: record_key(F.col("base_key"), F.col(ROW_COLUMN), ~F.col("later_key")),
         "is_dup": is_dup, "is_dup_cnic": is_dup_cnic, "duplicate_row": F.col("same_row"),
     }))
-    return t.update({n: Edit(review=F.col(f"repeat{t.slot(n)}")) for n in ids + cnics})
+    reviews = {}
+    for n, slot in zip(ids + cnics, slots):
+        repeat, known = F.col(f"repeat{slot}"), t.flagged(n)
+        reviews[f"r{slot}"] = F.when(repeat & ~known, F.col(f"id_text{slot}")).otherwise(t.review_value(n))
+        reviews[f"f{slot}"] = known | repeat
+    return t.with_df(t.df.withColumns(reviews))

@@ -140,14 +140,15 @@ class TrackedFrame:
     def changes(self) -> Column:
         """Map column -> [new value, step text] of the changed cells."""
         return self._touched_map(
-            lambda n: self.mask(n) != 0, lambda n: F.array(self.value(n), step_text(self.mask(n)))
+            lambda n: self.mask(n) != 0, lambda n: F.array(self.value(n), step_text(self.mask(n))),
+            value_type="array<string>",
         )
 
     def reviews(self, duplicate_row: Column | None = None) -> Column:
         """Map column -> review value of the flagged cells."""
         extra = []
         if duplicate_row is not None:
-            extra = [F.when(duplicate_row, F.struct(F.lit(RECORD_COLUMN).alias("key"), F.lit(DUPLICATE_ROW).alias("value")))]
+            extra = [(duplicate_row, F.struct(F.lit(RECORD_COLUMN).alias("key"), F.lit(DUPLICATE_ROW).alias("value")))]
         return self._touched_map(self.flagged, self.review_value, extra)
 
     def touched_originals(self) -> Column:
@@ -158,8 +159,9 @@ class TrackedFrame:
         """Names of the changed or flagged columns."""
         return F.array_union(F.map_keys(self.changes()), F.map_keys(self.reviews()))
 
-    def _touched_map(self, touched, value, extra=()) -> Column:
-        entries = [
-            F.when(touched(n), F.struct(F.lit(n).alias("key"), value(n).alias("value"))) for n in self.names
-        ]
-        return F.map_from_entries(F.array_compact(F.array(*entries, *extra)))
+    def _touched_map(self, touched, value, extra=(), value_type="string") -> Column:
+        # flattening lists of no or one entry stays in generated code, filtering entries would not
+        entries = [(touched(n), F.struct(F.lit(n).alias("key"), value(n).alias("value"))) for n in self.names]
+        none = F.array().cast(f"array<struct<key:string,value:{value_type}>>")
+        lists = [F.when(condition, F.array(entry)).otherwise(none) for condition, entry in [*entries, *extra]]
+        return F.map_from_entries(F.flatten(F.array(*lists)))

@@ -1,9 +1,10 @@
 """The whole cleaning run: every step in order, decisions taken from the data in between.
 
-The plan is built twice from the same steps. The first time without flags, to decide on labels, date
-columns, banks and column types and to write the narrow table of keys; the second time with the flags of
-repeated keys joined in. Both are lazy, and each decision job reads only the columns it needs. Rows only
-move when many of them are flagged as repeats; then once, by row index.
+Four questions are put to the data: which labels and banks the distinct values stand for, which columns hold
+dates, which type a column without a rule has. Each is a job over the columns it concerns. Then the rows
+with their history are written once; repeated keys are looked for on a narrow table of keys read from there,
+and all outputs read the written rows. Rows only move when many of them are flagged as repeats; then once,
+by row index.
 """
 
 from __future__ import annotations
@@ -67,10 +68,6 @@ class CleanResult:
     def review_by_column(self) -> DataFrame:
         return summary.review_by_column(self.tracked)
 
-    def staged(self) -> "CleanResult":
-        """The same result read from a written table; use it when several outputs are wanted."""
-        return CleanResult(self.tracked.with_df(stage(self.tracked.df, "cleaned")), self.decisions)
-
 
 def first_steps(df: DataFrame, pack: RulePack, row: str = ROW_COLUMN, key_column: str | None = None) -> TrackedFrame:
     """Trim and null steps, with the key texts carried along."""
@@ -78,36 +75,35 @@ def first_steps(df: DataFrame, pack: RulePack, row: str = ROW_COLUMN, key_column
     return keys.add_keys(t, pack, key_column)
 
 
-def decide(t: TrackedFrame, pack: RulePack) -> tuple[Decisions, TrackedFrame]:
-    """Decisions for a table after the first steps, and the table with every value step applied."""
-    d = Decisions()
+def run_steps(t: TrackedFrame, pack: RulePack, known: Decisions | None = None) -> tuple[TrackedFrame, Decisions]:
+    """All steps after the first ones, deciding on the way. ``known`` decisions are used as they are."""
+    d, source = known or Decisions(), t.df
     t = cells.apply_rules(t, pack)
-    d.labels = canonical.decide_labels(t, pack)
+    if not known:
+        d.labels = canonical.decide_labels(t, pack)
     t = canonical.canonicalize(t, pack, d.labels)
-    d.date_columns = dates.decide_dates(t, pack)
-    t = dates.standardize_dates(t, d.date_columns, pack)
-    d.banks = banks.decide_banks(t, pack)
-    t = banks.standardize_banks(t, pack, d.banks)
-    d.types = quality.decide_types(t, pack)
-    return d, t
-
-
-def apply_decisions(t: TrackedFrame, pack: RulePack, d: Decisions) -> TrackedFrame:
-    t = canonical.canonicalize(cells.apply_rules(t, pack), pack, d.labels)
+    if not known:
+        d.date_columns = dates.decide_dates(t, pack, source)
     t = dates.standardize_dates(t, d.date_columns, pack)
+    if not known:
+        d.banks = banks.decide_banks(t, pack)
     t = banks.standardize_banks(t, pack, d.banks)
-    return quality.flag_type_mismatch(t, d.types, pack)
+    if not known:
+        d.types = quality.decide_types(t, pack)
+    return quality.flag_type_mismatch(t, d.types, pack), d
 
 
 def clean_dataset(
-    df: DataFrame, pack: RulePack | None = None, row: str = ROW_COLUMN, key_column: str | None = None
+    df: DataFrame, pack: RulePack | None = None, row: str = ROW_COLUMN, key_column: str | None = None,
+    known: Decisions | None = None,
 ) -> CleanResult:
     """Clean and audit a table of texts.
 
     ``row`` is a unique row-order column (``sources.row_index`` makes one). ``key_column`` names the
-    record-key column; without it the last unique id column is used, and row labels where there is none."""
+    record-key column; without it the last unique id column is used, and row labels where there is none.
+    ``known`` takes over the decisions of an earlier run instead of asking the data."""
     pack = pack or default_pack()
-    start = first_steps(df, pack, row, key_column)
-    decisions, values = decide(start, pack)
-    flags = keys.decide_flags(values, pack, key_column)
-    return CleanResult(apply_decisions(keys.apply_flags(start, pack, flags), pack, decisions), decisions)
+    t, decisions = run_steps(first_steps(df, pack, row, key_column), pack, known)
+    t = t.with_df(stage(t.df, "rows"))
+    flags = keys.decide_flags(t, pack, key_column)
+    return CleanResult(keys.apply_flags(t, pack, flags), decisions)

@@ -16,8 +16,8 @@ from washboard.functions import text as T
 from washboard.operators import banks, canonical, cells, keys, quality, report
 from washboard.operators import dates as date_ops
 from washboard.operators.lookup import distinct_cells, left_by_row
-from washboard.operators.tracked import ROW_COLUMN, Edit, TrackedFrame, step_array
-from washboard.plans.clean import CleanResult, apply_decisions, clean_dataset, first_steps
+from washboard.operators.tracked import ROW_COLUMN, TrackedFrame, step_array
+from washboard.plans.clean import CleanResult, clean_dataset, first_steps
 from washboard.plans.fixtures import (
     DATE_TEXT_SQL, OLD_REPORT_SQL, TIME_TEXT_SQL, dirty, dirty_pack, dirty_with_copies, from_sql, table,
 )
@@ -354,8 +354,8 @@ def _with_repeats(spark, folder, name):
     rows = dirty(spark, folder).select(ROW_COLUMN, name)
     pack = dirty_pack().with_rules(_rule(name))
     t = first_steps(rows, pack)
-    flags = keys.decide_flags(t, pack)
-    t = cells.check_values(keys.apply_flags(t, pack, flags), [_rule(name)], pack)
+    t = cells.check_values(t, [_rule(name)], pack)
+    t = keys.apply_flags(t, pack, keys.decide_flags(t, pack))
     return _column(t, name).join(t.df.select(ROW_COLUMN, "is_dup", "is_dup_cnic"), ROW_COLUMN)
 
 

@@ -33,6 +33,9 @@ def build_session(app: str = "washboard", master: str | None = None, **conf) ->
         "spark.ui.showConsoleProgress": "false",
         # recording a call site for every column expression costs more than building the plan
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # projections over many columns become methods the JIT skips by default
+        "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+        "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():
