@@ -135,12 +135,15 @@ def list_outputs(spark, folder):
 
 def _write_by_region(spark, folder, root):
     """One small report per region, each under its own ip name, and one for the banks."""
+    nations = table(spark, folder, "nation").join(
+        F.broadcast(table(spark, folder, "region")), F.col("n_regionkey") == F.col("r_regionkey")
+    )
     suppliers = table(spark, folder, "supplier").join(
-        F.broadcast(table(spark, folder, "nation")), F.col("s_nationkey") == F.col("n_nationkey")
-    ).select(F.col("s_name").alias("uuid"), "n_regionkey")
-    for region in table(spark, folder, "region").collect():
-        target = outputs.route_output(root, "beneficiary", region["r_name"])
-        outputs.write_report(suppliers.where(F.col("n_regionkey") == region["r_regionkey"]), target)
+        F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")
+    ).select(F.col("s_name").alias("uuid"), "r_name")
+    for region in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"):
+        target = outputs.route_output(root, "beneficiary", region)
+        outputs.write_report(suppliers.where(F.col("r_name") == region), target)
     outputs.write_report(suppliers, outputs.route_output(root, "Banks"))
 
 

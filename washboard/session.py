@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _TEST_FOLDERS: dict[str, str] = {}
+_STAGED: list[str] = []
 
 
 def build_session(app: str = "washboard", master: str | None = None, **conf) -> SparkSession:
@@ -27,8 +28,6 @@ def build_session(app: str = "washboard", master: str | None = None, **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        # lets the first-n-per-column window drop rows before its shuffle
-        "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
         "spark.sql.parquet.compression.codec": "zstd",
         "spark.ui.showConsoleProgress": "false",
         # recording a call site for every column expression costs more than building the plan
@@ -69,11 +68,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the file system that holds it."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far and return their number. Results that still read them,
+    such as those of a cleaning run, have to be written out first."""
+    count = 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        count += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
