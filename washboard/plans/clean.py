@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from washboard.operators import banks, canonical, cells, dates, keys, quality, summary
 from washboard.operators.lookup import ValueMap
-from washboard.operators.tracked import ROW_COLUMN, TrackedFrame
+from washboard.operators.tracked import ROW_COLUMN, TrackedFrame, quoted
 from washboard.rules import RulePack, default_pack
 from washboard.session import stage
 
@@ -69,6 +69,18 @@ class CleanResult:
         return summary.review_by_column(self.tracked)
 
 
+# Inputs between these sizes (by Spark's estimate) come in few splits, often one, but are work for all cores.
+SPREAD_BYTES = (200_000, 64_000_000)
+
+
+def spread_small(df: DataFrame, row: str) -> DataFrame:
+    """Deal the rows of a small input out over all cores; larger inputs have splits enough and stay in place."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if not SPREAD_BYTES[0] <= size < SPREAD_BYTES[1]:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.col(quoted(row)))
+
+
 def first_steps(df: DataFrame, pack: RulePack, row: str = ROW_COLUMN, key_column: str | None = None) -> TrackedFrame:
     """Trim and null steps, with the key texts carried along."""
     t = cells.null_standardize(cells.trim_whitespace(TrackedFrame.begin(df, row)), pack)
@@ -103,7 +115,9 @@ def clean_dataset(
     record-key column; without it the last unique id column is used, and row labels where there is none.
     ``known`` takes over the decisions of an earlier run instead of asking the data."""
     pack = pack or default_pack()
-    t, decisions = run_steps(first_steps(df, pack, row, key_column), pack, known)
+    if row not in df.columns:
+        raise ValueError(f"no row order column {row!r}; add one with sources.row_index")
+    t, decisions = run_steps(first_steps(spread_small(df, row), pack, row, key_column), pack, known)
     t = t.with_df(stage(t.df, "rows"))
     flags = keys.decide_flags(t, pack, key_column)
     return CleanResult(keys.apply_flags(t, pack, flags), decisions)
