@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from washboard.llm.common import documents
 from washboard.llm.mixing import mix_sources
 from washboard.llm.quality import quality_rules
+from washboard.llm.simhash import simhash_components
 from washboard.llm.secrets import digest_columns, scan_history
 
 
@@ -15,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("features")
 
 
+def op3_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
+
+
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_history(documents(spark, sf_dir)).findings
     return found.select("doc_id", *digest_columns(F.col("spans")), F.hex("blob").alias("blob"))
@@ -27,6 +32,7 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_simhash_popcount": op3_simhash_popcount,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_pareto_mixing": op7_pareto_mixing,
 }
