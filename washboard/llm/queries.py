@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from washboard.llm.common import documents
 from washboard.llm.mixing import mix_sources
+from washboard.llm.packing import pack_documents
 from washboard.llm.quality import quality_rules
 from washboard.llm.simhash import simhash_components
 from washboard.llm.secrets import digest_columns, scan_history
@@ -30,11 +31,16 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash_popcount": op3_simhash_popcount,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_pareto_mixing": op7_pareto_mixing,
+    "op8_sum_of_squares": op8_sum_of_squares,
 }
 
 OP7_SQL = r"""
