@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washboard.llm.common import documents
+from washboard.llm.common import documents, table
 from washboard.llm.mixing import mix_sources
+from washboard.llm.neighbours import nearest_neighbours
 from washboard.llm.packing import pack_documents
 from washboard.llm.quality import quality_rules
 from washboard.llm.simhash import simhash_components
@@ -35,12 +36,17 @@ def op8_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash_popcount": op3_simhash_popcount,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_pareto_mixing": op7_pareto_mixing,
     "op8_sum_of_squares": op8_sum_of_squares,
+    "op10_stable_projections": op10_stable_projections,
 }
 
 OP7_SQL = r"""
