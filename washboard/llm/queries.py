@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from washboard.llm.common import documents, table
+from washboard.llm.language import predict_language, remainder, train
 from washboard.llm.mixing import mix_sources
 from washboard.llm.neighbours import nearest_neighbours
 from washboard.llm.packing import pack_documents
@@ -22,6 +23,13 @@ def op3_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    predicted = predict_language(docs, train(docs))
+    held_out = F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False))
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_history(documents(spark, sf_dir)).findings
     return found.select("doc_id", *digest_columns(F.col("spans")), F.hex("blob").alias("blob"))
@@ -43,6 +51,7 @@ def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash_popcount": op3_simhash_popcount,
+    "op4_kneser_ney": op4_kneser_ney,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_pareto_mixing": op7_pareto_mixing,
     "op8_sum_of_squares": op8_sum_of_squares,
