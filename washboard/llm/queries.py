@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washboard.llm.common import documents, table
+from washboard.llm.common import documents, stage, table
 from washboard.llm.language import predict_language, remainder, train
 from washboard.llm.mixing import mix_sources
 from washboard.llm.neighbours import nearest_neighbours
 from washboard.llm.packing import pack_documents
 from washboard.llm.quality import quality_rules
-from washboard.llm.simhash import simhash_components
 from washboard.llm.secrets import digest_columns, scan_history
+from washboard.llm.simhash import simhash_components
+from washboard.llm.token_counts import build_trees, redactions, update_trees
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,14 @@ def op8_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op9_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after mail addresses and long numbers are redacted."""
+    docs = documents(spark, sf_dir)
+    trees = stage(build_trees(docs), "token-trees")
+    counts = update_trees(docs, trees, redactions(docs).distinct())
+    return counts.select("doc_id", "n_edits", "n_encoded", "n_chars", "tokens_before", "tokens_after")
+
+
 def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +64,7 @@ QUERIES = {
     "op6_secret_ledger": op6_secret_ledger,
     "op7_pareto_mixing": op7_pareto_mixing,
     "op8_sum_of_squares": op8_sum_of_squares,
+    "op9_edit_aware_counts": op9_edit_aware_counts,
     "op10_stable_projections": op10_stable_projections,
 }
 
