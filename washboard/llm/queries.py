@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from washboard.llm.common import documents, stage, table
 from washboard.llm.language import predict_language, remainder, train
+from washboard.llm.lm_scores import lm_scores
 from washboard.llm.mixing import mix_sources
 from washboard.llm.neighbours import nearest_neighbours
 from washboard.llm.packing import pack_documents
@@ -31,6 +32,10 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_history(documents(spark, sf_dir)).findings
     return found.select("doc_id", *digest_columns(F.col("spans")), F.hex("blob").alias("blob"))
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash_popcount": op3_simhash_popcount,
     "op4_kneser_ney": op4_kneser_ney,
+    "op5_stupid_backoff": op5_stupid_backoff,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_pareto_mixing": op7_pareto_mixing,
     "op8_sum_of_squares": op8_sum_of_squares,
