@@ -12,6 +12,7 @@ from washboard.llm.mixing import mix_sources
 from washboard.llm.neighbours import nearest_neighbours
 from washboard.llm.packing import pack_documents
 from washboard.llm.quality import quality_rules
+from washboard.llm.repeats import remove_repeats
 from washboard.llm.secrets import digest_columns, scan_history
 from washboard.llm.simhash import simhash_components
 from washboard.llm.token_counts import build_trees, redactions, update_trees
@@ -21,6 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("features")
 
 
+def op2_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op3_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
@@ -64,6 +69,7 @@ def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_prefix_free_parsing": op2_prefix_free_parsing,
     "op3_simhash_popcount": op3_simhash_popcount,
     "op4_kneser_ney": op4_kneser_ney,
     "op5_stupid_backoff": op5_stupid_backoff,
