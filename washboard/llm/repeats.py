@@ -277,7 +277,7 @@ def remove_repeats(
     def ask(steps: int):
         def run(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
             keys, _ = replay(rows, got, steps)
-            sent = pd.DataFrame(keys.requests(parts))
+            sent = pd.DataFrame({k: pd.Series(v, dtype="int64" if k == "part" else object) for k, v in keys.requests(parts).items()})
             return sent.assign(block=rows["block"].iloc[0])[["block", "part", "hi", "lo", "mark"]]
 
         return run
