@@ -27,7 +27,7 @@ def op2_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(documents(spark, sf_dir))
+    return simhash_components(documents(spark, sf_dir)).drop("component_key")
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,6 @@ version. A run scans only pairs that the ledger lacks and joins the spans back t
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -146,15 +145,14 @@ def digest_columns(spans: Column) -> list[Column]:
 MASK = "[secret]"
 
 
-def mask(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` with the union of ``spans`` replaced, one mark for each stretch of spans that touch or overlap."""
-    out, done = [], 0
-    for start, end in sorted(spans):
-        if start > done or not out:
-            out += [text[done:start], MASK]
-        done = max(done, end)
-    return "".join([*out, text[done:]])
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with the union of ``spans`` (sorted by start) replaced, one mark for each stretch of spans that touch or overlap."""
+    start = F.struct(F.lit("").alias("out"), F.lit(-1).alias("done"))
 
+    def step(so_far: Column, span: Column) -> Column:
+        done = F.greatest(so_far["done"], F.lit(0))
+        before = F.substring(text, done + 1, span["start"] - done)
+        out = F.when(span["start"] > so_far["done"], F.concat(so_far["out"], before, F.lit(MASK))).otherwise(so_far["out"])
+        return F.struct(out.alias("out"), F.greatest(so_far["done"], span["end"]).alias("done"))
 
-def content_id(text: str) -> bytes:
-    return hashlib.sha256(text.encode()).digest()
+    return F.aggregate(spans, start, step, lambda end: F.concat(end["out"], F.substring(text, F.greatest(end["done"], F.lit(0)) + 1, F.length(text))))

@@ -89,13 +89,13 @@ def around(fp: Column) -> Column:
 
 
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, ``keep``, fingerprint (16 hexadecimal digits) and component_id, the smallest id
-    that links of at most 2 differing bits reach.
+    """One row per row of ``docs``: ``id_col``, ``keep``, fingerprint (16 hexadecimal digits), component_id, the smallest id that
+    links of at most 2 differing bits reach, and component_key, a number of the component that is never null.
 
     Null and empty texts and texts without words have fingerprint zero and are linked like others. Repeated rows and ids stay;
     rows without id get the component of their fingerprint (null if no row reached has an id). Texts are read whole. An empty
-    table gives no rows. Columns not named are not looked at; ``keep`` must not hold fingerprint or component_id."""
-    if {"fingerprint", "component_id"} & set(keep):
+    table gives no rows. Columns not named are not looked at; ``keep`` must not hold these names."""
+    if {"fingerprint", "component_id", "component_key"} & set(keep):
         raise ValueError("columns would be overwritten")
     selected = docs.select(F.col(id_col), *[F.col(k) for k in keep], F.col(text_col).alias("s_text"))
     rows = stage(fingerprints(selected, "s_text", "s_fp"), "simhash-rows")
@@ -111,6 +111,6 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     known = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "doc", F.coalesce("component", "fp").alias("root"))
     known = stage(known, "simhash-known")
     names = known.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = known.join(names, "root").select(F.col("fp").alias("s_fp"), "component_id")
+    named = known.join(names, "root").select(F.col("fp").alias("s_fp"), "component_id", F.col("root").alias("component_key"))
     result = rows.join(named, "s_fp")
-    return result.select(id_col, *keep, F.lower(F.lpad(F.hex("s_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return result.select(id_col, *keep, F.lower(F.lpad(F.hex("s_fp"), 16, "0")).alias("fingerprint"), "component_id", "component_key")
