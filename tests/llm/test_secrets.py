@@ -1,0 +1,62 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from samples import collected, none, odd, odd_rows  # noqa: F401
+from washboard.llm.secrets import RULE_VERSION, digest_columns, masked, scan_history
+
+ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def plain(text):
+    found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(k, s, e) for s, _, k, e in sorted(found)]
+
+
+TEXTS = [
+    'x password = "hunter22" y', "Secret:token:abcdefg", "token=password=abcdefgh api_key: 'A1b2C3d4'", "AKIA" + "Q" * 16 + " AKIA123 AKIAKIA" + "Z" * 14,
+    "0123456789abcdef" * 2 + " deadbeef", "é漢 passwd: abc.def-ghi " + "f" * 24, "TOKEN  =  short ſecret=abcdefg toKen=abcdefg", "apikey=\napi_key=x", "password" * 50,
+]
+
+
+def test_spans_are_those_of_the_patterns(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    found = scan_history(df).findings
+    got = {g["doc_id"]: g for g in collected(found.select("doc_id", *digest_columns(F.col("spans"))))}
+    for i, text in enumerate(TEXTS):
+        expected = plain(text)
+        line = ",".join(f"{k}:{s}:{e}" for k, s, e in expected)
+        assert got[i]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert got[i]["spans"] == line
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[0] == k for x in expected) for k in ("assign", "access", "hex")]
+
+
+def test_only_unseen_pairs_are_scanned(spark):
+    first = spark.createDataFrame([(1, TEXTS[0]), (2, TEXTS[4])], "path bigint, text string")
+    ledger = scan_history(first, id_col="path").added
+    assert ledger.count() == 2
+    more = spark.createDataFrame([(1, TEXTS[0]), (3, TEXTS[0]), (3, TEXTS[1]), (4, TEXTS[3])], "path bigint, text string")
+    run = scan_history(more, ledger, id_col="path")
+    assert run.added.count() == 2
+    assert sorted((g["path"], len(g["spans"])) for g in collected(run.findings)) == [(1, 1), (3, 0), (3, 1), (4, 2)]
+    assert scan_history(more, ledger, id_col="path", rule_version=RULE_VERSION + "x").added.count() == 3
+
+
+def test_odd_rows(odd, none):
+    got = collected(scan_history(odd).findings)
+    assert len(got) == len(odd_rows())
+    assert all(g["spans"] == ([{"kind": "hex", "start": 0, "end": 8000}] if g["doc_id"] == 10 else []) for g in got)
+    assert scan_history(odd).added.count() == len({r[1] or "" for r in odd_rows()})
+    assert scan_history(none).findings.count() == scan_history(none).added.count() == 0
+
+
+def test_more_rules_and_masks(spark):
+    text = "-----BEGIN RSA PRIVATE KEY-----x token=" + "a" * 30 + " é " + "b" * 24
+    found = scan_history(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).findings
+    spans = found.first()["spans"]
+    assert [s["kind"] for s in spans] == ["pem", "assign", "hex", "hex"]
+    df = found.withColumn("out", masked(F.lit(text), F.col("spans")))
+    assert df.first()["out"] == "[secret]x [secret] é [secret]"

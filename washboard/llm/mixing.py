@@ -81,7 +81,8 @@ def mix_sources(
     )
     goal = stage(targets(sums.select("source", "source_size"), weights, most).join(
         sums.select(F.col("source").alias("s2"), "shared"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "mix-targets")
-    joined = rows.join(goal, F.col("m_source").eqNullSafe(goal["source"])).drop("source")
+    goal = goal.withColumnRenamed("source", "g_source")
+    joined = rows.join(goal, F.col("m_source").eqNullSafe(F.col("g_source"))).drop("g_source")
     expected = F.when(F.col("shared") > 0, F.least(F.lit(float(most)), F.col("m_share") * F.col("target") / F.col("shared"))).otherwise(0.0)
     u = random_number(F.concat_ws(":", F.col("m_id").cast("string"), F.col("m_size").cast("string")), seed)
     chance = F.col("m_chance")
@@ -91,8 +92,8 @@ def mix_sources(
         .withColumn("m_chance", F.col("m_expected") - F.col("m_certain"))
         .withColumn("m_u", u)
         # odds of u over odds of the inclusion probability, kept below 1 as x / (1 + x) so that ranges can be cut
-        .withColumn("m_odds", (F.col("m_u") / (1 - F.col("m_u"))) / (chance / (1 - chance)))
-        .withColumn("m_rank", F.when((chance > 0) & (F.col("m_size") > 0), F.col("m_odds") / (1 + F.col("m_odds"))))
+        .withColumn("m_odds", F.when((chance > 0) & (F.col("m_size") > 0), (F.col("m_u") / (1 - F.col("m_u"))) / (chance / (1 - chance))))
+        .withColumn("m_rank", F.col("m_odds") / (1 + F.col("m_odds")))
         .withColumn("m_range", F.least(F.floor(F.col("m_rank") * RANGES), F.lit(RANGES - 1)))
         .drop("m_odds", "m_u")
     )
