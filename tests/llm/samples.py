@@ -21,7 +21,7 @@ def odd_rows() -> list[tuple]:
     return [
         (1, same, "en", "a", 1), (1, same, "en", "a", 1), (2, same, "en", "b", None), (3, same + " tail", "en", "a", 3),
         (4, None, None, None, None), (5, "", "fr", "a", 0), (6, " \n\t ", "fr", "", 3), (7, "word", "de", "a", 4),
-        (None, prose(2, 200), "en", "b", 9), (None, None, "en", "b", None), (8, "\n".join(["Row of words here"] * 40), "de", None, 1),
+        (2**62 + 1, "short", "en", "a", 1), (None, prose(2, 200), "en", "b", 9), (None, None, "en", "b", None), (8, "\n".join(["Row of words here"] * 40), "de", None, 1),
         (9, prose(3, 20_000), "en", "c", 1), (10, "aaaa" * 2_000, None, "c", 1), (11, "é漢  x́ ½ ²" * 60, "fr", "c", 1), (100, "12 34 !!", "en", "a", 1),
     ]
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,60 +30,76 @@ BLOCK_TOKENS = 2_000_000
 PART_BYTES = 12 << 20
 
 
-def ngram_keys(tokens: np.ndarray, n: int) -> np.ndarray:
-    """Whole numbers for the n-grams of ``tokens`` in order; different lengths never meet, since no digit is 0."""
-    m = len(tokens) - n + 1
-    if m <= 0:
-        return np.zeros(0, dtype=np.int64)
-    out = np.zeros(m, dtype=np.int64)
-    for i in range(n):
-        out = out * BASE + (tokens[i : i + m].astype(np.int64) + 1)
-    return out
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes: equal bytes of all numbers side by side, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 3)
+
 
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
-def count_keys(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64), return_counts=True)
+
+def ngrams(tokens: np.ndarray, document: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1 to ``order``, the places where an n-gram of one document ends, and the n-grams as whole
+    numbers. N-grams of different lengths never meet, since no digit is 0, and longer ones are larger."""
+    digits = tokens.astype(np.int64) + 1
+    ends, keys = np.arange(len(tokens)), digits
+    yield ends, keys
+    for n in range(2, order + 1):
+        inside = np.flatnonzero(document[ends] == document[ends - n + 1]) if len(ends) else ends
+        inside = inside[ends[inside] >= n - 1]
+        # an n-gram is the one before it, ending a place earlier, and one more digit
+        at = np.searchsorted(ends, ends[inside] - 1)
+        ends, keys = ends[inside], keys[at] * BASE + digits[ends[inside]]
+        yield ends, keys
 
 
 def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys.astype(np.uint64) * MIX) >> np.uint64(33)).astype(np.int64) % parts
 
 
-def block_counts(documents: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-grams of all orders in a block, with their counts."""
-    whole = [count_keys([ngram_keys(d, n) for d in documents]) for n in range(1, order + 1)]
+def block_counts(tokens: np.ndarray, document: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams of all lengths in a block, with their counts."""
+    whole = [np.unique(keys, return_counts=True) for _, keys in ngrams(tokens, document, order)]
     return np.concatenate([k for k, _ in whole]), np.concatenate([c for _, c in whole])
 
 
-def score_document(tokens: np.ndarray, order: int, keys: np.ndarray, totals: np.ndarray, tokens_in_all: int, leave_out: bool) -> tuple[float, list[int]]:
-    """Sum of log scores and the number of tokens scored at each order. With ``leave_out`` the document's own n-grams do not count.
+def block_totals(tokens: np.ndarray, document: np.ndarray, order: int, totals: np.ndarray, leave_out: bool) -> list[np.ndarray]:
+    """For each length, the count of the n-gram that ends at each place (0 where there is none), without those of the
+    place's own document if ``leave_out``. ``totals`` belong to the n-grams of ``block_counts``."""
+    out, seen, documents = [], 0, int(document[-1]) + 1 if len(document) else 0
+    for ends, keys in ngrams(tokens, document, order):
+        distinct, place = np.unique(keys, return_inverse=True)
+        counts = totals[seen : seen + len(distinct)][place]
+        seen += len(distinct)
+        if leave_out:
+            _, of_pair, own = np.unique(place * documents + document[ends], return_inverse=True, return_counts=True)
+            counts = counts - own[of_pair]
+        full = np.zeros(len(tokens))
+        full[ends] = counts
+        out.append(full)
+    return out
+
+
+def score_block(lengths: np.ndarray, counts: list[np.ndarray], tokens_in_all: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of log scores of each document, and its tokens scored at each order.
 
     A token's score is the share of its n-gram in those of the context, for the longest context for which the n-gram is there; each
-    word the context is shortened by costs the backoff factor. A token seen nowhere else counts as half a token."""
-    n = len(tokens)
-    counts = []
-    for k in range(1, order + 1):
-        own = ngram_keys(tokens, k)
-        if not len(own):
-            counts.append(np.zeros(0))
-            continue
-        found = totals[np.searchsorted(keys, own)]
-        if leave_out:
-            _, place, times = np.unique(own, return_inverse=True, return_counts=True)
-            found = found - times[place]
-        counts.append(found.astype(float))
-    everything = float(tokens_in_all - (n if leave_out else 0))
-    single = np.maximum(counts[0], 0.5) / max(everything, 1.0)
-    score, used = np.log(single), np.ones(n, dtype=np.int64)
-    for k in range(2, order + 1):
-        if n < k:
-            break
-        here, context = counts[k - 1], counts[k - 2][: n - k + 1]
+    token the context is shortened by costs the backoff factor. A token seen nowhere else counts as half a token."""
+    document = np.repeat(np.arange(len(lengths)), lengths)
+    everything = np.maximum(tokens_in_all - (lengths if leave_out else 0 * lengths), 1)[document]
+    score, used = np.log(np.maximum(counts[0], 0.5) / everything), np.ones(len(document), dtype=np.int64)
+    place = np.arange(len(document)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    for k in range(2, len(counts) + 1):
+        here, context = counts[k - 1], np.concatenate([[0.0], counts[k - 2][:-1]]) if len(document) else counts[k - 2]
         seen = here > 0
         longer = np.log(np.where(seen, here, 1.0)) - np.log(np.where(seen, context, 1.0))
-        score[k - 1 :] = np.where(seen, longer, score[k - 1 :] + np.log(BACKOFF))
-        used[k - 1 :] = np.where(seen, k, used[k - 1 :])
-    return float(score.sum()), np.bincount(used, minlength=order + 1)[1:].tolist()
+        score = np.where(seen, longer, score + np.log(BACKOFF) * (place >= k - 1))
+        used[seen] = k
+    orders = np.bincount(document * len(counts) + used - 1, minlength=len(lengths) * len(counts)).reshape(-1, len(counts))
+    return np.bincount(document, weights=score, minlength=len(lengths)), orders
 
 
 def lm_scores(
@@ -97,79 +114,85 @@ def lm_scores(
     if not 1 <= order <= 3:
         raise ValueError("order must be 1, 2 or 3")
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows, volume = size_of(docs, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()  # ids travel as text, since pandas makes floats of numbers with nulls
+    _, volume = size_of(docs, text_col)
     parts = partitions_for(spark, volume, part_bytes)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of documents (block, id, ids) and of requests (block, part, keys, n), in one table."""
+        """One row with the documents of a block and one for each part of the count table that it asks."""
         encoder = ids(vocabulary)
-        id_type, held, id_parts, size = None, [], [], 0
-
-        def close() -> Iterator[pa.RecordBatch]:
-            block = uuid.uuid4().int >> 65
-            keys, n = block_counts(held, order)
+        held: list[np.ndarray] = []
+        names: list[pa.Array] = []
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            lengths = np.array([len(d) for d in held], dtype="<i8")
+            tokens = np.concatenate(held)
+            keys, n = block_counts(tokens, np.repeat(np.arange(len(held)), lengths), order)
             part = parts_of(keys, parts)
             by_part = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[by_part], np.arange(parts + 1))
             full = np.flatnonzero(np.diff(edges))
-            m = len(full)
-            offsets = pa.array(np.append(edges[full], edges[-1]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * m, pa.int64()), pa.nulls(m, id_type), pa.nulls(m, pa.binary()), pa.array(full, pa.int32()),
-                 pa.ListArray.from_arrays(offsets, pa.array(keys[by_part])), pa.ListArray.from_arrays(offsets, pa.array(n[by_part].astype(np.int32)))],
-                names,
-            )
-            lists = pa.nulls(len(held), pa.list_(pa.int64())), pa.nulls(len(held), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(held), pa.int64()), pa.concat_arrays(id_parts), pa.array([d.astype("<u2").tobytes() for d in held], pa.binary()),
-                 pa.nulls(len(held), pa.int32()), *lists], names,
+            keys, n = keys[by_part].astype("<i8"), n[by_part].astype("<i4")
+            cut = [slice(edges[p], edges[p + 1]) for p in full]
+            ids_of = pa.concat_arrays(names)
+            rows = 1 + len(full)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([uuid.uuid4().int >> 65] * rows, pa.int64()), pa.array([None, *full.tolist()], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array([0] + [len(ids_of)] * rows, pa.int32()), ids_of),
+                    pa.array([pack(tokens.astype("<u2")), *(pack(np.diff(keys[c], prepend=0)) for c in cut)], pa.binary()),
+                    pa.array([pack(lengths), *(pack(n[c]) for c in cut)], pa.binary()),
+                ],
+                ["block", "part", "ids", "data", "n"],
             )
 
-        names = ["block", "id", "ids", "part", "keys", "n"]
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 batch = whole.slice(begin, 256)
-                id_type = batch.column("id").type
-                held += [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
-                id_parts.append(batch.column("id"))
-                size += sum(map(len, held[-batch.num_rows :]))
-                if size >= block_tokens:
-                    yield from close()
-                    held, id_parts, size = [], [], 0
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    held.append(encoder.encode(text or ""))
+                    names.append(batch.column("id").slice(i, 1))
+                    size += len(held[-1])
+                    if size >= block_tokens:
+                        yield close()
+                        held, names, size = [], [], 0
         if held:
-            yield from close()
+            yield close()
 
-    schema = f"block bigint, id {kind}, ids binary, part int, keys array<bigint>, n array<int>"
-    sent = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(send, schema), "lm-blocks")
-    texts = sent.filter(F.col("part").isNull()).select("block", "id", "ids")
-    requests = sent.filter(F.col("part").isNotNull()).select("part", "block", "keys", "n")
-    everything = int(texts.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]) // 2
+    schema = "block bigint, part int, ids array<string>, data binary, n binary"
+    sent = stage(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(send, schema), "lm-blocks")
+    texts = sent.filter(F.col("part").isNull()).select("block", "ids", "data", "n")
+    requests = sent.filter(F.col("part").isNotNull()).select("part", "block", "data", "n")
+
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"tokens": [int(unpack(n, "<i8").sum()) for n in batch["n"]]})
+
+    everything = int(texts.select("n").mapInPandas(sizes, "tokens bigint").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
 
     def add_up(got: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate(got["keys"].to_numpy())
-        order_of = np.argsort(keys, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(keys[order_of]) != 0]))
-        sums = np.add.reduceat(np.concatenate(got["n"].to_numpy()).astype(np.int64)[order_of], starts)
-        totals = np.empty(len(keys), dtype=np.int64)
-        totals[order_of] = np.repeat(sums, np.diff(np.append(starts, len(keys))))
-        edges = np.cumsum(got["keys"].map(len).to_numpy())[:-1]
-        return pd.DataFrame({"block": got["block"], "part": got["part"], "totals": np.split(totals, edges)})
+        each = [np.cumsum(unpack(d, "<i8")) for d in got["data"]]
+        distinct, place = np.unique(np.concatenate(each), return_inverse=True)
+        totals = np.bincount(place, weights=np.concatenate([unpack(n, "<i4") for n in got["n"]]), minlength=len(distinct)).astype("<i8")[place]
+        edges = np.cumsum([len(k) for k in each])[:-1]
+        return pd.DataFrame({"block": got["block"], "part": got["part"], "totals": [pack(t) for t in np.split(totals, edges)]})
 
-    answers = requests.repartition(parts, "part").groupBy("part").applyInPandas(add_up, "block bigint, part int, totals array<bigint>")
+    answers = requests.repartition(parts, "part").groupBy("part").applyInPandas(add_up, "block bigint, part int, totals binary")
 
     def score(held: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        documents = [np.frombuffer(b, dtype="<u2") for b in held["ids"]]
-        keys, _ = block_counts(documents, order)
-        by_part = np.argsort(parts_of(keys, parts), kind="stable")
+        lengths, tokens = unpack(held["n"].iloc[0], "<i8"), unpack(held["data"].iloc[0], "<u2")
+        document = np.repeat(np.arange(len(lengths)), lengths)
+        keys, _ = block_counts(tokens, document, order)
         totals = np.empty(len(keys), dtype=np.int64)
         if len(got):
-            totals[by_part] = np.concatenate(got.sort_values("part")["totals"].to_numpy())
-        scored = [score_document(d, order, keys, totals, everything, leave_out) if len(d) else (0.0, [0] * order) for d in documents]
-        n = np.array([len(d) for d in documents])
-        sums = np.array([s for s, _ in scored])
-        mean = [s / k if k else None for s, k in zip(sums.tolist(), n.tolist())]
-        return pd.DataFrame({"id": held["id"], "n_tokens": n, "log_score": sums, "mean_log_score": mean, "orders": [o for _, o in scored]})
-
-    result = f"id {kind}, n_tokens bigint, log_score double, mean_log_score double, orders array<bigint>"
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, result).withColumnRenamed("id", id_col)
+            totals[np.argsort(parts_of(keys, parts), kind="stable")] = np.concatenate([unpack(t, "<i8") for t in got.sort_values("part")["totals"]])
+        del keys
+        sums, orders = score_block(lengths, block_totals(tokens, document, order, totals, leave_out), everything, leave_out)
+        mean = [s / k if k else None for s, k in zip(sums.tolist(), lengths.tolist())]
+        return pd.DataFrame({"id": pd.Series(list(held["ids"].iloc[0]), dtype=object), "n_tokens": lengths, "log_score": sums, "mean_log_score": mean, "orders": list(orders)})
+
+    result = "id string, n_tokens bigint, log_score double, mean_log_score double, orders array<bigint>"
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, result).select(
+        F.col("id").cast(kind).alias(id_col), "n_tokens", "log_score", "mean_log_score", "orders"
+    )

@@ -21,6 +21,8 @@ from washboard.llm.common import stage
 from washboard.llm.stats import chi_square_quantile
 
 LEAF = 32
+#: Stands for a null id where pandas would make floats of numbers with nulls; no id may be the smallest long.
+NO_ID = -(1 << 63)
 FOUND = "query_row bigint, query_id bigint, vec_id bigint, row bigint, score double"
 
 
@@ -98,7 +100,7 @@ def leaves(points: np.ndarray) -> list[np.ndarray]:
 def search_block(index: pd.DataFrame, queries: pd.DataFrame, k: int, stop: float) -> pd.DataFrame:
     """The ``k`` nearest found in one block for each query. ``bound`` is the k-th squared distance a query brings along."""
     x, points = np.stack(index["vector"]).astype(float), np.stack(index["point"])
-    ids, rows = index["vec_id"].to_numpy(dtype=float, na_value=np.inf), index["row"].to_numpy()
+    ids, rows = index["vec_id"].to_numpy(), index["row"].to_numpy()
     parts = leaves(points)
     low = np.array([points[p].min(axis=0) for p in parts])
     high = np.array([points[p].max(axis=0) for p in parts])
@@ -115,11 +117,11 @@ def search_block(index: pd.DataFrame, queries: pd.DataFrame, k: int, stop: float
             best = np.concatenate([best, np.square(x[near] - vector).sum(axis=1)])
             where = np.concatenate([where, near])
             if len(best) > k:
-                nearest = np.lexsort((rows[where], ids[where], best))[:k]
+                nearest = np.lexsort((rows[where], ids[where], ids[where] == NO_ID, best))[:k]
                 best, where = best[nearest], where[nearest]
             if len(best) == k:
                 bound = min(bound, best.max())
-        found.append(pd.DataFrame({"query_row": q.row, "query_id": q.vec_id, "vec_id": index["vec_id"].to_numpy()[where], "row": rows[where], "score": np.sqrt(best)}))
+        found.append(pd.DataFrame({"query_row": q.row, "query_id": q.vec_id, "vec_id": ids[where], "row": rows[where], "score": np.sqrt(best)}))
     return pd.concat(found) if found else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "row": [], "score": []})
 
 
@@ -142,7 +144,7 @@ def nearest_neighbours(
     usable = F.coalesce(
         F.forall(numbers, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(numbers, lambda v: v != 0), F.lit(False)
     )
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = vectors.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.filter(usable).withColumn("row", F.monotonically_increasing_id())
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +173,7 @@ def nearest_neighbours(
     placed = stage(placed, "ann-cells")
     counts = placed.groupBy("size", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     index = placed.join(counts, ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    queries = placed.filter(F.col("vec_id") % every == 0)
+    queries = placed.filter((F.col("vec_id") % every == 0) & (F.col("vec_id") != NO_ID))
 
     def search(asked: DataFrame) -> DataFrame:
         """Candidates of ``asked`` (size, cell, row, vec_id, vector, point, bound) from all blocks of the cells named."""
@@ -188,7 +190,7 @@ def nearest_neighbours(
         return both.applyInPandas(run, FOUND)
 
     home = stage(search(queries.withColumn("bound", F.lit(float("inf")))), "ann-home")
-    order = Window.partitionBy("query_row").orderBy("score", F.col("vec_id").asc_nulls_last(), "row")
+    order = Window.partitionBy("query_row").orderBy("score", F.col("vec_id") == NO_ID, "vec_id", "row")
     bounds = home.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query_row", (F.col("score") * F.col("score")).alias("bound"))
     bounded = queries.join(bounds, queries["row"] == bounds["query_row"], "left").drop("query_row")
     bounded = bounded.withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
@@ -202,4 +204,4 @@ def nearest_neighbours(
     asked = bounded.select("vec_id", "vector", "row", "point", "cell", "size", "bound").mapInPandas(further, named)
     found = home.unionByName(search(asked))
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")

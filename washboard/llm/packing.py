@@ -29,8 +29,9 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str, end_id: int) -> DataFrame:
-    """(``id_col``, piece, start, length, ids_crc32), without a shuffle."""
-    schema = f"doc {docs.schema[id_col].dataType.simpleString()}, {PIECES}"
+    """(doc, piece, start, length, ids_crc32), without a shuffle. The id travels as text, since pandas makes floats of
+    numbers with nulls."""
+    schema = f"doc string, {PIECES}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ids(vocabulary)
@@ -50,7 +51,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabular
                 columns += [pa.array(c, pa.int64()) for c in (start, length, check)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def place_pieces(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -128,5 +129,5 @@ def pack_documents(
             ["doc", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
         ]
 
-    schema = f"doc {docs.schema[id_col].dataType.simpleString()}, {PIECES}, sequence_id bigint, offset bigint"
-    return dealt.groupBy("shard").applyInPandas(pack, schema).withColumnRenamed("doc", id_col)
+    packed = dealt.groupBy("shard").applyInPandas(pack, f"doc string, {PIECES}, sequence_id bigint, offset bigint")
+    return packed.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), *packed.columns[1:])

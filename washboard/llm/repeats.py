@@ -244,7 +244,7 @@ def remove_repeats(
     if length < 400:
         raise ValueError("strings of at least 400 bytes")
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()  # ids travel as text, since pandas makes floats of numbers with nulls
     _, volume = size_of(docs, text_col)
     parts = partitions_for(spark, volume, part_bytes)
 
@@ -263,8 +263,8 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column("id"), batch.column("text")], ["block", "id", "text"])
 
     gather.block, gather.filled = None, 0
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = source.mapInArrow(gather, f"block bigint, id {kind}, text string")
+    source = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    blocks = source.mapInArrow(gather, "block bigint, id string, text string")
     # bucketed by block, so that the texts stay where they are in every step
     name = f"washboard_repeats_{uuid.uuid4().hex}"
     blocks.write.bucketBy(parts, "block").option("path", new_path(spark, "repeat-blocks")).option("compression", "zstd").format("parquet").saveAsTable(name)
@@ -299,7 +299,7 @@ def remove_repeats(
         asked = held.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(ask(steps), REQUEST)
         replies = asked.repartition(parts, "part").groupBy("part").applyInPandas(answer, ANSWER)
         answered = answered.unionByName(stage(replies.withColumn("step", F.lit(steps + 1)), "repeat-answers"))
-    result = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+    result = "id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     done = held.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(finish, result)
-    columns = [F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
+    columns = [F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
     return done.select(*columns)
