@@ -19,6 +19,7 @@ entry per block, and texts do not move.
 from __future__ import annotations
 
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +52,7 @@ def phrase_ends(data: np.ndarray) -> np.ndarray:
     n = len(data) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    window = np.zeros(n, dtype=np.uint64)
-    for i in range(WINDOW):
-        window |= data[i : i + n].astype(np.uint64) << np.uint64(8 * i)
+    window = np.ndarray(n, dtype="<u8", buffer=np.ascontiguousarray(data).data, strides=(1,))  # WINDOW bytes from each place
     hits = np.flatnonzero((window * MULTIPLIER) >> np.uint64(64 - TRIGGER_BITS) == 0)
     # of hits close together only the first counts, so that runs of one byte are not cut everywhere
     return hits[np.diff(hits, prepend=-WINDOW) >= WINDOW] + WINDOW
@@ -81,17 +81,26 @@ def groups(data: np.ndarray, length: int) -> np.ndarray:
     return found
 
 
-def digest(piece: bytes) -> tuple[int, int]:
-    whole = xxhash.xxh3_128_intdigest(piece)
-    return whole >> 64, whole & 0xFFFFFFFFFFFFFFFF
+def digests(texts: list[bytes], doc: np.ndarray, start: np.ndarray, end: np.ndarray, wide: bool) -> np.ndarray:
+    """Digest of each piece of a text, as rows of one or two longs; ``doc`` is sorted."""
+    make = xxhash.xxh3_128_digest if wide else xxhash.xxh3_64_digest
+    edges = np.searchsorted(doc, np.arange(len(texts) + 1))
+    out: list[bytes] = []
+    for d in np.unique(doc).tolist():
+        own, text = slice(edges[d], edges[d + 1]), texts[d]
+        out += [make(text[i:j]) for i, j in zip(start[own].tolist(), end[own].tolist())]
+    return np.frombuffer(b"".join(out), dtype=">u8").astype(np.uint64).reshape(len(doc), 2 if wide else 1)
 
 
-def pairs(values: list[tuple[int, int]]) -> np.ndarray:
-    return np.array(values, dtype=np.uint64).reshape(-1, 2)
+def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All whole numbers from each ``first`` to its ``last``, and the place of the pair they come from."""
+    counts = last - first + 1
+    of = np.repeat(np.arange(len(first)), counts)
+    return np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + first[of], of
 
 
 class Keys:
-    """Distinct keys of a block in sorted order, and for each value given its place among them."""
+    """Distinct keys of a block in sorted order; ``place`` has the place among them of each value given."""
 
     def __init__(self, values: np.ndarray, marks: np.ndarray | None = None) -> None:
         order = np.lexsort((values[:, 1], values[:, 0]))
@@ -99,108 +108,121 @@ class Keys:
         new = np.ones(len(values), dtype=bool)
         new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
         self.distinct = ranked[new]
-        self.place = np.empty(len(values), dtype=np.int64)
+        self.place = np.empty(len(values), dtype=np.int32)
         self.place[order] = np.cumsum(new) - 1
-        self.times = np.bincount(self.place, minlength=len(self.distinct))
-        self.first = np.zeros(len(values), dtype=bool)
-        self.first[order[new]] = True
         self.marks = np.zeros(len(self.distinct), dtype=bool)
         if marks is not None:
             self.marks[self.place[marks]] = True
 
-    def dealt(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the distinct keys by part, and the edges of the parts in it."""
+    def requests(self, parts: int) -> list[dict]:
         part = ((self.distinct[:, 1] ^ self.distinct[:, 0]) * MULTIPLIER >> np.uint64(33)).astype(np.int64) % parts
         order = np.argsort(part, kind="stable")
-        return order, np.searchsorted(part[order], np.arange(parts + 1))
-
-    def requests(self, parts: int) -> dict[str, list]:
-        order, edges = self.dealt(parts)
-        full = np.flatnonzero(np.diff(edges))
-        signed = self.distinct[order].view(np.int64)
-        cut = [slice(edges[p], edges[p + 1]) for p in full]
-        return {"part": full.tolist(), "hi": [signed[c, 0] for c in cut], "lo": [signed[c, 1] for c in cut], "mark": [self.marks[order][c].astype(np.uint8).tobytes() for c in cut]}
-
-    def answers(self, parts: int, got: pd.DataFrame) -> np.ndarray:
-        """What was answered, for each value given."""
-        order, _ = self.dealt(parts)
-        codes = np.zeros(len(self.distinct), dtype=np.uint8)
-        if len(got):
-            codes[order] = np.frombuffer(b"".join(got.sort_values("part")["codes"]), dtype=np.uint8)
-        return codes[self.place]
-
-    def repeated(self, codes: np.ndarray) -> np.ndarray:
-        return (self.times[self.place] > 1) | (codes & ELSEWHERE > 0)
-
-
-class Block:
-    """Replays the steps on the texts of one block, as far as answers are there."""
-
-    def __init__(self, texts: list[bytes], length: int, parts: int) -> None:
-        self.texts, self.length, self.parts = texts, length, parts
-        rows = [groups(np.frombuffer(t, dtype=np.uint8), length) for t in texts]
-        self.doc = np.repeat(np.arange(len(texts)), [len(r) for r in rows])
-        self.rows = np.concatenate(rows) if rows else np.zeros((0, 4), dtype=np.int64)
-
-    def context_keys(self) -> np.ndarray:
-        quick, out = xxhash.xxh3_64_intdigest, []
-        for d, (kind, end, start, _) in zip(self.doc.tolist(), self.rows.tolist()):
-            t = self.texts[d]
-            piece = t[end : end + NEAR] if kind == RIGHT else t[end - NEAR : end] if kind == LEFT else t[start : start + self.length]
-            out.append((kind, quick(piece)))
-        return pairs(out)
-
-    def step(self, answers: dict[int, pd.DataFrame]) -> tuple[Keys, None] | tuple[None, np.ndarray]:
-        """The keys to ask for next or, after four answers, for each start of a repeated string (document, start)."""
-        none = pd.DataFrame({"part": [], "codes": []})
-        asked = len(answers)
-        context = Keys(self.context_keys())
-        if asked == 0:
-            return context, None
-        alive = context.repeated(context.answers(self.parts, answers.get(1, none)))
-        doc, rows, context_of = self.doc[alive], self.rows[alive], context.distinct[context.place[alive]]
-        covered, short, has_short = [], [], []
-        for d, (kind, end, start, last) in zip(doc.tolist(), rows.tolist()):
-            t = self.texts[d]
-            covered.append(digest(t[start : last + self.length]))
-            has_short.append(kind == RIGHT and len(t) - end >= SHORT)
-            if has_short[-1]:
-                short.append((4, xxhash.xxh3_64_intdigest(t[end : end + SHORT])))
-        has_short = np.array(has_short, dtype=bool)
-        whole = Keys(np.concatenate([pairs(covered), pairs(short)]))
-        if asked == 1:
-            return whole, None
-        codes = whole.answers(self.parts, answers.get(2, none))
-        repeated, m = whole.repeated(codes), len(rows)
-        settled = repeated[:m]
-        chance = np.ones(m, dtype=bool)
-        chance[has_short] = repeated[m:]
-        chance |= (rows[:, 0] != RIGHT) | (rows[:, 1] - rows[:, 2] > SHORT_FROM)
-        still = ~settled & chance
-        meeting = Keys(context_of, still)
-        if asked == 2:
-            return meeting, None
-        wanted = meeting.answers(self.parts, answers.get(3, none)) & WANTED > 0
-        stands_in = settled & wanted & (codes[:m] & FIRST > 0) & whole.first[:m]
-        detail = np.flatnonzero(still | stands_in)
-        counts = rows[detail, 3] - rows[detail, 2] + 1
-        of_group = np.repeat(detail, counts)
-        starts = np.arange(len(of_group)) - np.repeat(np.cumsum(counts) - counts, counts) + rows[of_group, 2]
-        values = [digest(self.texts[d][s : s + self.length]) for d, s in zip(doc[of_group].tolist(), starts.tolist())]
-        single = Keys(pairs(values))
-        if asked == 3:
-            return single, None
-        found = single.repeated(single.answers(self.parts, answers.get(4, none))) & still[of_group]
-        all_of = rows[settled]
-        counts = all_of[:, 3] - all_of[:, 2] + 1
-        spread = np.repeat(np.arange(len(all_of)), counts)
-        places = np.arange(len(spread)) - np.repeat(np.cumsum(counts) - counts, counts) + all_of[spread, 2]
-        hits = np.concatenate([np.stack([doc[settled][spread], places], axis=1), np.stack([doc[of_group][found], starts[found]], axis=1)])
-        return None, hits
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        signed, marks = self.distinct[order].view(np.int64), self.marks[order].astype(np.uint8)
+        self.dealt = np.empty(len(order), dtype=np.int32)
+        self.dealt[order] = np.arange(len(order))
+        cuts = [(p, slice(edges[p], edges[p + 1])) for p in np.flatnonzero(np.diff(edges)).tolist()]
+        return [{"part": p, "hi": signed[c, 0], "lo": signed[c, 1], "mark": marks[c].tobytes()} for p, c in cuts]
+
+    def answered(self) -> np.ndarray:
+        """Where the answer for each value given will be, once those of all parts are put together in order."""
+        return self.dealt[self.place]
+
+
+def twice(place: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which values come up again, here or in another block."""
+    return (np.bincount(place, minlength=len(codes))[place] > 1) | (codes[place] & ELSEWHERE > 0)
+
+
+def first_here(place: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(place), dtype=bool)
+    out[np.unique(place, return_index=True)[1]] = True
+    return out
+
+
+State = dict[str, np.ndarray]
+
+
+def ask_contexts(texts: list[bytes], length: int) -> tuple[Keys, State]:
+    doc, rows = parsed(texts, length)
+    return Keys(context_keys(texts, doc, rows, length)), {}
+
+
+def parsed(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of all texts, and the text of each."""
+    each = [groups(np.frombuffer(t, dtype=np.uint8), length) for t in texts]
+    return np.repeat(np.arange(len(texts)), [len(r) for r in each]), np.concatenate(each)
+
+
+def context_keys(texts: list[bytes], doc: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
+    kind, end, start = rows[:, 0], rows[:, 1], rows[:, 2]
+    begin = np.select([kind == RIGHT, kind == LEFT], [end, end - NEAR], start)
+    finish = np.select([kind == RIGHT, kind == LEFT], [end + NEAR, end], start + length)
+    return np.concatenate([kind[:, None].astype(np.uint64), digests(texts, doc, begin, finish, False)], axis=1)
+
+
+def ask_covers(texts: list[bytes], state: State, codes: np.ndarray, length: int) -> tuple[Keys, State]:
+    """All bytes of each group whose context comes up again, and for groups near their phrase end a longer context."""
+    doc, rows = parsed(texts, length)
+    alive = twice(state["place"], codes)
+    doc, rows = doc[alive], rows[alive]
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    kind, end, start, last = rows.T
+    short = (kind == RIGHT) & (sizes[doc] - end >= SHORT) if len(rows) else np.zeros(0, dtype=bool)
+    covers = digests(texts, doc, start, last + length, True)
+    longer = digests(texts, doc[short], end[short], end[short] + SHORT, False)
+    longer = np.concatenate([np.full((len(longer), 1), 4, dtype=np.uint64), longer], axis=1)
+    keys = Keys(np.concatenate([covers, longer]))
+    return keys, {"doc": doc, "rows": rows, "short": short, "context": context_keys(texts, doc, rows, length)}
+
+
+def ask_meetings(state: State, codes: np.ndarray) -> tuple[Keys, State]:
+    """Contexts of groups that are still open, marked, and of those that are settled."""
+    rows, short, place = state["rows"], state["short"], state["place"]
+    again, m = twice(place, codes), len(rows)
+    settled, chance = again[:m], np.ones(m, dtype=bool)
+    chance[short] = again[m:]
+    chance |= (rows[:, 0] != RIGHT) | (rows[:, 1] - rows[:, 2] > SHORT_FROM)
+    one_copy = settled & (codes[place[:m]] & FIRST > 0) & first_here(place)[:m]
+    left = settled | chance
+    kept = {"doc": state["doc"][left], "rows": rows[left], "settled": settled[left], "one_copy": one_copy[left]}
+    return Keys(state["context"][left], ~kept["settled"]), kept
+
+
+def ask_starts(texts: list[bytes], state: State, codes: np.ndarray, length: int) -> tuple[Keys, State]:
+    """Every string of the open groups, and of one copy of each settled group that meets one of them."""
+    stands_in = state["one_copy"] & (codes[state["place"]] & WANTED > 0)
+    detail = ~state["settled"] | stands_in
+    starts, of = spread(state["rows"][detail, 2], state["rows"][detail, 3])
+    doc = state["doc"][detail][of]
+    keys = Keys(digests(texts, doc, starts, starts + length, True))
+    spans = np.stack([state["doc"], state["rows"][:, 2], state["rows"][:, 3]], axis=1)
+    return keys, {"whole": spans[state["settled"]], "detail": spans[detail], "open": ~state["settled"][detail]}
+
+
+def repeated_starts(state: State, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and place of every start of a string that comes up again."""
+    starts, of = spread(state["detail"][:, 1], state["detail"][:, 2])
+    found = twice(state["place"], codes) & state["open"][of]
+    places, whole = spread(state["whole"][:, 1], state["whole"][:, 2])
+    return np.concatenate([state["whole"][whole, 0], state["detail"][of[found], 0]]), np.concatenate([places, starts[found]])
+
+
+def saved(state: State) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **state)
+    return zstandard.compress(out.getvalue(), 3)
+
+
+def loaded(data: bytes) -> State:
+    with np.load(io.BytesIO(zstandard.decompress(data))) as arrays:
+        return dict(arrays)
 
 
 def without(text: bytes, starts: np.ndarray, length: int) -> tuple[int, int, bytes]:
     """Bytes removed, maximal runs of them and the bytes left, when all strings at ``starts`` go."""
+    if not len(starts):
+        return 0, 0, text
     edge = np.zeros(len(text) + 1, dtype=np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + length, -1)
@@ -249,57 +271,79 @@ def remove_repeats(
     parts = partitions_for(spark, volume, part_bytes)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, filled, place = 0, block_bytes, 0
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 batch = whole.slice(begin, 256)
-                sizes = [len(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                block, filled, blocks = gather.block, gather.filled, []
-                for size in sizes:
-                    if block is None or filled + size > block_bytes:
-                        block, filled = uuid.uuid4().int >> 65, 0
-                    filled += size
+                blocks, places = [], []
+                for size in batch.column("size").to_pylist():
+                    if filled + size > block_bytes:
+                        block, filled, place = uuid.uuid4().int >> 65, 0, 0
+                    filled, place = filled + size, place + 1
                     blocks.append(block)
-                gather.block, gather.filled = block, filled
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column("id"), batch.column("text")], ["block", "id", "text"])
+                    places.append(place)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(blocks, pa.int64()), pa.array(places, pa.int64()), batch.column("id"), batch.column("text")], ["block", "place", "id", "text"]
+                )
 
-    gather.block, gather.filled = None, 0
-    source = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = source.mapInArrow(gather, "block bigint, id string, text string")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.col(id_col).cast("string").alias("id"), text.alias("text"), F.octet_length(text).alias("size"))
     # bucketed by block, so that the texts stay where they are in every step
     name = f"washboard_repeats_{uuid.uuid4().hex}"
-    blocks.write.bucketBy(parts, "block").option("path", new_path(spark, "repeat-blocks")).option("compression", "zstd").format("parquet").saveAsTable(name)
+    writer = source.mapInArrow(gather, "block bigint, place bigint, id string, text string").write.bucketBy(parts, "block")
+    writer.option("path", new_path(spark, "repeat-blocks")).option("compression", "zstd").format("parquet").saveAsTable(name)
     held = spark.table(name)
 
-    def replay(rows: pd.DataFrame, got: pd.DataFrame, steps: int) -> tuple[Keys | None, np.ndarray | None]:
-        block = Block([t.encode() for t in rows["text"]], length, parts)
-        return block.step({k: got[got["step"] == k] for k in range(1, steps + 1)})
+    def unpacked(got: pd.DataFrame) -> tuple[State, np.ndarray]:
+        """The state a step left and the answers to what it asked."""
+        state = loaded(got.loc[got["part"] < 0, "codes"].iloc[0])
+        return state, np.frombuffer(b"".join(got[got["part"] >= 0].sort_values("part")["codes"]), dtype=np.uint8)
+
+    def in_order(rows: pd.DataFrame) -> list[bytes]:
+        return [t.encode() for t in rows.sort_values("place")["text"]]
+
+    def sent(block: int, keys: Keys, state: State) -> pd.DataFrame:
+        made = keys.requests(parts)
+        note = {"part": -1, "hi": None, "lo": None, "mark": saved(state | {"place": keys.answered()})}
+        out = pd.DataFrame([note, *made], columns=["part", "hi", "lo", "mark"])
+        return out.assign(block=block)[["block", "part", "hi", "lo", "mark"]]
+
+    def first(rows: pd.DataFrame) -> pd.DataFrame:
+        return sent(rows["block"].iloc[0], *ask_contexts(in_order(rows), length))
+
+    def second(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        return sent(rows["block"].iloc[0], *ask_covers(in_order(rows), *unpacked(got), length))
 
-    def ask(steps: int):
-        def run(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-            keys, _ = replay(rows, got, steps)
-            sent = pd.DataFrame({k: pd.Series(v, dtype="int64" if k == "part" else object) for k, v in keys.requests(parts).items()})
-            return sent.assign(block=rows["block"].iloc[0])[["block", "part", "hi", "lo", "mark"]]
+    def third(got: pd.DataFrame) -> pd.DataFrame:
+        return sent(got["block"].iloc[0], *ask_meetings(*unpacked(got)))
 
-        return run
+    def fourth(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        return sent(rows["block"].iloc[0], *ask_starts(in_order(rows), *unpacked(got), length))
 
     def finish(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        _, hits = replay(rows, got, 4)
-        hits = hits[np.argsort(hits[:, 0], kind="stable")]
-        edges = np.searchsorted(hits[:, 0], np.arange(len(rows) + 1))
+        rows = rows.sort_values("place")
+        doc, starts = repeated_starts(*unpacked(got))
+        by_doc = np.argsort(doc, kind="stable")
+        edges, starts = np.searchsorted(doc[by_doc], np.arange(len(rows) + 1)), starts[by_doc]
         out = []
-        for i, text in enumerate(rows["text"]):
-            data = text.encode()
-            removed, runs, kept = without(data, hits[edges[i] : edges[i + 1], 1], length)
+        for i, data in enumerate(map(str.encode, rows["text"])):
+            removed, runs, kept = without(data, starts[edges[i] : edges[i + 1]], length)
             out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept if texts else None))
         made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
         return pd.concat([rows[["id"]].reset_index(drop=True), made], axis=1)
 
-    answered = spark.createDataFrame([], f"{ANSWER}, step int")
-    for steps in range(4):
-        asked = held.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(ask(steps), REQUEST)
-        replies = asked.repartition(parts, "part").groupBy("part").applyInPandas(answer, ANSWER)
-        answered = answered.unionByName(stage(replies.withColumn("step", F.lit(steps + 1)), "repeat-answers"))
+    def replies(asked: DataFrame) -> DataFrame:
+        """The answers to a step, with the states it left."""
+        asked = stage(asked, "repeat-requests")
+        requests = asked.filter(F.col("part") >= 0).repartition(parts, "part").groupBy("part").applyInPandas(answer, ANSWER)
+        return stage(requests.unionByName(asked.filter(F.col("part") < 0).select("block", "part", F.col("mark").alias("codes"))), "repeat-answers")
+
+    by_block = held.groupBy("block")
+    got = replies(by_block.applyInPandas(first, REQUEST))
+    got = replies(by_block.cogroup(got.groupBy("block")).applyInPandas(second, REQUEST))
+    got = replies(got.groupBy("block").applyInPandas(third, REQUEST))
+    got = replies(by_block.cogroup(got.groupBy("block")).applyInPandas(fourth, REQUEST))
     result = "id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    done = held.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(finish, result)
+    done = by_block.cogroup(got.groupBy("block")).applyInPandas(finish, result)
     columns = [F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
     return done.select(*columns)
