@@ -52,7 +52,7 @@ def test_long_keys_stay_distinct(spark):
     assert found[-1] is None and len(set(found)) == 5 and max(len(k) for k in found if k) <= 65
 
 
-def test_scoring_in_place_equals_join(spark, sf_dir, monkeypatch):
+def test_large_maps_give_the_same_rows(spark, sf_dir, monkeypatch):
     pack = dirty_pack()
     t = cells.apply_rules(cells.null_standardize(cells.trim_whitespace(TrackedFrame.begin(dirty(spark, sf_dir)))), pack)
 
@@ -61,14 +61,31 @@ def test_scoring_in_place_equals_join(spark, sf_dir, monkeypatch):
         out = banks.standardize_banks(canonical.canonicalize(t, pack, labels), pack, names)
         return labels, sorted(rows(out.cells()), key=str)
 
-    joined, first = run()
-    assert joined.joined and not joined.inline
+    broadcast, first = run()
+    assert broadcast.small
     monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
-    in_place, second = run()
-    assert in_place.inline and not in_place.joined
+    shuffled, second = run()
+    assert not shuffled.small
     assert first == second
 
 
+def test_only_distinct_values_are_scored(spark, sf_dir):
+    """One scorer in the plan, and above the aggregate that finds the distinct values."""
+    pack = dirty_pack()
+    t = cells.apply_rules(TrackedFrame.begin(dirty(spark, sf_dir)), pack)
+    for scored in (canonical.score_labels(t, pack), banks.score_banks(t, pack)):
+        lines = scored._jdf.queryExecution().executedPlan().toString().split("\n")
+        depth = [i for i, line in enumerate(lines) if "ArrowEvalPython" in line]
+        aggregates = [i for i, line in enumerate(lines) if "HashAggregate" in line]
+        assert len(depth) == 1 and aggregates and depth[0] < min(aggregates)
+
+
+def test_hot_groups_are_cut_without_a_sort(spark):
+    table = _lopsided(spark)
+    plan = keys.rows_with_repeated_key(table, ["key"], limit=2)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan
+
+
 def test_same_row_many_times(spark):
     """Half of the rows are one row; every copy is flagged, in one record each."""
     data = [(i, "7", "same text") if i % 2 else (i, str(i), f"text {i}") for i in range(400)]

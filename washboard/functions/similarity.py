@@ -172,7 +172,8 @@ def best_choice_udf(choices: dict[int, Sequence[str]], at_least: float = 0.0, fo
     """Pandas UDF (slot, value) -> (choice, score), with one list of choices per slot.
 
     Each batch scores its distinct values once. ``fold_case`` compares with lower-cased choices and still
-    returns the choice as written."""
+    returns the choice as written. Declared nondeterministic so that the optimizer neither moves a filter on the
+    result below the aggregate that finds the distinct values nor evaluates it twice."""
     compare = {
         slot: {c.lower() if fold_case else c: c for c in sorted(set(many), reverse=True)}
         for slot, many in choices.items()
@@ -190,4 +191,4 @@ def best_choice_udf(choices: dict[int, Sequence[str]], at_least: float = 0.0, fo
             "score": pd.array([h[1] if h else None for h in hits], dtype="Int32"),
         })
 
-    return score
+    return score.asNondeterministic()

@@ -37,12 +37,6 @@ def alias_bank(v: Column, pack: RulePack) -> Column:
     )
 
 
-def _resolved(v: Column, pack: RulePack, udf) -> tuple[Column, Column]:
-    alias = alias_bank(v, pack)
-    best = udf(F.lit(0), F.when(alias.isNull(), text.alnum_key(v)))
-    return alias, best
-
-
 def _scorer(pack: RulePack):
     return best_choice_udf({0: tuple(pack.banks)}, pack.auto_score)
 
@@ -70,15 +64,7 @@ def standardize_banks(t: TrackedFrame, pack: RulePack, decided: ValueMap) -> Tra
     columns = bank_columns(t.names, pack) if pack.banks else []
     if not columns:
         return t
-    udf = _scorer(pack)
-
-    def in_place(name):
-        def expression():
-            alias, best = _resolved(t.value(name), pack, udf)
-            return F.when(alias.isNotNull(), F.struct(alias.alias("choice"), F.lit(100).alias("score"))).otherwise(best)
-        return expression
-
-    t = attach_values(t, decided, {n: in_place(n) for n in columns})
+    t = attach_values(t, decided, columns)
     edits = {
         n: Edit(F.coalesce(F.col(f"choice{t.slot(n)}"), t.value(n)), "BANK_STANDARDIZED") for n in columns
     }

@@ -1,7 +1,7 @@
 """Mapping category and place names to their labels, exactly or by similarity.
 
 Exact matches (ignoring case) are resolved by an expression in the row. Of everything else only the
-distinct values are scored, and the resulting map is joined back by broadcast once its size is known.
+distinct values are scored, once each, and the resulting map is joined back, by broadcast where its size allows.
 """
 
 from __future__ import annotations
@@ -60,13 +60,8 @@ def canonicalize(t: TrackedFrame, pack: RulePack, decided: ValueMap) -> TrackedF
     columns = labelled(t, pack)
     if not columns:
         return t
-    udf = _scorer(t, pack, columns, pack.review_score)
     opened = _open_values(t, pack, columns)
-
-    def in_place(name):
-        return lambda: udf(F.lit(t.slot(name)), F.lower(F.when(opened[name], t.value(name))))
-
-    t = attach_values(t, decided, {n: in_place(n) for n in columns})
+    t = attach_values(t, decided, columns)
     edits = {}
     for n, (rule, labels) in columns.items():
         v, slot = t.value(n), t.slot(n)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from washboard.operators.tracked import TrackedFrame
+from washboard.operators.tracked import ROW_COLUMN, TrackedFrame
 from washboard.session import stage
 
 # A table is only broadcast when a count over the written table shows it is within these limits.
@@ -26,12 +25,13 @@ def bounded_key(c: Column) -> Column:
 def members_of(rows: DataFrame, groups: DataFrame, on: list[str], weight: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join of ``rows`` with ``groups`` (a written table, one row per key, keys bounded in length).
 
-    When all groups fit the limit they are broadcast. Otherwise the ``limit`` heaviest groups are
-    broadcast, so their rows never move, and only rows of the lighter groups are shuffled by key. No
-    light group can hold more than 1/limit of the rows, hence no partition of that shuffle is hot."""
-    if groups.count() <= limit:
+    When all groups fit the limit they are broadcast. Otherwise those that hold at least 1/limit of all rows in
+    groups are broadcast, so their rows never move, and only rows of the lighter groups are shuffled by key."""
+    sizes = groups.agg(F.count("*").alias("groups"), F.sum(weight).alias("rows")).first()
+    if sizes["groups"] <= limit:
         return rows.join(F.broadcast(groups), on)
-    hot = stage(groups.orderBy(F.desc(weight)).limit(limit), "hot-groups")
+    # at most ``limit`` groups can have that share of the rows, so a plain filter finds them
+    hot = stage(groups.where(F.col(weight) * limit >= sizes["rows"]), "hot-groups")
     hot_keys = F.broadcast(hot.select(*on))
     light = rows.join(hot_keys, on, "left_anti").join(groups.join(hot_keys, on, "left_anti"), on)
     return rows.join(F.broadcast(hot), on).unionByName(light)
@@ -47,12 +47,11 @@ def left_by_row(rows: DataFrame, flags: DataFrame, row: str, limit: int = BROADC
 
 @dataclass(frozen=True)
 class ValueMap:
-    """Decided replacements: a written table (slot, value, choice, score) for slots small enough to
-    broadcast, and the slots whose map is too large, which are scored in place instead."""
+    """Decided replacements: a written table (slot, value, choice, score), and the slots whose part of it is small enough to
+    broadcast."""
 
     table: DataFrame | None = None
-    joined: frozenset = frozenset()
-    inline: frozenset = frozenset()
+    small: frozenset = frozenset()
 
 
 def distinct_cells(t: TrackedFrame, wanted: dict[str, Column]) -> DataFrame:
@@ -66,38 +65,38 @@ def distinct_cells(t: TrackedFrame, wanted: dict[str, Column]) -> DataFrame:
 
 
 def decide_values(scored: DataFrame, label: str) -> ValueMap:
-    """Write the (slot, value, choice, score) table and choose per slot between broadcast and in place."""
+    """Write the (slot, value, choice, score) table and find the slots that can be broadcast."""
     table = stage(scored, label)
     # one row per slot, i.e. per column
     sizes = table.groupBy("slot").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars")).collect()
-    joined, inline, rows, chars = set(), set(), 0, 0
+    small, rows, chars = set(), 0, 0
     for size in sorted(sizes, key=lambda s: (s["n"], s["slot"])):
         rows, chars = rows + size["n"], chars + size["chars"]
-        (joined if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS else inline).add(size["slot"])
-    return ValueMap(table, frozenset(joined), frozenset(inline))
+        if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS:
+            small.add(size["slot"])
+    return ValueMap(table, frozenset(small))
 
 
-def attach_values(t: TrackedFrame, decided: ValueMap, in_place: dict[str, Callable[[], Column]]) -> TrackedFrame:
-    """Add ``choice<slot>`` and ``score<slot>`` for every column of ``in_place``; null where nothing fits.
+def attach_values(t: TrackedFrame, decided: ValueMap, names) -> TrackedFrame:
+    """Add ``choice<slot>`` and ``score<slot>`` for every column of ``names``; null where nothing fits.
 
-    ``in_place`` gives the struct (choice, score) expression used for slots that are not broadcast."""
+    Every value was scored once, when the map was made. A part of it that is too large to broadcast is joined by a
+    shuffle on the value, with null values spread by row; frequent values are left to Spark's skew join."""
     df = t.df
-    for name, expression in in_place.items():
+    for name in names:
         slot = t.slot(name)
-        if slot in decided.joined:
-            part = decided.table.where(F.col("slot") == slot).select(
-                F.col("value").alias(f"key{slot}"), F.col("choice").alias(f"choice{slot}"),
-                F.col("score").alias(f"score{slot}"),
-            )
+        if decided.table is None:
+            df = df.withColumns({f"choice{slot}": F.lit(None).cast("string"), f"score{slot}": F.lit(None).cast("int")})
+            continue
+        part = decided.table.where(F.col("slot") == slot).select(
+            F.col("value").alias(f"key{slot}"), F.col("choice").alias(f"choice{slot}"), F.col("score").alias(f"score{slot}"),
+        )
+        if slot in decided.small:
             df = df.join(F.broadcast(part), t.value(name) == F.col(f"key{slot}"), "left").drop(f"key{slot}")
-        elif slot in decided.inline:
-            df = df.withColumn(f"best{slot}", expression()).withColumns(
-                {f"choice{slot}": F.col(f"best{slot}.choice"), f"score{slot}": F.col(f"best{slot}.score")}
-            ).drop(f"best{slot}")
         else:
-            df = df.withColumns(
-                {f"choice{slot}": F.lit(None).cast("string"), f"score{slot}": F.lit(None).cast("int")}
-            )
+            spread = F.when(t.value(name).isNull(), F.pmod(F.hash(ROW_COLUMN), F.lit(1000)))
+            same = F.coalesce(F.concat(F.lit("="), t.value(name)), F.concat(F.lit("#"), spread.cast("string")))
+            df = df.join(part, same == F.concat(F.lit("="), F.col(f"key{slot}")), "left").drop(f"key{slot}")
     return t.with_df(df)
 
 

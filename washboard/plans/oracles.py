@@ -34,11 +34,13 @@ SIGNED = r"'^[+-]?\p{Nd}+(\.\p{Nd}+)?$'"
 UNSIGNED = r"'^\p{Nd}+(\.\p{Nd}+)?$'"
 SCI = r"'^[+-]?\p{Nd}+\.?\p{Nd}*[eE][+-]?\p{Nd}+'"
 PARSEABLE = r"'^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$'"
+D, SP = r"\p{Nd}", r"[\s\x0B\x{85}\p{Z}]"
+EDGE, END = r"(^|[^\p{L}\p{M}\p{N}_])", r"($|[^\p{L}\p{M}\p{N}_])"  # word borders, which \b knows for ASCII only
 SIGNAL = (
-    r"'\b[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}\b|\b[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}\b"
-    r"|\b[0-9]{1,2}\s+[A-Za-z]{3,9}\s+[0-9]{2,4}\b|\b[A-Za-z]{3,9}\s+[0-9]{1,2},?\s+[0-9]{2,4}\b'"
+    f"'{EDGE}({D}{{4}}[-/]{D}{{1,2}}[-/]{D}{{1,2}}|{D}{{1,2}}[-/]{D}{{1,2}}[-/]{D}{{2,4}}"
+    f"|{D}{{1,2}}{SP}+[A-Za-z]{{3,9}}{SP}+{D}{{2,4}}|[A-Za-z]{{3,9}}{SP}+{D}{{1,2}},?{SP}+{D}{{2,4}}){END}'"
 )
-TIME_ONLY = r"'^\s*[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?\s*([AaPp][Mm])?\s*$'"
+TIME_ONLY = f"'^{SP}*{D}{{1,2}}:{D}{{2}}(:{D}{{2}})?{SP}*([AaPp][Mm])?{SP}*$'"
 STRICT, SAFE = r"A-Za-z0-9\-.", r"A-Za-z0-9\-.,#/&''()"
 
 BANK_PLAIN = [(k.lower(), v) for v, many in domain.BANKS.items() for k in (v, *many)]
