@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from washboard.session import stage
+from washboard.session import new_path, stage
 
-__all__ = ["documents", "table", "stage", "text_pass", "partitions_for", "text_bytes", "WORD", "size_of"]
+__all__ = ["documents", "table", "stage", "text_pass", "bucketed", "partitions_for", "text_bytes", "WORD", "size_of"]
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,6 +54,15 @@ def text_pass(df: DataFrame, column: str, added: T.StructType, make: Callable[[l
     return df.mapInArrow(run, schema)
 
 
+def bucketed(df: DataFrame, buckets: int, key: str, label: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key`` and read back, so that later groupings by ``key`` leave it
+    in place."""
+    name = f"washboard_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(buckets, key).option("path", new_path(df.sparkSession, label)).option("compression", "zstd")
+    writer.format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0))
 

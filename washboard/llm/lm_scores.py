@@ -18,16 +18,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washboard.llm.common import partitions_for, size_of, stage
+from washboard.llm.common import bucketed, partitions_for, size_of
 from washboard.llm.tokens import VOCABULARY, ids
 
 BASE = np.int64(50_258)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BACKOFF = 0.4
 #: Tokens of a block at most, beyond its last document's.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Text bytes for which the count table has a part of its own.
-PART_BYTES = 12 << 20
+PART_BYTES = 8 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -118,34 +118,20 @@ def lm_scores(
     _, volume = size_of(docs, text_col)
     parts = partitions_for(spark, volume, part_bytes)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row with the documents of a block and one for each part of the count table that it asks."""
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for the documents of each block."""
         encoder = ids(vocabulary)
         held: list[np.ndarray] = []
         names: list[pa.Array] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            lengths = np.array([len(d) for d in held], dtype="<i8")
-            tokens = np.concatenate(held)
-            keys, n = block_counts(tokens, np.repeat(np.arange(len(held)), lengths), order)
-            part = parts_of(keys, parts)
-            by_part = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[by_part], np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(edges))
-            keys, n = keys[by_part].astype("<i8"), n[by_part].astype("<i4")
-            cut = [slice(edges[p], edges[p + 1]) for p in full]
             ids_of = pa.concat_arrays(names)
-            rows = 1 + len(full)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([uuid.uuid4().int >> 65] * rows, pa.int64()), pa.array([None, *full.tolist()], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array([0] + [len(ids_of)] * rows, pa.int32()), ids_of),
-                    pa.array([pack(tokens.astype("<u2")), *(pack(np.diff(keys[c], prepend=0)) for c in cut)], pa.binary()),
-                    pa.array([pack(lengths), *(pack(n[c]) for c in cut)], pa.binary()),
-                ],
-                ["block", "part", "ids", "data", "n"],
-            )
+            columns = [
+                pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids_of)], pa.int32()), ids_of),
+                pa.array([pack(np.concatenate(held).astype("<u2"))], pa.binary()), pa.array([pack(np.array([len(d) for d in held], dtype="<i8"))], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "data", "n"])
 
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
@@ -160,10 +146,27 @@ def lm_scores(
         if held:
             yield close()
 
-    schema = "block bigint, part int, ids array<string>, data binary, n binary"
-    sent = stage(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(send, schema), "lm-blocks")
-    texts = sent.filter(F.col("part").isNull()).select("block", "ids", "data", "n")
-    requests = sent.filter(F.col("part").isNotNull()).select("part", "block", "data", "n")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    # bucketed by block, so that the documents stay where they are when the answers come
+    texts = bucketed(rows.mapInArrow(gather, "block bigint, ids array<string>, data binary, n binary"), parts, "block", "lm-blocks")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each part of the count table that a block asks."""
+        for batch in batches:
+            for block, data, n in zip(*(batch.column(c).to_pylist() for c in ("block", "data", "n")), strict=True):
+                lengths = unpack(n, "<i8")
+                keys, counts = block_counts(unpack(data, "<u2"), np.repeat(np.arange(len(lengths)), lengths), order)
+                part = parts_of(keys, parts)
+                by_part = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[by_part], np.arange(parts + 1))
+                full = np.flatnonzero(np.diff(edges))
+                keys, counts = keys[by_part].astype("<i8"), counts[by_part].astype("<i4")
+                cut = [slice(edges[p], edges[p + 1]) for p in full]
+                columns = [pa.array([block] * len(full), pa.int64()), pa.array(full, pa.int32())]
+                columns += [pa.array([pack(np.diff(keys[c], prepend=0)) for c in cut], pa.binary()), pa.array([pack(counts[c]) for c in cut], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "part", "data", "n"])
+
+    requests = texts.select("block", "data", "n").mapInArrow(send, "block bigint, part int, data binary, n binary")
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

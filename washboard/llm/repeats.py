@@ -31,8 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washboard.llm.common import partitions_for, size_of
-from washboard.session import new_path, stage
+from washboard.llm.common import bucketed, partitions_for, size_of, stage
 
 WINDOW = 8
 #: Bytes that decide whether a phrase ends: a window and the windows before it, which must not end one.
@@ -289,10 +288,7 @@ def remove_repeats(
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("string").alias("id"), text.alias("text"), F.octet_length(text).alias("size"))
     # bucketed by block, so that the texts stay where they are in every step
-    name = f"washboard_repeats_{uuid.uuid4().hex}"
-    writer = source.mapInArrow(gather, "block bigint, place bigint, id string, text string").write.bucketBy(parts, "block")
-    writer.option("path", new_path(spark, "repeat-blocks")).option("compression", "zstd").format("parquet").saveAsTable(name)
-    held = spark.table(name)
+    held = bucketed(source.mapInArrow(gather, "block bigint, place bigint, id string, text string"), parts, "block", "repeat-blocks")
 
     def unpacked(got: pd.DataFrame) -> tuple[State, np.ndarray]:
         """The state a step left and the answers to what it asked."""
