@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from washboard.plans.queries import REGISTRY
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -29,7 +30,7 @@ def ordered(found):
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"output_sizes"}
+    assert set(REGISTRY) <= set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -46,11 +47,6 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert ordered(found) == ordered(expected)
 
 
-def test_sizes(spark, sf_dir):
-    sizes = QUERIES["output_sizes"](spark, sf_dir).first()
-    assert sizes["total_size_mb"] == pytest.approx(sizes["cleaned_size_mb"] + sizes["report_size_mb"])
-
-
 def test_entry(spark):
     report = entry_point.entry(spark)
     assert report.columns == ["uuid", "original_values", "cleaned_values", "manual_reviews", "is_dup", "is_dup_cnic"]

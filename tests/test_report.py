@@ -3,6 +3,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from washboard.operators import report as R
+from washboard.sinks import outputs
 
 
 def report_of(spark, keys):
@@ -18,13 +19,13 @@ MIXED = ["10", "9", "b", "A", "é", "9__duplicate_row_3", "ROW_2", ""]
 ])
 def test_order_and_paging(spark, keys, order):
     df = report_of(spark, keys)
-    numeric = R.keys_are_numeric(df)
+    df = R.in_stored_order(df)
     assert [r[0] for r in rows(R.sort_report(df), "uuid")] == order
     size, by_page, by_cursor, cursor = 7, [], [], None
     for page in range(1, len(keys) // size + 3):
-        by_page += [r[0] for r in rows(R.page_by_offset(df, page, size, numeric), "uuid")]
+        by_page += [r[0] for r in rows(R.page_by_offset(df, page, size), "uuid")]
     while True:
-        found = [r[0] for r in rows(R.page_by_cursor(df, cursor, size, numeric), "uuid")]
+        found = [r[0] for r in rows(R.page_by_cursor(df, cursor, size), "uuid")]
         by_cursor += found
         if len(found) < size:
             break
@@ -32,10 +33,27 @@ def test_order_and_paging(spark, keys, order):
     assert by_page == order and by_cursor == order
 
 
-def test_deep_page_equals_top_page(spark):
-    df = report_of(spark, NUMERIC)
-    for page in (1, 3, 5, 9):
-        assert rows(R.page_by_offset(df, page, 10, top_rows=0)) == rows(R.page_by_offset(df, page, 10))
+def test_pages_of_a_written_report_are_filters(spark, tmp_path):
+    keys = [str(i) for i in range(500)]
+    target = outputs.route_output(str(tmp_path), "banks")
+    outputs.write_report(report_of(spark, reversed(keys)), target)
+    stored = outputs.read_report(spark, target)
+    for page in (1, 7, 25, 30):
+        assert [r[0] for r in rows(R.page_by_offset(stored, page, 20), "uuid")] == keys[(page - 1) * 20 : page * 20]
+    plan = R.page_by_offset(stored, 25, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(place,480)" in plan and "TakeOrderedAndProject" not in plan
+    plan = R.page_by_cursor(stored, R.encode_cursor("77"), 20)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(key_number,77.0)" in plan and "TakeOrderedAndProject(limit=20" in plan
+    page = R.read_page(stored, 20, R.encode_cursor("77"))
+    assert [r["uuid"] for r in page.rows.collect()] == keys[78:98] and page.metadata["cursor"] == R.encode_cursor("77")
+    assert page.metadata["total_rows"] == 500 and page.summary["total_cleaned"] == 0
+    assert set(R.ORDER_COLUMNS).isdisjoint(page.rows.columns)
+
+
+def test_broken_json_is_an_error(spark):
+    df = R.report_defaults(spark.createDataFrame([("1", "{broken")], "uuid string, cleaned_values string"))
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        R.decode_report(df).collect()
 
 
 def test_metadata(spark):

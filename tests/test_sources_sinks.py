@@ -2,10 +2,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from washboard.operators import lookup
 from washboard.plans.clean import clean_dataset
 from washboard.rules import ColumnRule, RulePack
 from washboard.sinks import outputs
-from washboard.session import release, stage
+from washboard.session import release, stage, staging
 from washboard.sources import csv, row_index
 
 
@@ -105,3 +106,57 @@ def test_release_deletes_intermediate_tables(spark):
     release(spark)
     staged = stage(spark.range(3), "test")
     assert staged.count() == 3 and release(spark) == 1 and release(spark) == 0
+
+
+def test_staging_deletes_its_own_tables_only(spark):
+    before = stage(spark.range(4), "test")
+    with staging(spark):
+        inside = stage(spark.range(3), "test")
+        assert inside.count() == 3
+    assert before.count() == 4
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        inside.select("id").collect()
+
+
+def _files(tmp_path, **texts):
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_more_fields_than_the_header_are_an_error(spark, tmp_path, multi_line):
+    path = _files(tmp_path, a="a,b\n1,2\n3\n\"x, y\",\n")
+    found = csv.scan_csv_text(spark, path, multi_line=multi_line, na=()).collect()
+    assert sorted(tuple(r) for r in found if r[0]) == [("1", "2"), ("3", None), ("x, y", None)]
+    for extra in ("1,2,EXTRA", "1,2,", '1,2,"q, r"'):
+        path = _files(tmp_path, a=f"a,b\n0,0\n{extra}\n")
+        with pytest.raises(Exception, match="more than 2 fields"):
+            csv.load_dataset(spark, path, multi_line=multi_line).collect()
+
+
+def test_headers_that_differ_are_an_error(spark, tmp_path):
+    path = _files(tmp_path, one="a,b\n1,2\n", two="b,a\n9,8\n")
+    with pytest.raises(Exception, match="header"):
+        csv.scan_csv_text(spark, path).collect()
+
+
+def test_files_without_lines_are_passed_over(spark, tmp_path):
+    path = _files(tmp_path, one="", two="a,b\n1,2\n")
+    assert [tuple(r) for r in csv.scan_csv_text(spark, path).collect()] == [("1", "2")]
+    with pytest.raises(FileNotFoundError):
+        csv.scan_csv_text(spark, str(tmp_path / "one.csv"))
+
+
+def test_cleaned_keeps_row_order_and_needs_no_flags(spark, tmp_path, monkeypatch):
+    data = [(i, "7" if i % 3 else str(i), f"text {i}") for i in range(500)]
+    df = spark.createDataFrame(data, "row_idx long, da_uuid string, note string").repartition(5)
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    result = clean_dataset(df, RulePack(rules=(ColumnRule("da_uuid", "numeric", unique=True),)))
+    assert "Join" not in result.cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in result.report()._jdf.queryExecution().executedPlan().toString()  # made once and written
+    target = outputs.route_output(str(tmp_path), "banks")
+    outputs.write_cleaned(result.cleaned, target)
+    parts = sorted((tmp_path / "Banks_Financials" / "Banks_Financials_cleaned.parquet").glob("part-*"))
+    notes = [r["note"] for p in parts for r in spark.read.parquet(str(p)).collect()]
+    assert notes == [n for _, _, n in data]

@@ -13,7 +13,6 @@ from washboard.rules import RulePack, normal_name
 # Rows read in the first attempt at the sample, and the factor for the next one.
 FIRST_STRETCH = 50_000
 STRETCH_FACTOR = 50
-GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def date_candidates(names, pack: RulePack) -> list[str]:
@@ -24,10 +23,7 @@ def head_per_column(t: TrackedFrame, pack: RulePack, names, below: int | None =
     """First ``date_sample`` non-null values of each column in row order: slot, row_idx, value, rank.
 
     ``below`` limits the rows read. Each task keeps only its own first values before the shuffle, which is
-    what bounds the few partitions behind it; Spark does so up to a threshold, raised here where needed."""
-    conf = t.df.sparkSession.conf
-    if int(conf.get(GROUP_LIMIT, "0")) < pack.date_sample:
-        conf.set(GROUP_LIMIT, str(pack.date_sample))
+    what bounds the few partitions behind it; Spark does so up to a threshold that ``build_session`` sets."""
     df = t.df if below is None else t.df.where(F.col(ROW_COLUMN) < below)
     cells = [
         F.when(

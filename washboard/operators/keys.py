@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from washboard import domain
 from washboard.functions import numbers, text
+from washboard.operators import lookup
 from washboard.operators.lookup import BROADCAST_ROWS, bounded_key, left_by_row, members_of
 from washboard.operators.tracked import ROW_COLUMN, TrackedFrame
 from washboard.rules import RulePack
@@ -130,7 +131,7 @@ def apply_flags(t: TrackedFrame, pack: RulePack, flags: DataFrame) -> TrackedFra
     ids, cnics = unique_columns(t.names, pack)
     slots = [t.slot(n) for n in ids + cnics]
     names = [f"repeat{s}" for s in slots] + ["later_key", "same_row"]
-    df = left_by_row(t.df, flags, ROW_COLUMN).withColumns({n: F.coalesce(n, F.lit(False)) for n in names})
+    df = left_by_row(t.df, flags, ROW_COLUMN, lookup.BROADCAST_ROWS).withColumns({n: F.coalesce(n, F.lit(False)) for n in names})
     is_dup = F.col(f"repeat{t.slot(ids[-1])}") if ids else F.lit(False)
     is_dup_cnic = F.lit(False)
     for n in cnics:

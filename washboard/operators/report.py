@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ JSON_COLUMNS = ("original_values", "cleaned_values", "manual_reviews")
 EMPTY_VALIDATION = '{"result": "PASS", "filters": []}'
 VALIDATION_TYPE = "struct<result:string,filters:array<string>>"
 EMPTY_TEXTS = ("", "null", "None", "{}", "[]")
-# Up to this many rows a page is taken as the tail of a bounded top-n; deeper pages use row numbers.
-TOP_ROWS = 1_000_000
+# Stored with a report, so that a page is a range of places and a cursor a range of keys: the place in sort order, the key as
+# a number where it is one, and whether all keys are.
+ORDER_COLUMNS = ("place", "key_number", "keys_numeric")
 
 
 def report_defaults(report: DataFrame) -> DataFrame:
@@ -39,9 +41,9 @@ def report_defaults(report: DataFrame) -> DataFrame:
 
 
 def decode_map(text: Column, value_type: str = "string") -> Column:
-    """JSON object text as a map; an empty map for null, empty or broken text."""
+    """JSON object text as a map; an empty map for null or empty text. Text that cannot be read is an error."""
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{value_type}>"))
-    return F.coalesce(F.from_json(F.when(text != "", text), f"map<string,{value_type}>"), empty)
+    return F.coalesce(F.from_json(F.when(text != "", text), f"map<string,{value_type}>", {"mode": "FAILFAST"}), empty)
 
 
 def decode_validation(text: Column) -> Column:
@@ -63,6 +65,9 @@ def decode_report(report: DataFrame) -> DataFrame:
 
 def keys_are_numeric(report: DataFrame) -> bool:
     """True when every key is a number; one other key puts the whole report in text order."""
+    if "keys_numeric" in report.columns:
+        row = report.select("keys_numeric").first()
+        return bool(row and row["keys_numeric"])
     row = report.agg(F.bool_and(numbers.to_number(F.col("uuid").cast("string")).isNotNull()).alias("all")).first()
     return bool(row["all"])
 
@@ -73,18 +78,30 @@ def sort_columns(numeric: bool) -> list[Column]:
     return [numbers.to_number(uuid), uuid] if numeric else [uuid]
 
 
+def in_stored_order(report: DataFrame) -> DataFrame:
+    """``report`` with ORDER_COLUMNS, sorted once and written. A report that has them is returned as it is."""
+    if set(ORDER_COLUMNS) <= set(report.columns):
+        return report
+    numeric = keys_are_numeric(report)
+    number = numbers.to_number(F.col("uuid").cast("string"))
+    placed = by_order(report.drop(*ORDER_COLUMNS), *sort_columns(numeric), row="place")
+    return placed.withColumns({"key_number": number, "keys_numeric": F.lit(numeric)})
+
+
 def after_key(key: str, numeric: bool) -> Column:
-    """Rows that come strictly after a key."""
+    """Rows of a report in stored order that come strictly after a key."""
     uuid = F.col("uuid").cast("string")
     if not numeric:
         return uuid > F.lit(key)
-    number, last = numbers.to_number(uuid), F.lit(float(key))
-    return (number > last) | ((number == last) & (uuid > F.lit(key)))
+    last = F.lit(float(key))
+    return (F.col("key_number") > last) | ((F.col("key_number") == last) & (uuid > F.lit(key)))
 
 
-def sort_report(report: DataFrame, numeric: bool | None = None) -> DataFrame:
-    numeric = keys_are_numeric(report) if numeric is None else numeric
-    return report.orderBy(*sort_columns(numeric))
+def sort_report(report: DataFrame) -> DataFrame:
+    """The whole report in sort order, by the stored place where there is one."""
+    if "place" in report.columns:
+        return report.orderBy("place").drop(*ORDER_COLUMNS)
+    return report.orderBy(*sort_columns(keys_are_numeric(report)))
 
 
 def cursor_column(key: Column) -> Column:
@@ -116,53 +133,53 @@ def _check_size(page_size: int) -> None:
         raise ValueError("page_size must be at least 1")
 
 
-def page_by_offset(report: DataFrame, page: int, page_size: int, numeric: bool | None = None, top_rows: int = TOP_ROWS) -> DataFrame:
-    """Page number ``page`` (from 1) in sort order; empty past the end."""
+def _range(report: DataFrame, start: int, size: int) -> DataFrame:
+    return report.where((F.col("place") >= start) & (F.col("place") < start + size)).orderBy("place").drop(*ORDER_COLUMNS)
+
+
+def page_by_offset(report: DataFrame, page: int, page_size: int) -> DataFrame:
+    """Page number ``page`` (from 1) in sort order; empty past the end. A report in stored order is read by a filter on the
+    place; any other is sorted and written first, for each call."""
     _check_size(page_size)
     if page < 1:
         raise ValueError("page must be at least 1")
-    numeric = keys_are_numeric(report) if numeric is None else numeric
-    start = (page - 1) * page_size
-    order = sort_columns(numeric)
-    if start + page_size <= top_rows:
-        return report.orderBy(*order).offset(start).limit(page_size)
-    place = F.col("_place")
-    numbered = by_order(report, *order, row="_place")
-    return numbered.where((place >= start) & (place < start + page_size)).orderBy(place).drop("_place")
+    return _range(in_stored_order(report), (page - 1) * page_size, page_size)
 
 
-def page_by_cursor(report: DataFrame, cursor: str | None, page_size: int, numeric: bool | None = None) -> DataFrame:
+def page_by_cursor(report: DataFrame, cursor: str | None, page_size: int) -> DataFrame:
     """The next ``page_size`` rows after a cursor; the first ones without a cursor."""
     _check_size(page_size)
-    numeric = keys_are_numeric(report) if numeric is None else numeric
-    rest = report if cursor is None else report.where(after_key(decode_cursor(cursor), numeric))
-    return rest.orderBy(*sort_columns(numeric)).limit(page_size)
+    report = in_stored_order(report)
+    if cursor is None:
+        return _range(report, 0, page_size)
+    rest = report.where(after_key(decode_cursor(cursor), keys_are_numeric(report)))
+    return rest.orderBy("place").limit(page_size).drop(*ORDER_COLUMNS)
 
 
-def get_page(report: DataFrame, page_size: int, cursor: str | None = None, page: int | None = None, numeric: bool | None = None):
+def get_page(report: DataFrame, page_size: int, cursor: str | None = None, page: int | None = None):
     """One page by number or by cursor (the number wins), the first page without either."""
     if page is None and cursor is not None:
-        return page_by_cursor(report, cursor, page_size, numeric)
-    return page_by_offset(report, 1 if page is None else page, page_size, numeric)
+        return page_by_cursor(report, cursor, page_size)
+    return page_by_offset(report, 1 if page is None else page, page_size)
 
 
-def page_metadata(
-    report: DataFrame, page_size: int, cursor: str | None = None, page: int | None = None, numeric: bool | None = None
-) -> DataFrame:
-    """One row of page counts and the cursor of the next page (null on the last one)."""
+def page_metadata(report: DataFrame, page_size: int, cursor: str | None = None, page: int | None = None) -> DataFrame:
+    """One row of page counts and the cursor of the next page (null on the last one).
+
+    The counts follow from the number of rows and the first place of the page; one more row is read for the cursor."""
     _check_size(page_size)
-    numeric = keys_are_numeric(report) if numeric is None else numeric
-    by_cursor = page is None and cursor is not None
-    skipped = ~after_key(decode_cursor(cursor), numeric) if by_cursor else F.lit(False)
-    counts = report.agg(F.count("*").alias("total"), F.count_if(skipped).alias("skipped")).first()
-    total = counts["total"]
-    start = counts["skipped"] if by_cursor else ((page or 1) - 1) * page_size
-    current = start // page_size + 1 if total else 1
+    report = in_stored_order(report)
+    total = report.count()
+    start = ((page or 1) - 1) * page_size
+    if page is None and cursor is not None:
+        after = report.where(after_key(decode_cursor(cursor), keys_are_numeric(report))).agg(F.min("place")).first()[0]
+        start = total if after is None else after
+    returned = max(0, min(page_size, total - start))
     has_more = start + page_size < total
-    last = F.max_by(F.col("uuid").cast("string"), F.struct(*sort_columns(numeric)))
-    rows = get_page(report, page_size, cursor, page, numeric)
-    return rows.agg(F.count("*").alias("returned"), last.alias("last")).select(
-        F.lit(page_size).alias("page_size"), "returned", F.lit(total).cast("bigint").alias("total_rows"),
+    current = start // page_size + 1 if total else 1
+    last = report.where(F.col("place") == start + returned - 1).agg(F.max(F.col("uuid").cast("string")).alias("last"))
+    return last.select(
+        F.lit(page_size).alias("page_size"), F.lit(returned).cast("bigint").alias("returned"), F.lit(total).cast("bigint").alias("total_rows"),
         numbers.ceil_pages(F.lit(total), page_size).alias("total_pages"),
         F.lit(current).cast("bigint").alias("current_page"), F.lit(has_more).alias("has_more"),
         F.lit(current > 1).alias("has_prev"),
@@ -170,6 +187,23 @@ def page_metadata(
     )
 
 
+@dataclass(frozen=True)
+class Page:
+    """Rows of one page with defaults (and maps, if decoded), its counts with the cursor asked for, and the counts of the whole report."""
+
+    rows: DataFrame
+    metadata: dict
+    summary: dict
+
+
+def read_page(report: DataFrame, page_size: int, cursor: str | None = None, page: int | None = None, decode_json: bool = True) -> Page:
+    """One page of a report with everything that is shown around it."""
+    report = in_stored_order(report)
+    rows = report_defaults(get_page(report, page_size, cursor, page))
+    counts = page_metadata(report, page_size, cursor, page).first().asDict() | {"cursor": cursor}
+    return Page(decode_report(rows) if decode_json else rows, counts, report_summary(report_defaults(report)).first().asDict())
+
+
 def report_summary(report: DataFrame) -> DataFrame:
     """One row: records with changes, with reviews, with a repeated id, with a repeated identity number."""
 

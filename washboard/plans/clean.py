@@ -4,7 +4,7 @@ Four questions are put to the data: which labels and banks the distinct values s
 dates, which type a column without a rule has. Each is a job over the columns it concerns. Then the rows
 with their history are written once; repeated keys are looked for on a narrow table of keys read from there,
 and all outputs read the written rows. Rows only move when many of them are flagged as repeats; then once,
-by row index.
+by row index, and never for the cleaned table.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washboard.operators import banks, canonical, cells, dates, keys, quality, summary
+from washboard.operators import banks, canonical, cells, dates, keys, lookup, quality, summary
 from washboard.operators.lookup import ValueMap
-from washboard.operators.tracked import ROW_COLUMN, TrackedFrame, quoted
+from washboard.operators.tracked import ROW_COLUMN, TrackedFrame
 from washboard.rules import RulePack, default_pack
 from washboard.session import stage
 
@@ -33,15 +33,16 @@ class Decisions:
 
 @dataclass
 class CleanResult:
-    """Lazy outputs of a cleaning run."""
+    """Lazy outputs of a cleaning run: ``rows`` are the written rows, ``tracked`` the same with the repeats flagged."""
 
+    rows: TrackedFrame
     tracked: TrackedFrame
     decisions: Decisions
 
     @property
     def cleaned(self) -> DataFrame:
-        """Row index and cleaned columns."""
-        return self.tracked.cleaned()
+        """Row index and cleaned columns; repeats change no value, so their flags are not joined."""
+        return self.rows.cleaned()
 
     def records(self) -> DataFrame:
         """One audit record per input row, with map columns."""
@@ -69,18 +70,6 @@ class CleanResult:
         return summary.review_by_column(self.tracked)
 
 
-# Inputs between these sizes (by Spark's estimate) come in few splits, often one, but are work for all cores.
-SPREAD_BYTES = (200_000, 64_000_000)
-
-
-def spread_small(df: DataFrame, row: str) -> DataFrame:
-    """Deal the rows of a small input out over all cores; larger inputs have splits enough and stay in place."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if not SPREAD_BYTES[0] <= size < SPREAD_BYTES[1]:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.col(quoted(row)))
-
-
 def first_steps(df: DataFrame, pack: RulePack, row: str = ROW_COLUMN, key_column: str | None = None) -> TrackedFrame:
     """Trim and null steps, with the key texts carried along."""
     t = cells.null_standardize(cells.trim_whitespace(TrackedFrame.begin(df, row)), pack)
@@ -117,7 +106,11 @@ def clean_dataset(
     pack = pack or default_pack()
     if row not in df.columns:
         raise ValueError(f"no row order column {row!r}; add one with sources.row_index")
-    t, decisions = run_steps(first_steps(spread_small(df, row), pack, row, key_column), pack, known)
+    t, decisions = run_steps(first_steps(df, pack, row, key_column), pack, known)
     t = t.with_df(stage(t.df, "rows"))
     flags = keys.decide_flags(t, pack, key_column)
-    return CleanResult(keys.apply_flags(t, pack, flags), decisions)
+    flagged = keys.apply_flags(t, pack, flags)
+    if flags.count() > lookup.BROADCAST_ROWS:
+        # rows move for this join, so it is made once for all outputs
+        flagged = flagged.with_df(stage(flagged.df, "flagged"))
+    return CleanResult(t, flagged, decisions)

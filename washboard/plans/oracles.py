@@ -304,11 +304,12 @@ def oracle_sql() -> dict[str, str]:
     json_count = "CASE WHEN {0} IN ('', '{{}}', ' ', 'null') THEN 0 ELSE CAST(len(json_keys({0})) AS BIGINT) END"
     return {
         "scan_csv_text": "SELECT CAST(doc_id AS STRING) AS doc_id, lang, source, text FROM documents",
-        "csv_encoding_ladder": r"SELECT CAST(doc_id AS STRING) AS doc_id, lang, regexp_replace(text, '[^\x00-\x7F\x{A0}-\x{FF}]', '?', 'g') AS text FROM documents",
+        "csv_encoding_ladder": "SELECT CAST(doc_id AS STRING) AS doc_id, lang, text FROM documents",
         "csv_na_load": f"WITH {DIRTY} SELECT row_idx, {each(TOKEN_COLUMNS, lambda c: f'CASE WHEN {c} NOT IN {in_list(domain.NA_ON_LOAD)} THEN {c} END')} FROM dirty",
         "read_report": f"{FULL} SELECT uuid, is_dup, is_dup_cnic, 'PASS' AS validation_result FROM records",
         "read_cleaned": f"{NULLED} SELECT {wide('cells2', 'b')} FROM cells2 GROUP BY row_idx",
-        "list_outputs": "SELECT 'beneficiary' AS data_type, r_name AS ip_name, r_name AS stem, concat(r_name, '_report.parquet') AS file FROM region UNION ALL SELECT 'banks', NULL, 'Banks_Financials', 'Banks_Financials_report.parquet'",
+        "list_outputs": "SELECT 'beneficiary' AS data_type, r_name AS ip_name, r_name AS stem, concat(r_name, '_report.parquet') AS file, true AS size_right FROM region UNION ALL SELECT 'banks', NULL, 'Banks_Financials', 'Banks_Financials_report.parquet', true",
+        "output_sizes": "SELECT true AS cleaned_size_right, true AS report_size_right, true AS total_size_right",
         "route_output": """SELECT 'certificates' AS data_type, 'North' AS stem, 'certificates/North' AS folder, count(*) AS rows FROM nation WHERE n_regionkey < 2
  UNION ALL SELECT 'beneficiary', 'North', 'beneficiary/North', count(*) FROM nation WHERE n_regionkey >= 2
  UNION ALL SELECT 'banks', 'Banks_Financials', 'Banks_Financials', count(*) FROM nation WHERE n_regionkey = 0
@@ -318,7 +319,7 @@ def oracle_sql() -> dict[str, str]:
         "write_cleaned": f"{NULLED} SELECT {wide('cells2', '''coalesce(b, '')''')} FROM cells2 GROUP BY row_idx",
         "write_report": f"{FULL} SELECT uuid, is_dup, is_dup_cnic, col AS column, g AS new_value, steps FROM final JOIN records USING (row_idx) WHERE steps <> ''",
         "write_result_json": f"{FULL} SELECT uuid, CAST(count_if(steps <> '' OR flagged) AS INTEGER) AS touched, is_dup FROM final JOIN records USING (row_idx) GROUP BY uuid, is_dup",
-        "latest_results": "SELECT concat('cleaning_orders_', o_orderstatus, '_2024010', strpos('FOP', o_orderstatus), '_000000.json') AS file_name, true AS filled FROM orders GROUP BY o_orderstatus",
+        "latest_results": "SELECT concat('cleaning_orders_', o_orderstatus, '_', strftime(DATE '2024-01-01' + CAST(row_number() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER), '%Y%m%d'), '_000000.json') AS file_name, true AS size_right, CAST(row_number() OVER (ORDER BY o_orderstatus DESC) AS INTEGER) AS place FROM orders GROUP BY o_orderstatus",
         "null_mask": f"WITH {DIRTY} SELECT row_idx, {each(TOKEN_COLUMNS, null_like)} FROM dirty",
         "numeric_signed": f"WITH {DIRTY} SELECT row_idx, {each(NUMBER_COLUMNS, lambda c: f'regexp_matches({strip(c)}, {SIGNED})')} FROM dirty",
         "numeric_unsigned": f"WITH {DIRTY} SELECT row_idx, {each(NUMBER_COLUMNS, lambda c: f'regexp_matches({strip(c)}, {UNSIGNED})')} FROM dirty",
@@ -359,6 +360,7 @@ def oracle_sql() -> dict[str, str]:
  LEFT JOIN reduced_bank b3 ON b3.alias = trim(regexp_replace(k, '\b(ltd|limited|bank)\b', '', 'g'))""",
         "duplicate_rows": f"WITH {COPIES}, {steps('doubled')}, rows AS (SELECT row_idx, {wide('cells2', 'b')} FROM cells2 GROUP BY row_idx) SELECT row_idx, count(*) OVER (PARTITION BY {', '.join(COLUMNS)}) > 1 AS duplicate_row FROM rows",
         "type_mismatch": f"{NULLED} SELECT row_idx, col AS column, b AS review_value FROM cells2 WHERE col = 'segment_name' AND regexp_matches(b, {SIGNED})",
+        "clean_pipeline": f"{FULL} SELECT row_idx, col AS column, o AS original, g AS value, steps, flagged, review_value FROM final WHERE steps <> '' OR flagged",
         "clean_dataset": f"{FULL} SELECT row_idx, col AS column, o AS original, g AS value, steps, flagged, review_value FROM final WHERE steps <> '' OR flagged",
         "fuzzy_best": f"{DISTRICT_VALUES}, pairs AS (SELECT 'district' AS col, value, label FROM place, labels), {weighted('pairs')} SELECT value, choice, score FROM best",
         "fuzzy_canonical": f"{CHECKED}, {LABEL_STEPS} SELECT DISTINCT e.col AS column, e.d AS value, choice, score, CASE WHEN score >= 88 THEN 'auto' WHEN score >= 70 THEN 'review' ELSE 'none' END AS tier FROM cells5 e WHERE choice IS NOT NULL",

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from washboard import domain
@@ -59,7 +59,9 @@ def _rule(name: str):
 
 
 def _clean(spark, folder) -> CleanResult:
-    return clean_dataset(dirty(spark, folder), dirty_pack())
+    # the test tables are one split each; a caller deals rows out to as many tasks as suit the cluster
+    rows = dirty(spark, folder).repartition(spark.sparkContext.defaultParallelism, ROW_COLUMN)
+    return clean_dataset(rows, dirty_pack())
 
 
 def _column(t: TrackedFrame, name: str) -> DataFrame:
@@ -94,11 +96,11 @@ def scan_csv_text(spark, folder):
 
 @query
 def csv_encoding_ladder(spark, folder):
-    docs = table(spark, folder, "documents").select(
-        "doc_id", "lang", F.regexp_replace("text", r"[^\x00-\x7F\xA0-\xFF]", "?").alias("text")
-    )
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    # what Latin-1 can hold goes to Latin-1 unless it is English, all else to UTF-8; nulls included
+    english = F.col("lang").eqNullSafe("en") | F.coalesce(F.col("text").rlike(r"[^\x00-\x7F\xA0-\xFF]"), F.lit(False))
     paths = []
-    for charset, part in (("UTF-8", docs.where("lang = 'en'")), ("ISO-8859-1", docs.where("lang <> 'en'"))):
+    for charset, part in (("UTF-8", docs.where(english)), ("ISO-8859-1", docs.where(~english))):
         paths.append(new_path(spark, "charset"))
         (part.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
          .option("ignoreTrailingWhiteSpace", False).option("encoding", charset).csv(paths[-1]))
@@ -130,18 +132,21 @@ def read_cleaned(spark, folder):
 def list_outputs(spark, folder):
     root = new_path(spark, "out")
     _write_by_region(spark, folder, root)
-    return outputs.list_outputs(spark, root).drop("size_mb")
+    listed = outputs.list_outputs(spark, root)
+    megabytes = F.round(F.sum("length") / outputs.MEGABYTE, 2).alias("stored_mb")
+    stored = outputs.part_files(spark, root).select(F.regexp_extract("path", r"([^/]+)_report\.parquet/[^/]+$", 1).alias("s"), "length")
+    stored = stored.groupBy("s").agg(megabytes)
+    joined = listed.join(stored, F.col("stem") == F.col("s"), "left")
+    return joined.select("data_type", "ip_name", "stem", "file", (F.col("size_mb") == F.col("stored_mb")).alias("size_right"))
 
 
 def _write_by_region(spark, folder, root):
     """One small report per region, each under its own ip name, and one for the banks."""
-    nations = table(spark, folder, "nation").join(
-        F.broadcast(table(spark, folder, "region")), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    suppliers = table(spark, folder, "supplier").join(
-        F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")
-    ).select(F.col("s_name").alias("uuid"), "r_name")
-    for region in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"):
+    nations = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    suppliers = table(spark, folder, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    suppliers = suppliers.select(F.col("s_name").alias("uuid"), "r_name")
+    # one row per region
+    for region in sorted(r["r_name"] for r in table(spark, folder, "region").select("r_name").distinct().collect()):
         target = outputs.route_output(root, "beneficiary", region)
         outputs.write_report(suppliers.where(F.col("r_name") == region), target)
     outputs.write_report(suppliers, outputs.route_output(root, "Banks"))
@@ -208,7 +213,20 @@ def output_sizes(spark, folder):
     target = outputs.route_output(new_path(spark, "out"), "banks")
     outputs.write_cleaned(_begin(spark, folder).cleaned(), target)
     outputs.write_report(_events_report(spark, folder), target)
-    return outputs.output_sizes(spark, target)
+    sizes = outputs.output_sizes(spark, target)
+    # sizes depend on the writer, so they are held against the stored files here
+    files = outputs.part_files(spark, f"{target.root}/{target.folder}")
+
+    def stored(kind: str):
+        length = F.when(F.contains("path", F.lit(f"_{kind}.parquet/")), F.col("length")).otherwise(0)
+        return F.round(F.sum(length) / outputs.MEGABYTE, 2)
+
+    one = files.agg(stored("cleaned").alias("cleaned"), stored("report").alias("report")).first()
+    total = F.abs(F.col("total_size_mb") - F.col("cleaned_size_mb") - F.col("report_size_mb")) < 0.001
+    return sizes.select(
+        (F.col("cleaned_size_mb") == one["cleaned"]).alias("cleaned_size_right"),
+        (F.col("report_size_mb") == one["report"]).alias("report_size_right"), total.alias("total_size_right"),
+    )
 
 
 @query
@@ -233,9 +251,17 @@ def latest_results(spark, folder):
         F.create_map(F.lit("status"), F.col("o_orderstatus")).alias("manual_reviews"),
         F.lit(False).alias("is_dup"), F.lit(False).alias("is_dup_cnic"),
     )
-    for i, status in enumerate("FOP"):
-        outputs.write_result_json(orders.where(F.col("o_orderstatus") == status), root, f"orders {status}", datetime(2024, 1, 1 + i))
-    return outputs.latest_results(spark, root).select("file_name", (F.col("size_kb") > 0).alias("filled"))
+    # one row per status
+    for i, status in enumerate(sorted((r["o_orderstatus"] for r in orders.select("o_orderstatus").distinct().collect()), key=str)):
+        part = orders.where(F.col("o_orderstatus").eqNullSafe(status))
+        outputs.write_result_json(part, root, f"orders {status}", datetime(2024, 1, 1) + timedelta(days=i))
+    newest = outputs.latest_results(spark, root)
+    stored = outputs.part_files(spark, root).select(F.regexp_extract("path", r"([^/]+\.json)/[^/]+$", 1).alias("f"), "length")
+    stored = stored.groupBy("f").agg(F.round(F.sum("length") / 1024, 1).alias("stored_kb"))
+    joined = newest.join(stored, F.col("file_name") == F.col("f"), "left")
+    # written one after the other, so the newest has the last place in the order of the names
+    place = F.row_number().over(Window.orderBy(F.desc("modified_at"), F.desc("file_name"))).alias("place")
+    return joined.select("file_name", (F.col("size_kb") == F.col("stored_kb")).alias("size_right"), place)
 
 
 # ---- predicates and projections -----------------------------------------------------------------
@@ -436,7 +462,7 @@ def clean_dataset_cells(spark, folder):
     return _clean(spark, folder).tracked.cells()
 
 
-REGISTRY["clean_dataset"] = REGISTRY.pop("clean_dataset_cells")
+REGISTRY["clean_pipeline"] = REGISTRY["clean_dataset"] = REGISTRY.pop("clean_dataset_cells")
 
 
 # ---- similarity and lookups ---------------------------------------------------------------------
@@ -614,7 +640,7 @@ def page_by_cursor(spark, folder):
 
 @query
 def page_metadata(spark, folder):
-    rows = _orders_report(spark, folder)
+    rows = report.in_stored_order(_orders_report(spark, folder))
     by_page = report.page_metadata(rows, 100, page=7)
     return by_page.unionByName(report.page_metadata(rows, 100, cursor=report.encode_cursor("650")))
 

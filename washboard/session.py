@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _TEST_FOLDERS: dict[str, str] = {}
-_STAGED: list[str] = []
+_STAGED: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "washboard", master: str | None = None, **conf) -> SparkSession:
@@ -30,6 +32,8 @@ def build_session(app: str = "washboard", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.parquet.compression.codec": "zstd",
         "spark.ui.showConsoleProgress": "false",
+        # the date sample takes so many first values of a column in each task before its shuffle
+        "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
         # recording a call site for every column expression costs more than building the plan
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         # projections over many columns become methods the JIT skips by default
@@ -68,16 +72,32 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    _STAGED.append(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables written so far and return their number. Results that still read them,
-    such as those of a cleaning run, have to be written out first."""
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     count = 0
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         count += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return count
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the intermediate tables written inside, and no others. What is to stay has to be written out
+    before, such as the outputs of a cleaning run; decisions kept for another run are not to be made inside."""
+    app = spark.sparkContext.applicationId
+    outer, _STAGED[app] = _STAGED.get(app, []), []
+    try:
+        yield
+    finally:
+        _delete(spark, _STAGED[app])
+        _STAGED[app] = outer
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application has written outside ``staging`` so far and return their number."""
+    return _delete(spark, _STAGED.get(spark.sparkContext.applicationId, []))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,9 @@ from washboard.functions.text import na_on_load
 from washboard.sources.row_index import file_position, in_file_order
 
 FALLBACK_CHARSET = "ISO-8859-1"
+# Column with the text of records whose number of fields is not the header's, and a text that no field holds.
+RECORD = "_unread_record"
+MARK = "\x1aend\x1a"
 
 
 def file_charsets(spark: SparkSession, path) -> DataFrame:
@@ -39,36 +42,53 @@ def header_names(raw) -> list[str]:
     return names
 
 
-def _reader(spark: SparkSession, charset: str, multi_line: bool, mode: str):
-    return (
-        spark.read.option("escape", '"').option("multiLine", multi_line).option("encoding", charset)
-        .option("mode", mode)
-    )
+def _reader(spark: SparkSession, charset: str, multi_line: bool):
+    reader = spark.read.option("escape", '"').option("multiLine", multi_line).option("encoding", charset)
+    return reader.option("mode", "PERMISSIVE")
+
+
+def _extra_fields(record: Column, width: int) -> Column:
+    """Whether a record that does not have ``width`` fields has more of them: a mark put behind it is then beyond the
+    first ``width`` fields."""
+    fields = ", ".join(f"f{i} string" for i in range(width + 1))
+    marked = F.concat(F.regexp_replace(record, r"[\r\n]+$", ""), F.lit("," + MARK))
+    return ~F.array_contains(F.array(*[F.coalesce(F.from_csv(marked, fields, {"escape": '"'})[f"f{i}"], F.lit("")) for i in range(width + 1)]), MARK)
 
 
 def scan_csv_text(
-    spark: SparkSession, path, *, na=domain.NA_ON_LOAD, multi_line: bool = True, mode: str = "PERMISSIVE",
-    position: bool = False,
+    spark: SparkSession, path, *, na=domain.NA_ON_LOAD, multi_line: bool = True, position: bool = False,
 ) -> DataFrame:
     """CSV files with a header as a table of strings; the charset is found per file.
 
     ``multi_line=False`` lets Spark split files, for data without line breaks inside quotes. ``na`` lists
-    the texts read as null. ``position`` keeps the columns that ``in_file_order`` needs. Files must share
-    the header of the first one."""
+    the texts read as null. ``position`` keeps the columns that ``in_file_order`` needs. Fields missing at the end of a
+    record are null; a record with more fields than the header is an error when its rows are read, as is a file whose header
+    differs from the first one's. Files without any line are passed over."""
     # one row per file: metadata the driver holds for the scan in any case
     charsets = {r["path"]: r["charset"] for r in file_charsets(spark, path).collect()}
     if not charsets:
         raise FileNotFoundError(f"no CSV data under {path}")
     first = min(charsets)
-    head = _reader(spark, charsets[first], multi_line, mode).csv(first).first()
+    head = _reader(spark, charsets[first], multi_line).csv(first).first()
+    if head is None:
+        raise ValueError(f"no header in {first}")
     names = header_names(list(head))
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    # Spark checks headers against the names it is given; repeated and blank ones are renamed here and cannot be checked
+    plain = names == list(head) and len({n.lower() for n in names}) == len(names) and RECORD not in names
+    read = names if plain else [f"c{i}" for i in range(len(names))]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*read, RECORD]])
     parts = []
     for charset in sorted(set(charsets.values())):
         files = [p for p, c in charsets.items() if c == charset]
         source = path if len(files) == len(charsets) else files
-        part = _reader(spark, charset, multi_line, mode).option("header", True).schema(schema).csv(source)
-        parts.append(part.select(*[na_on_load(f"c{i}", na).alias(f"c{i}") if na else f"c{i}" for i in range(len(names))],
+        reader = _reader(spark, charset, multi_line).option("header", True).option("enforceSchema", not plain)
+        part = reader.option("columnNameOfCorruptRecord", RECORD).schema(schema).csv(source)
+        record = F.col(f"`{RECORD}`")
+        failed = record.isNotNull() & _extra_fields(record, len(names))
+        error = F.raise_error(F.concat(F.lit(f"more than {len(names)} fields: "), F.substring(record, 1, 200)))
+        values = [F.col("`" + n.replace("`", "``") + "`") for n in read]
+        values[0] = F.when(failed, error.cast("string")).otherwise(values[0])
+        parts.append(part.select(*[(na_on_load(v, na) if na else v).alias(f"c{i}") for i, v in enumerate(values)],
                                  *(file_position() if position else [])))
     table = reduce(DataFrame.unionByName, parts)
     keep = ["_file", "_block"] if position else []
