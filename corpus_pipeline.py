@@ -14,7 +14,7 @@ from washboard.llm.mixing import mix_sources
 from washboard.llm.packing import pack_documents
 from washboard.llm.quality import quality_rules
 from washboard.llm.secrets import blob_of, masked, scan_history
-from washboard.llm.simhash import simhash_components
+from washboard.llm.simhash import fingerprints, simhash_components
 
 
 def by_place(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -35,21 +35,32 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id (of repeated ids, the first row)."""
+    """Of each group of near copies the document with the smallest id, once if its row is repeated.
+
+    Texts do not move unless too many rows go for a broadcast: rows to be dropped are known by id and fingerprint."""
     rows, c = by_place(docs)
-    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
-    grouped = stage(simhash_components(rows, id_col=c["doc_id"], text_col=c["text"], keep=("row",)), "pipeline-groups")
-    order = F.struct(F.col(c["doc_id"]).isNull(), F.col(c["doc_id"]), F.col("row"))
-    first = grouped.groupBy("component_key").agg(F.min(order)["row"].alias("row"))
-    dropped = grouped.select("row").join(first.select("row"), "row", "left_anti")
-    return restored(rows.join(dropped, "row", "left_anti"), c)
+    doc_id = c["doc_id"]
+    grouped = stage(simhash_components(rows, id_col=doc_id, text_col=c["text"]), "pipeline-groups")
+    order = F.struct(F.col("id").isNull(), "id", "fingerprint")
+    pairs = grouped.groupBy(F.col(doc_id).alias("id"), "fingerprint", "component_key").agg(F.count(F.lit(1)).alias("rows"))
+    pairs = stage(pairs, "pipeline-pairs")
+    first = pairs.groupBy(F.col("component_key").alias("key")).agg(F.min(order).alias("first"))
+    judged = pairs.join(first, F.col("component_key") == F.col("key")).withColumn("stays", F.col("first") == order)
+    # most rows are alone in their group and do not come up here
+    marked = judged.filter(~F.col("stays") | (F.col("rows") > 1)).select("id", F.conv("fingerprint", 16, -10).cast("bigint").alias("marked_fp"), "stays")
+    marked = stage(marked, "pipeline-marked")
+    with_fp = fingerprints(rows.withColumn("hashed", F.col(c["text"])), "hashed", "fp")
+    joined = with_fp.join(marked, F.col(doc_id).eqNullSafe(F.col("id")) & (F.col("fp") == F.col("marked_fp")), "left")
+    repeated = joined.filter("stays").dropDuplicates([doc_id, "fp"])
+    return restored(joined.filter(F.col("stays").isNull()).unionByName(repeated), c)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret replaced by a mark. ``n_chars`` follows the text."""
     rows, c = by_place(docs)
     text = F.col(c["text"])
-    found = scan_history(rows, id_col=c["doc_id"], text_col=c["text"]).added.filter(F.size("spans") > 0).select("blob", "spans")
+    ledger = scan_history(rows, id_col=c["doc_id"], text_col=c["text"]).added
+    found = stage(ledger.filter(F.size("spans") > 0).select("blob", "spans"), "pipeline-secrets")
     joined = rows.withColumn("blob", blob_of(text)).join(found, "blob", "left")
     clean = joined.withColumn(c["text"], F.when(F.col("spans").isNull(), text).otherwise(masked(text, F.col("spans"))))
     if "n_chars" in c:

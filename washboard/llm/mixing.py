@@ -72,8 +72,9 @@ def mix_sources(
     ``keep`` names further columns to return; they must differ from those above."""
     wanted = [F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), n_words(F.col(text_col)).alias("m_size")]
     share = F.coalesce(F.greatest(F.col(importance_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if importance_col else F.lit(1.0)
-    columns = [*wanted, share.alias("m_share"), *[F.col(k) for k in keep]]
-    rows = stage(docs.select(*columns), "mix-rows")
+    rows = docs.select(*wanted, share.alias("m_share"), *[F.col(k) for k in keep])
+    if not keep:
+        rows = stage(rows, "mix-rows")  # narrow; wide rows are read again instead
     source = F.col("m_source").alias("source")
     sums = stage(
         rows.groupBy(source).agg(F.sum("m_size").alias("source_size"), F.sum(F.col("m_size") * F.col("m_share")).alias("shared")),

@@ -190,12 +190,13 @@ def quality_rules(
         raise ValueError(f"columns would be overwritten: {sorted(own & set(keep))}")
     source_docs = docs.select(*keep, F.col(lang_col).alias("q_lang"), F.col(source_col).alias("q_source"), F.col(text_col).alias("q_text"))
     carried = source_docs.withColumn("q_body", F.col("q_text")) if text_col in keep else source_docs
-    rows = stage(with_statistics(carried, "q_text").drop("q_body"), "quality-rows")
+    rows = with_statistics(carried, "q_text").drop("q_body")
 
     key = F.to_json(F.struct(F.col("q_lang").alias("l"), F.col("q_source").alias("s")))
     by_lang = F.to_json(F.struct(F.col("q_lang").alias("l"), F.lit("*").alias("all")))
     x = [F.col("features")[i].alias(f"x{i}") for i in range(P)]
-    passed = rows.filter(~F.col("base_failed"))
+    # texts are read once for the vectors and once more for the result, which costs less than storing them
+    passed = with_statistics(source_docs.select("q_lang", "q_source", "q_text"), "q_text").filter(~F.col("base_failed"))
     distinct = stage(passed.select(key.alias("pair"), by_lang.alias("lang"), *x).groupBy("pair", "lang", *[f"x{i}" for i in range(P)]).agg(F.lit(1).alias("n")), "quality-vectors")
     pairs = distinct.groupBy("pair", "lang").agg(F.count(F.lit(1)).alias("rows"))
     langs = pairs.groupBy("lang").agg(F.sum("rows").alias("lang_rows"), F.sum(F.when(F.col("rows") < least_rows, F.col("rows")).otherwise(0)).alias("left"))
@@ -226,7 +227,7 @@ def quality_rules(
         model = refit(vectors, model, None, share)
     model = refit(vectors, model, chi_square_quantile(0.975, P), share)
 
-    named = model.join(cells.drop("rows"), "cell").drop("cell", "log_det")
+    named = stage(model.join(cells.drop("rows"), "cell").drop("cell", "log_det"), "quality-models")
     judged = rows.withColumn("q_pair", key).join(named, F.col("q_pair") == named["pair"], "left")
     for i in range(P):
         judged = judged.withColumn(f"x{i}", F.col("features")[i])
