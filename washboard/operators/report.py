@@ -41,9 +41,9 @@ def report_defaults(report: DataFrame) -> DataFrame:
 
 
 def decode_map(text: Column, value_type: str = "string") -> Column:
-    """JSON object text as a map; an empty map for null or empty text. Text that cannot be read is an error."""
+    """JSON object text as a map; an empty map for null, blank or ``null`` text. Text that cannot be read is an error."""
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{value_type}>"))
-    return F.coalesce(F.from_json(F.when(text != "", text), f"map<string,{value_type}>", {"mode": "FAILFAST"}), empty)
+    return F.coalesce(F.from_json(F.when(~F.trim(text).isin("", "null"), text), f"map<string,{value_type}>", {"mode": "FAILFAST"}), empty)
 
 
 def decode_validation(text: Column) -> Column:
