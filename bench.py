@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 from pathlib import Path
 
@@ -17,12 +16,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from washboard.operators import canonical, cells, keys  # noqa: E402
+from washboard.operators import canonical, cells, keys, report  # noqa: E402
 from washboard.operators.tracked import TrackedFrame  # noqa: E402
 from washboard.plans.clean import clean_dataset  # noqa: E402
 from washboard.plans.fixtures import dirty, dirty_pack  # noqa: E402
 from washboard.plans.queries import REGISTRY  # noqa: E402
-from washboard.session import build_session  # noqa: E402
+from washboard.session import build_session, new_path, stage  # noqa: E402
+from washboard.sinks import outputs  # noqa: E402
 
 WIDEN = 100
 
@@ -38,9 +38,24 @@ def widened(spark, folder: str):
     rows = copies.withColumn("row_idx", F.col("row_idx") + shift).withColumn(
         "da_uuid", F.when(F.trim("da_uuid").rlike("^[0-9]+$"), (F.trim("da_uuid").cast("bigint") + shift).cast("string")).otherwise(F.col("da_uuid"))
     ).drop("copy")
-    path = tempfile.mkdtemp(prefix="spark-") + "/dirty"
-    rows.repartition(32, "row_idx").write.parquet(path)
-    return spark.read.parquet(path)
+    return stage(rows.repartition(32, "row_idx"), "bench-dirty")
+
+
+def misspelt(wide):
+    """District texts in 100,000 distinct spellings."""
+    tail = F.conv((F.col("row_idx") % 100_000).cast("string"), 10, 36)
+    return stage(wide.select("row_idx", F.concat(F.coalesce("district", F.lit("x")), F.lower(tail)).alias("district")), "bench-misspelt")
+
+
+def stored_report(spark, folder):
+    """A report of all order lines, written in order."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    uuid = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("uuid")
+    maps = [F.to_json(F.create_map(F.lit("mode"), F.col("l_shipmode"))).alias(c) for c in report.JSON_COLUMNS]
+    rows = lines.select(uuid, *maps, F.lit(False).alias("is_dup"), F.lit(False).alias("is_dup_cnic"))
+    target = outputs.route_output(new_path(spark, "bench-report"), "banks")
+    outputs.write_report(rows, target)
+    return outputs.read_report(spark, target)
 
 
 def main() -> None:
@@ -69,11 +84,19 @@ def main() -> None:
             ("record_key", "record_key"), ("scan_csv_text", "scan_csv_text"),
         )
     }
+    spelt, paged = misspelt(wide), stored_report(spark, folder)
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    line_keys = lines.select(F.monotonically_increasing_id().alias("row_idx"), F.col("l_orderkey").cast("string").alias("key"))
     runs = {
         **registered,
         "clean_report_x100": lambda: clean_dataset(wide, pack).report(),
         "duplicate_keys_x100": lambda: keys.rows_with_repeated_key(wide.select("row_idx", "da_uuid"), ["da_uuid"]),
         "fuzzy_canonical_x100": lambda: labels(wide),
+        "row_steps_x100": lambda: cells.apply_rules(trimmed(wide), pack).df,
+        "score_100k_distinct": lambda: canonical.score_labels(TrackedFrame.begin(spelt), pack),
+        "repeated_keys_many": lambda: keys.rows_with_repeated_key(line_keys, ["key"], limit=1000),
+        "page_deep_stored": lambda: report.page_by_offset(paged, 5_000, 100),
+        "page_cursor_stored": lambda: report.page_by_cursor(paged, report.encode_cursor("300001"), 100),
     }
     consume(registered["clean_dataset"]())  # warm up
     seconds = {}

@@ -28,3 +28,14 @@ def test_dates_agree_with_pandas(spark):
 def test_short_years_and_times(spark, text, year, day):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(D.format_mdy(D.parse_mixed("t", year))).first()[0] == day
+
+
+def test_signals_in_unicode_text(spark):
+    # digits of other scripts and spaces beyond ASCII count, as they do in the published patterns
+    expected = {
+        "\u0661\u0665/\u0660\u0661/\u0662\u0660\u0662\u0664": (True, False), "15\u00a0Jan\u00a02024": (True, False),
+        "due 2024-1-5.": (True, False), "x2024-1-5": (False, False), "\u06f1\u06f0:\u06f4\u06f5": (False, True), "\u00a010:45\u2003pm": (False, True),
+        "10:45": (False, True), "10:4": (False, False), "\u00e92024-01-05": (False, False),
+    }
+    df = spark.createDataFrame([(t,) for t in expected], "t string").select("t", D.has_date_signal("t").alias("s"), D.is_time_only("t").alias("o"))
+    assert {r["t"]: (r["s"], r["o"]) for r in df.collect()} == expected

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from washboard import domain
 from washboard.functions.text import na_on_load
+from washboard.session import stage
 from washboard.sources.row_index import file_position, in_file_order
 
 FALLBACK_CHARSET = "ISO-8859-1"
@@ -96,8 +97,8 @@ def scan_csv_text(
 
 
 def load_dataset(spark: SparkSession, path, **options) -> DataFrame:
-    """CSV text with a dense file-order row index, stored once as a columnar table."""
-    return in_file_order(scan_csv_text(spark, path, position=True, **options))
+    """CSV text with a dense file-order row index, stored as a columnar table: filters on the row index reach the scan."""
+    return stage(in_file_order(scan_csv_text(spark, path, position=True, **options)), "dataset")
 
 
 def dataset_profile(df: DataFrame, exclude=()) -> DataFrame:
