@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,9 +25,11 @@ from washboard.llm.tokens import VOCABULARY, ids
 BASE = np.int64(50_258)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BACKOFF = 0.4
-#: Tokens of a block at most, beyond its last document's.
-BLOCK_TOKENS = 1_000_000
-#: Text bytes for which the count table has a part of its own.
+#: Tokens of a block at most, beyond its last document's, and documents: a trigram and a document fit into 64 bits.
+BLOCK_TOKENS, BLOCK_DOCUMENTS = 1_000_000, 100_000
+#: Files stay countable at any size; a bucket may hold any number of blocks, which are read one at a time.
+MOST_BUCKETS = 20_000
+#: Text bytes for which the count table has a part of its own. A task holds one part; larger parts suit larger executors.
 PART_BYTES = 8 << 20
 
 
@@ -45,15 +48,15 @@ def ngrams(tokens: np.ndarray, document: np.ndarray, order: int) -> Iterator[tup
     """For each length from 1 to ``order``, the places where an n-gram of one document ends, and the n-grams as whole
     numbers. N-grams of different lengths never meet, since no digit is 0, and longer ones are larger."""
     digits = tokens.astype(np.int64) + 1
-    ends, keys = np.arange(len(tokens)), digits
-    yield ends, keys
+    keys = digits
+    yield np.arange(len(tokens)), keys
     for n in range(2, order + 1):
-        inside = np.flatnonzero(document[ends] == document[ends - n + 1]) if len(ends) else ends
-        inside = inside[ends[inside] >= n - 1]
-        # an n-gram is the one before it, ending a place earlier, and one more digit
-        at = np.searchsorted(ends, ends[inside] - 1)
-        ends, keys = ends[inside], keys[at] * BASE + digits[ends[inside]]
-        yield ends, keys
+        if len(tokens) < n:
+            yield np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            continue
+        keys = keys[:-1] * BASE + digits[n - 1 :]
+        inside = np.flatnonzero(document[n - 1 :] == document[: len(document) - n + 1])
+        yield inside + n - 1, keys[inside]
 
 
 def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -66,19 +69,40 @@ def block_counts(tokens: np.ndarray, document: np.ndarray, order: int) -> tuple[
     return np.concatenate([k for k, _ in whole]), np.concatenate([c for _, c in whole])
 
 
-def block_totals(tokens: np.ndarray, document: np.ndarray, order: int, totals: np.ndarray, leave_out: bool) -> list[np.ndarray]:
-    """For each length, the count of the n-gram that ends at each place (0 where there is none), without those of the
-    place's own document if ``leave_out``. ``totals`` belong to the n-grams of ``block_counts``."""
-    out, seen, documents = [], 0, int(document[-1]) + 1 if len(document) else 0
+@dataclass
+class Occurrences:
+    """N-grams of one length in a block, sorted: the places they end at, the distinct n-grams, which of them each is, and how
+    often its document has it."""
+
+    ends: np.ndarray
+    distinct: np.ndarray
+    which: np.ndarray
+    own: np.ndarray
+
+
+def occurrences(tokens: np.ndarray, document: np.ndarray, order: int) -> list[Occurrences]:
+    """One for each length. Sorting by n-gram and document together needs both in 64 bits, which the size of a block ensures."""
+    out, documents = [], np.uint64(document[-1] + 1 if len(document) else 1)
     for ends, keys in ngrams(tokens, document, order):
-        distinct, place = np.unique(keys, return_inverse=True)
-        counts = totals[seen : seen + len(distinct)][place]
-        seen += len(distinct)
-        if leave_out:
-            _, of_pair, own = np.unique(place * documents + document[ends], return_inverse=True, return_counts=True)
-            counts = counts - own[of_pair]
-        full = np.zeros(len(tokens))
-        full[ends] = counts
+        pairs = keys.astype(np.uint64) * documents + document[ends].astype(np.uint64)
+        by_pair = np.argsort(pairs)
+        pairs, keys = pairs[by_pair], keys[by_pair]
+        new_key, new_pair = np.ones(len(keys), dtype=bool), np.ones(len(keys), dtype=bool)
+        new_key[1:], new_pair[1:] = keys[1:] != keys[:-1], pairs[1:] != pairs[:-1]
+        runs = np.diff(np.append(np.flatnonzero(new_pair), len(keys)))
+        out.append(Occurrences(ends[by_pair], keys[new_key], np.cumsum(new_key) - 1, np.repeat(runs, runs)))
+    return out
+
+
+def counts_at(found: list[Occurrences], totals: np.ndarray, tokens: int, leave_out: bool) -> list[np.ndarray]:
+    """For each length, the count of the n-gram that ends at each place (0 where there is none), without those of the
+    place's own document if ``leave_out``. ``totals`` belong to the distinct n-grams of all lengths, in order."""
+    out, seen = [], 0
+    for each in found:
+        counts = totals[seen : seen + len(each.distinct)][each.which]
+        seen += len(each.distinct)
+        full = np.zeros(tokens)
+        full[each.ends] = counts - each.own if leave_out else counts
         out.append(full)
     return out
 
@@ -140,7 +164,7 @@ def lm_scores(
                     held.append(encoder.encode(text or ""))
                     names.append(batch.column("id").slice(i, 1))
                     size += len(held[-1])
-                    if size >= block_tokens:
+                    if size >= block_tokens or len(held) >= BLOCK_DOCUMENTS:
                         yield close()
                         held, names, size = [], [], 0
         if held:
@@ -148,7 +172,7 @@ def lm_scores(
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     # bucketed by block, so that the documents stay where they are when the answers come
-    texts = bucketed(rows.mapInArrow(gather, "block bigint, ids array<string>, data binary, n binary"), parts, "block", "lm-blocks")
+    texts = bucketed(rows.mapInArrow(gather, "block bigint, ids array<string>, data binary, n binary"), min(parts, MOST_BUCKETS), "block", "lm-blocks")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each part of the count table that a block asks."""
@@ -181,17 +205,19 @@ def lm_scores(
         edges = np.cumsum([len(k) for k in each])[:-1]
         return pd.DataFrame({"block": got["block"], "part": got["part"], "totals": [pack(t) for t in np.split(totals, edges)]})
 
-    answers = requests.repartition(parts, "part").groupBy("part").applyInPandas(add_up, "block bigint, part int, totals binary")
+    answers = requests.groupBy("part").applyInPandas(add_up, "block bigint, part int, totals binary")
 
     def score(held: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         lengths, tokens = unpack(held["n"].iloc[0], "<i8"), unpack(held["data"].iloc[0], "<u2")
         document = np.repeat(np.arange(len(lengths)), lengths)
-        keys, _ = block_counts(tokens, document, order)
+        found = occurrences(tokens, document, order)
+        keys = np.concatenate([each.distinct for each in found])
         totals = np.empty(len(keys), dtype=np.int64)
         if len(got):
             totals[np.argsort(parts_of(keys, parts), kind="stable")] = np.concatenate([unpack(t, "<i8") for t in got.sort_values("part")["totals"]])
-        del keys
-        sums, orders = score_block(lengths, block_totals(tokens, document, order, totals, leave_out), everything, leave_out)
+        counts = counts_at(found, totals, len(tokens), leave_out)
+        del found, keys, totals
+        sums, orders = score_block(lengths, counts, everything, leave_out)
         mean = [s / k if k else None for s, k in zip(sums.tolist(), lengths.tolist())]
         return pd.DataFrame({"id": pd.Series(list(held["ids"].iloc[0]), dtype=object), "n_tokens": lengths, "log_score": sums, "mean_log_score": mean, "orders": list(orders)})
 
