@@ -49,7 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # most rows are alone in their group and do not come up here
     marked = judged.filter(~F.col("stays") | (F.col("rows") > 1)).select("id", F.conv("fingerprint", 16, -10).cast("bigint").alias("marked_fp"), "stays")
     marked = stage(marked, "pipeline-marked")
-    with_fp = fingerprints(rows.withColumn("hashed", F.col(c["text"])), "hashed", "fp")
+    with_fp = fingerprints(rows, c["text"], "fp", keep_text=True)
     joined = with_fp.join(marked, F.col(doc_id).eqNullSafe(F.col("id")) & (F.col("fp") == F.col("marked_fp")), "left")
     repeated = joined.filter("stays").dropDuplicates([doc_id, "fp"])
     return restored(joined.filter(F.col("stays").isNull()).unionByName(repeated), c)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from washboard.session import new_path, stage
 
-__all__ = ["documents", "table", "stage", "text_pass", "bucketed", "partitions_for", "text_bytes", "WORD", "size_of"]
+__all__ = ["documents", "table", "stage", "text_pass", "bucketed", "stage_briefly", "partitions_for", "text_bytes", "WORD", "size_of"]
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,12 +27,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def text_pass(df: DataFrame, column: str, added: T.StructType, make: Callable[[list], Iterable[tuple]], rows: int = 256) -> DataFrame:
-    """``df`` without ``column`` and with the columns ``added``.
+def text_pass(
+    df: DataFrame, column: str, added: T.StructType, make: Callable[[list], Iterable[tuple]], rows: int = 256, keep_column: bool = False
+) -> DataFrame:
+    """``df`` with the columns ``added``, and without ``column`` unless ``keep_column``.
 
     ``make`` gets up to ``rows`` values of ``column`` (nulls included) and gives one tuple for each. One pass over
     Arrow batches, cut small so that few long texts are unpacked at once; no shuffle, rows keep their order."""
-    keep = [f for f in df.schema.fields if f.name != column]
+    keep = [f for f in df.schema.fields if keep_column or f.name != column]
     names = [f.name for f in added.fields]
     clash = {f.name for f in keep} & set(names)
     if clash:
@@ -63,6 +65,19 @@ def bucketed(df: DataFrame, buckets: int, key: str, label: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def stage_briefly(df: DataFrame, label: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` written to the shared folder and read back, and what deletes it once nothing reads it any more."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+
+    def drop() -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
 def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0))
 

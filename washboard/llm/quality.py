@@ -69,9 +69,9 @@ def statistics(text: str | None) -> tuple:
     return n, word_chars, symbols, len(lines) - len(set(lines)), repeats, failed, features
 
 
-def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` without its text and with the columns of BASE."""
-    return text_pass(docs, text_col, BASE, lambda texts: map(statistics, texts))
+def with_statistics(docs: DataFrame, text_col: str, keep_text: bool = False) -> DataFrame:
+    """``docs`` with the columns of BASE, without its text unless ``keep_text``."""
+    return text_pass(docs, text_col, BASE, lambda texts: map(statistics, texts), keep_column=keep_text)
 
 
 def regular(covariance: np.ndarray) -> np.ndarray:
@@ -188,15 +188,18 @@ def quality_rules(
     own = {*BASE.names, "distance", "kept", "q_lang", "q_source"}
     if own & set(keep):
         raise ValueError(f"columns would be overwritten: {sorted(own & set(keep))}")
-    source_docs = docs.select(*keep, F.col(lang_col).alias("q_lang"), F.col(source_col).alias("q_source"), F.col(text_col).alias("q_text"))
-    carried = source_docs.withColumn("q_body", F.col("q_text")) if text_col in keep else source_docs
-    rows = with_statistics(carried, "q_text").drop("q_body")
+    narrow = docs.select(F.col(lang_col).alias("q_lang"), F.col(source_col).alias("q_source"), F.col(text_col).alias("q_text"))
+    group = [F.col(lang_col).alias("q_lang"), F.col(source_col).alias("q_source")]
+    if text_col in keep:
+        rows = with_statistics(docs.select(*keep, *group), text_col, keep_text=True)
+    else:
+        rows = with_statistics(docs.select(*keep, *group, F.col(text_col).alias("q_text")), "q_text")
 
     key = F.to_json(F.struct(F.col("q_lang").alias("l"), F.col("q_source").alias("s")))
     by_lang = F.to_json(F.struct(F.col("q_lang").alias("l"), F.lit("*").alias("all")))
     x = [F.col("features")[i].alias(f"x{i}") for i in range(P)]
     # texts are read once for the vectors and once more for the result, which costs less than storing them
-    passed = with_statistics(source_docs.select("q_lang", "q_source", "q_text"), "q_text").filter(~F.col("base_failed"))
+    passed = with_statistics(narrow, "q_text").filter(~F.col("base_failed"))
     distinct = stage(passed.select(key.alias("pair"), by_lang.alias("lang"), *x).groupBy("pair", "lang", *[f"x{i}" for i in range(P)]).agg(F.lit(1).alias("n")), "quality-vectors")
     pairs = distinct.groupBy("pair", "lang").agg(F.count(F.lit(1)).alias("rows"))
     langs = pairs.groupBy("lang").agg(F.sum("rows").alias("lang_rows"), F.sum(F.when(F.col("rows") < least_rows, F.col("rows")).otherwise(0)).alias("left"))

@@ -49,9 +49,10 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str, name: str = "fp") -> DataFrame:
-    """``docs`` with the fingerprint ``name`` in place of the text."""
-    return text_pass(docs, text_col, T.StructType([T.StructField(name, T.LongType())]), lambda texts: ((fingerprint(t),) for t in texts))
+def fingerprints(docs: DataFrame, text_col: str, name: str = "fp", keep_text: bool = False) -> DataFrame:
+    """``docs`` with the fingerprint ``name``, in place of the text unless ``keep_text``."""
+    added = T.StructType([T.StructField(name, T.LongType())])
+    return text_pass(docs, text_col, added, lambda texts: ((fingerprint(t),) for t in texts), keep_column=keep_text)
 
 
 def bit(k: int) -> int:
