@@ -51,7 +51,7 @@ def stored_report(spark, folder):
     """A report of all order lines, written in order."""
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     uuid = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("uuid")
-    maps = [F.to_json(F.create_map(F.lit("mode"), F.col("l_shipmode"))).alias(c) for c in report.JSON_COLUMNS]
+    maps = [F.to_json(F.create_map(F.lit("status"), F.col("l_linestatus"))).alias(c) for c in report.JSON_COLUMNS]
     rows = lines.select(uuid, *maps, F.lit(False).alias("is_dup"), F.lit(False).alias("is_dup_cnic"))
     target = outputs.route_output(new_path(spark, "bench-report"), "banks")
     outputs.write_report(rows, target)
