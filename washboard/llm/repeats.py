@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washboard.llm.common import bucketed, partitions_for, size_of, stage
+from washboard.llm.common import bucketed, partitions_for, size_of, stage_briefly
 
 WINDOW = 8
 #: Bytes that decide whether a phrase ends: a window and the windows before it, which must not end one.
@@ -42,7 +42,10 @@ TRIGGER_BITS = 5
 NEAR, SHORT, SHORT_FROM = 200, 336, 64
 RIGHT, LEFT, BARE = 1, 2, 3
 BLOCK_BYTES = 4 << 20
+#: Text bytes for which the table of keys has a part of its own. A task holds one part; larger parts suit larger executors.
 PART_BYTES = 12 << 20
+#: Files stay countable at any size; a bucket may hold any number of blocks, which are read one at a time.
+MOST_BUCKETS = 20_000
 ELSEWHERE, WANTED, FIRST = 1, 2, 4
 
 
@@ -288,7 +291,7 @@ def remove_repeats(
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("string").alias("id"), text.alias("text"), F.octet_length(text).alias("size"))
     # bucketed by block, so that the texts stay where they are in every step
-    held = bucketed(source.mapInArrow(gather, "block bigint, place bigint, id string, text string"), parts, "block", "repeat-blocks")
+    held = bucketed(source.mapInArrow(gather, "block bigint, place bigint, id string, text string"), min(parts, MOST_BUCKETS), "block", "repeat-blocks")
 
     def unpacked(got: pd.DataFrame) -> tuple[State, np.ndarray]:
         """The state a step left and the answers to what it asked."""
@@ -328,17 +331,21 @@ def remove_repeats(
         made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
         return pd.concat([rows[["id"]].reset_index(drop=True), made], axis=1)
 
-    def replies(asked: DataFrame) -> DataFrame:
-        """The answers to a step, with the states it left."""
-        asked = stage(asked, "repeat-requests")
-        requests = asked.filter(F.col("part") >= 0).repartition(parts, "part").groupBy("part").applyInPandas(answer, ANSWER)
-        return stage(requests.unionByName(asked.filter(F.col("part") < 0).select("block", "part", F.col("mark").alias("codes"))), "repeat-answers")
+    def replies(asked: DataFrame, before: Callable[[], None] | None = None) -> tuple[DataFrame, Callable[[], None]]:
+        """The answers to a step, with the states it left. Tables that are used up are deleted on the way."""
+        asked, drop = stage_briefly(asked, "repeat-requests")
+        if before:
+            before()
+        requests = asked.filter(F.col("part") >= 0).groupBy("part").applyInPandas(answer, ANSWER)
+        out = stage_briefly(requests.unionByName(asked.filter(F.col("part") < 0).select("block", "part", F.col("mark").alias("codes"))), "repeat-answers")
+        drop()
+        return out
 
     by_block = held.groupBy("block")
-    got = replies(by_block.applyInPandas(first, REQUEST))
-    got = replies(by_block.cogroup(got.groupBy("block")).applyInPandas(second, REQUEST))
-    got = replies(got.groupBy("block").applyInPandas(third, REQUEST))
-    got = replies(by_block.cogroup(got.groupBy("block")).applyInPandas(fourth, REQUEST))
+    got, drop = replies(by_block.applyInPandas(first, REQUEST))
+    got, drop = replies(by_block.cogroup(got.groupBy("block")).applyInPandas(second, REQUEST), drop)
+    got, drop = replies(got.groupBy("block").applyInPandas(third, REQUEST), drop)
+    got, _ = replies(by_block.cogroup(got.groupBy("block")).applyInPandas(fourth, REQUEST), drop)
     result = "id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     done = by_block.cogroup(got.groupBy("block")).applyInPandas(finish, result)
     columns = [F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
