@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from samples import SCHEMA, collected, docs, none, odd, odd_rows, prose  # noqa: F401
-from washboard.llm.quality import P, block_estimate, consistency, quality_rules
+from washboard.llm.quality import P, block_estimate, consistency, quality_rules, statistics
 from washboard.llm.stats import chi_square_cdf, chi_square_quantile
 
 
@@ -74,3 +74,14 @@ def test_chi_square():
     assert chi_square_quantile(0.99, 10) == pytest.approx(23.20925, rel=1e-6)
     assert chi_square_cdf(4, 2) == pytest.approx(1 - np.exp(-2))
     assert chi_square_cdf(0, 3) == 0 and chi_square_cdf(1e6, 3) == 1
+
+
+def test_every_word_counts_for_variety(spark):
+    varied = [f"w{i}" for i in range(50)]
+    assert statistics(" ".join(varied))[-1][3] == 0
+    assert statistics(" ".join(varied * 2))[-1] is None  # repeats
+    assert statistics(" ".join(varied + ["same"] * 49))[-1][3] == pytest.approx(np.log((50 + 2) / 100))
+    clean = [(i, prose(i, 60 + i % 300, 300), "en", "big", None) for i in range(600)]
+    tails = [(1000 + i, prose(i, 50, 300) + " same" * 49, "en", "big", None) for i in range(20)]
+    got = collected(quality_rules(spark.createDataFrame(clean + tails, SCHEMA)))
+    assert {g["doc_id"] for g in got if not g["kept"]} == {r[0] for r in tails}

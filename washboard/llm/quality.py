@@ -63,7 +63,9 @@ def statistics(text: str | None) -> tuple:
         joined = b"".join(words)
         marks = len(joined) - len(joined.translate(None, PUNCTUATION))
         capitals = len(joined) - len(joined.translate(None, CAPITALS))
-        stretches = [words[i : i + STRETCH] for i in range(0, n - STRETCH + 1, STRETCH)]
+        # the last stretch ends at the last word, so that every word counts
+        starts = [*range(0, n - STRETCH, STRETCH), n - STRETCH]
+        stretches = [words[i : i + STRETCH] for i in starts]
         variety = sum(len(set(s)) for s in stretches) / (STRETCH * len(stretches))
         features = [math.log(word_chars / n), math.log((marks + 1) / n), math.log((capitals + 1) / n), math.log(variety)]
     return n, word_chars, symbols, len(lines) - len(set(lines)), repeats, failed, features
