@@ -85,3 +85,12 @@ def test_every_word_counts_for_variety(spark):
     tails = [(1000 + i, prose(i, 50, 300) + " same" * 49, "en", "big", None) for i in range(20)]
     got = collected(quality_rules(spark.createDataFrame(clean + tails, SCHEMA)))
     assert {g["doc_id"] for g in got if not g["kept"]} == {r[0] for r in tails}
+
+
+def test_small_cells_are_judged_by_their_language_or_the_table(spark):
+    clean = [(i, prose(i, 60 + i % 300, 300), "en", "big", None) for i in range(500)]
+    few = [(500 + i, prose(500 + i, 100, 300), "en", "new", None) for i in range(5)]
+    shout = [(1000 + i, prose(i, 100).upper().replace(" ", "!! "), "en", "new", None) for i in range(30)]
+    other = [(2000 + i, prose(i, 100).replace(" ", " | "), "xx" if i % 2 else None, "new", None) for i in range(30)]
+    got = collected(quality_rules(spark.createDataFrame(clean + few + shout + other, SCHEMA)))
+    assert {g["doc_id"] for g in got if not g["kept"]} == {r[0] for r in shout + other}

@@ -178,14 +178,15 @@ def quality_rules(
     """One row per document: the columns ``keep``, the statistics of BASE, squared distance ``distance`` and ``kept``.
 
     The estimate is fitted to the distinct vectors of each cell, so copies count once. A cell is a (language, source)
-    pair; pairs with fewer than ``least_rows`` vectors are joined per language, and small languages all together.
+    pair; pairs with fewer than ``least_rows`` vectors are judged by the cell of their whole language, large pairs included, and
+    where that has too few as well, by one of the whole table.
     A cell is first cut into blocks of about ``block_rows`` vectors by their hash, each of which gives an estimate of its own;
     their mean starts ``steps`` concentration steps over the whole cell, followed by one over all rows within the 97.5 %
     bound. No task holds more than a block. ``reject`` is the part of normal data beyond the final bound.
 
     Null text has no words and fails the base rules, as do empty texts; null languages and sources are values of their own.
-    Documents that fail the base rules have no distance and are not fitted. Repeated rows are kept as they are. A cell of fewer than
-    ``least_rows`` vectors in the whole table rejects nothing. An empty table gives no rows. Columns not named are not
+    Documents that fail the base rules have no distance and are not fitted. Repeated rows are kept as they are. A table of fewer than
+    ``least_rows`` vectors rejects nothing. An empty table gives no rows. Columns not named are not
     looked at; names in ``keep`` must differ from the result's own."""
     own = {*BASE.names, "distance", "kept", "q_lang", "q_source"}
     if own & set(keep):
@@ -202,13 +203,21 @@ def quality_rules(
     x = [F.col("features")[i].alias(f"x{i}") for i in range(P)]
     # texts are read once for the vectors and once more for the result, which costs less than storing them
     passed = with_statistics(narrow, "q_text").filter(~F.col("base_failed"))
-    distinct = stage(passed.select(key.alias("pair"), by_lang.alias("lang"), *x).groupBy("pair", "lang", *[f"x{i}" for i in range(P)]).agg(F.lit(1).alias("n")), "quality-vectors")
-    pairs = distinct.groupBy("pair", "lang").agg(F.count(F.lit(1)).alias("rows"))
-    langs = pairs.groupBy("lang").agg(F.sum("rows").alias("lang_rows"), F.sum(F.when(F.col("rows") < least_rows, F.col("rows")).otherwise(0)).alias("left"))
-    cell = F.when(F.col("rows") >= least_rows, F.col("pair")).when(F.col("left") >= least_rows, F.col("lang")).otherwise("*")
-    cells = stage(pairs.join(langs, "lang").select("pair", cell.alias("cell"), "rows"), "quality-cells")
-    vectors = stage(distinct.drop("lang").join(cells.drop("rows"), "pair").drop("pair"), "quality-cell-vectors")
-    sizes = cells.groupBy("cell").agg(F.sum("rows").alias("rows"))
+    named_x = [f"x{i}" for i in range(P)]
+    distinct = stage(passed.select(key.alias("pair"), by_lang.alias("lang"), *x).groupBy("pair", "lang", *named_x).agg(F.lit(1).alias("n")), "quality-vectors")
+    pairs = stage(distinct.groupBy("pair", "lang").agg(F.count(F.lit(1)).alias("rows")), "quality-pairs")
+    # a language with small pairs has a cell of all its vectors, and the table has one if such a language is small itself
+    pooled = distinct.join(pairs.filter(F.col("rows") < least_rows).select("lang").distinct(), "lang", "left_semi")
+    pooled = stage(pooled.select(F.col("lang").alias("cell"), *named_x, "n").distinct(), "quality-pooled")
+    langs = stage(pooled.groupBy("cell").agg(F.count(F.lit(1)).alias("lang_rows")).withColumnRenamed("cell", "lang"), "quality-langs")
+    cell = F.when(F.col("rows") >= least_rows, F.col("pair")).when(F.col("lang_rows") >= least_rows, F.col("lang")).otherwise("*")
+    cells = stage(pairs.join(langs, "lang", "left").select("pair", cell.alias("cell")), "quality-cells")
+    used = cells.select("cell").distinct()
+    vectors = distinct.select(F.col("pair").alias("cell"), *named_x, "n").unionByName(pooled).join(used, "cell", "left_semi")
+    if not langs.filter(F.col("lang_rows") < least_rows).isEmpty():
+        vectors = vectors.unionByName(distinct.select(*named_x, "n").distinct().withColumn("cell", F.lit("*")))
+    vectors = stage(vectors, "quality-cell-vectors")
+    sizes = vectors.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
     blocks = F.ceil(F.col("rows") / block_rows)
 
     def start(part: pd.DataFrame) -> pd.DataFrame:
@@ -232,7 +241,7 @@ def quality_rules(
         model = refit(vectors, model, None, share)
     model = refit(vectors, model, chi_square_quantile(0.975, P), share)
 
-    named = stage(model.join(cells.drop("rows"), "cell").drop("cell", "log_det"), "quality-models")
+    named = stage(model.join(cells, "cell").drop("cell", "log_det"), "quality-models")
     judged = rows.withColumn("q_pair", key).join(named, F.col("q_pair") == named["pair"], "left")
     for i in range(P):
         judged = judged.withColumn(f"x{i}", F.col("features")[i])
