@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from samples import collected
 
-from washboard.llm.neighbours import Cells, leaves, nearest_neighbours
+from washboard.llm.neighbours import Cells, dealt, leaves, nearest_neighbours
 
 
 def plain(rows, k=10, every=100):
@@ -65,3 +65,26 @@ def test_cells_and_leaves_hold_each_point_once():
         assert cells.gaps(p)[c] == 0
     assert sorted(np.concatenate(leaves(points)).tolist()) == list(range(3000))
     assert len(Cells(np.ones((50, 3)), 5).low) == 1
+
+
+def test_queries_of_a_cell_are_dealt_too(spark):
+    index = spark.range(300).selectExpr("3 AS size", "0 AS cell", "cast(id % 5 AS int) AS block", "id AS row")
+    asked = spark.range(1000).selectExpr("3 AS size", "0 AS cell", "id AS row", "'x' AS vector")
+    left, right = dealt(index, asked, spark.createDataFrame([(3, 0, 5)], "size int, cell int, blocks int"), 60)
+    keys = ["size", "cell", "block", "part"]
+    for side in (left, right):
+        assert max(r["count"] for r in side.groupBy(*keys).count().collect()) <= 2 * 60
+    met = left.select(*keys, "row").join(right.select(*keys, right["row"].alias("asked")), keys)
+    assert met.count() == met.distinct().count() == 300 * 1000
+
+
+def test_hot_id(spark):
+    rng = np.random.default_rng(3)
+    rows = [(100 if i % 3 else i, rng.standard_normal(3).tolist()) for i in range(150)]
+    got = defaultdict(list)
+    for g in collected(nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), block_rows=16, certainty=0.9999)):
+        got[g["query_id"]].append((g["rank"], round(g["score"], 9), g["vec_id"]))
+    expected = defaultdict(list)
+    for i, near in plain(rows).items():
+        expected[rows[i][0]] += [(r + 1, round(s, 9), n) for r, (s, n) in enumerate(near)]
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in expected.items()}

@@ -125,6 +125,18 @@ def search_block(index: pd.DataFrame, queries: pd.DataFrame, k: int, stop: float
     return pd.concat(found) if found else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "row": [], "score": []})
 
 
+def dealt(index: DataFrame, asked: DataFrame, counts: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``index`` (size, cell, block, row, ..) and ``asked`` (size, cell, row, ..) with the columns block and part, where ``counts`` has
+    the blocks of each size and cell: all that share size, cell, block and part are about ``block_rows`` rows at most on either side,
+    and each row asked meets each index row of its cell once. Queries are copied to each block of their cell, blocks to each part of its queries."""
+    parts = asked.groupBy("size", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    copied = index.join(parts, ["size", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # another seed than the blocks' hash, so that parts do not depend on blocks
+    each = asked.join(parts, ["size", "cell"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "row"), F.col("parts")).cast("int"))
+    each = each.join(counts, ["size", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return copied, each.select(*[F.col(c).alias(c) for c in each.columns])  # both sides come from one table
+
+
 def nearest_neighbours(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, width: int = 8,
     certainty: float = 0.98, block_rows: int = 4096, sample_rows: int = 20_000, most_depth: int = 10, seed: int = 11,
@@ -137,8 +149,8 @@ def nearest_neighbours(
     rows. Columns not named are not looked at.
 
     The cells are fitted to at most about ``sample_rows`` projected rows (chosen by hash); all rows are indexed. A cell is dealt to
-    blocks of about ``block_rows``, so that a hot vector does not fill one task. A query first searches its own cell, then those that
-    the stopping test does not rule out given the distance found there."""
+    blocks of about ``block_rows``, and so are its queries, so that neither a hot vector nor a hot id fills one task. A query
+    first searches its own cell, then those that the stopping test does not rule out given the distance found there."""
     stop = chi_square_quantile(certainty, width)
     numbers = F.col("vector")
     usable = F.coalesce(
@@ -177,10 +189,9 @@ def nearest_neighbours(
 
     def search(asked: DataFrame) -> DataFrame:
         """Candidates of ``asked`` (size, cell, row, vec_id, vector, point, bound) from all blocks of the cells named."""
-        each = asked.join(counts, ["size", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        each = each.select(*[F.col(c).alias(c) for c in each.columns])  # both sides come from one table
-        keys = ("size", "cell", "block")
-        both = index.groupBy(*keys).cogroup(each.groupBy(*keys))
+        copied, each = dealt(index, asked, counts, block_rows)
+        keys = ("size", "cell", "block", "part")
+        both = copied.groupBy(*keys).cogroup(each.groupBy(*keys))
 
         def run(block: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
             if not len(block) or not len(wanted):
@@ -198,10 +209,11 @@ def nearest_neighbours(
     def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             near = [np.flatnonzero((cells.gaps(np.asarray(p)) <= stop * b) & (np.arange(len(cells.low)) != c)).tolist() for p, b, c in zip(part["point"], part["bound"], part["cell"])]
-            yield part.assign(cell=near).explode("cell").dropna(subset=["cell"]).astype({"cell": "int32"})
+            yield part.assign(cell=near)[["row", "cell", "bound"]].explode("cell").dropna(subset=["cell"]).astype({"cell": "int32"})
 
-    named = "vec_id bigint, vector array<double>, row bigint, point array<double>, cell int, size int, bound double"
-    asked = bounded.select("vec_id", "vector", "row", "point", "cell", "size", "bound").mapInPandas(further, named)
+    # the cells named are counted and then searched; vectors are joined only where they are searched
+    named = stage(bounded.select("row", "point", "cell", "bound").mapInPandas(further, "row bigint, cell int, bound double"), "ann-asked")
+    asked = queries.drop("cell").join(named, "row")
     found = home.unionByName(search(asked))
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
