@@ -39,12 +39,21 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+# A private key runs from its header over fields such as DEK-Info and the key's characters to the END line. Line breaks may be
+# escaped, and lines may be quoted, commented or marked as in a diff. Without an END line that follows so, it ends with the last line of
+# such characters alone, or the last long stretch of them.
+BREAK = r"(?:\r\n?|\n|(?:\\+r)?\\+n)"
+BASE64 = r"[A-Za-z0-9+/=]"
+AROUND = r"""[\x20\t"'>\#*|,;]*+"""
+FIELDS = rf"(?:(?:{BREAK}{AROUND}[A-Za-z][A-Za-z-]{{0,40}}:(?:(?!\\+[nr])[^\r\n]){{0,200}}+){{1,8}}+(?:{BREAK}{AROUND}(?={BREAK}))?+)?+"
+TO_END = rf"""(?:[A-Za-z0-9+/=\s"'>\#*|,;\\]|(?<=[\r\n])-(?!----))*+-?-----END (?:[A-Z]+ )*PRIVATE KEY-----"""
+TO_LAST = rf"""(?:(?:\\+[nr]|[\s"'>\#*|,;])*+{BASE64}{{32,}}+|{BREAK}{AROUND}-?{BASE64}++(?={AROUND}(?:{BREAK}|\Z)))++"""
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", rf"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:{FIELDS}(?:{TO_END}|{TO_LAST}))?"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE_RULES + MORE_RULES
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 
 
 def find_spans(text: str, rules: list[tuple[Rule, re.Pattern]]) -> list[tuple[str, int, int]]:
