@@ -91,3 +91,17 @@ def test_odd_rows(spark, odd, none, docs):
     assert predict_language(none, train(none)).count() == 0
     assert {g["lang_pred"] for g in collected(predict_language(odd, train(none)))} == {"und"}
     assert predict_language(none, train(docs)).count() == 0
+
+
+def test_long_documents_are_sampled_in_pieces(spark):
+    # of the ids, each part has some; whole documents would be taken at a rate of 2 % at most
+    letters = {"aa": "abcde fghij ", "bb": "klmno pqrst "}
+    rows = [(i, letters[lang] * 250_000, lang) for lang, start in (("aa", 0), ("bb", 50)) for i in range(start, start + 6)]
+    few = [(1000 + i, "uvwxyz " * 50, "cc") for i in range(30)]
+    docs = spark.createDataFrame(rows + few, "doc_id bigint, text string, lang string")
+    models = train(docs, sample_chars=200_000)
+    assert models.languages == ["aa", "bb", "cc"]
+    assert np.isfinite(models.bounds).all()
+    assert [models.predict(t)[0] for t in ("abcde fghij", "klmno pqrst", "uvwxyz")] == models.languages
+    # at a rate near zero one piece of each is left
+    assert train(docs, sample_chars=1).languages == models.languages

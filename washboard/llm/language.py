@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,8 +27,10 @@ UNDETERMINED = "und"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Characters scored at once.
 CHUNK = 1 << 18
-#: Sampling is by the hash of a document, in so many parts.
+#: Sampling is by the hash of a document and the number of a piece of its text, in so many parts.
 PARTS = 1 << 20
+#: Characters of a piece; most documents are one piece.
+PIECE = 100_000
 RESULT = T.StructType([
     T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
     T.StructField("accepted", T.BooleanType()), T.StructField("cross_entropy", T.DoubleType()),
@@ -206,25 +208,50 @@ def train(
     """Models from documents whose id's remainder is 2, 3 or 4; remainder 1 calibrates, remainder 0 is never read.
 
     Both use a sample by hash with about ``sample_chars`` characters of each language and part, which bounds the models'
-    size; languages and characters are counted over all documents. Documents without text, language or id teach nothing."""
+    size; languages and characters are counted over all documents. What is taken or left is a piece of PIECE characters of a text,
+    so that a few long documents neither go missing nor come whole, and at least one piece of each language and part is taken.
+    Documents without text, language or id teach nothing."""
     part = remainder(F.col(id_col))
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), part.alias("part"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(PARTS)).alias("h"))
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), part.alias("part"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
     rows = rows.filter(F.col("part").isNotNull() & (F.col("part") != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    teaches = (F.col("part") > 1).alias("teaches")
-    sizes = rows.groupBy("lang", teaches).agg(F.sum(F.length("text")).alias("chars")).collect()
+    rows = rows.withColumn("teaches", F.col("part") > 1)
+    last = F.greatest(F.ceil(F.length("text") / PIECE).cast("int") - 1, F.lit(0))
+
+    def place(i: Column) -> Column:
+        """Of piece ``i`` among the PARTS; a text's first piece goes by the text's hash."""
+        return F.pmod(F.when(i == 0, F.col("h")).otherwise(F.xxhash64("h", i)), F.lit(PARTS))
+
+    def cut(those: Callable[[Column], Column]) -> Column:
+        """Pieces ``those`` holds for: text, and whether it begins and ends a document. Only these are copied."""
+        numbers = F.filter(F.sequence(F.lit(0), last), those)
+        return F.transform(numbers, lambda i: F.struct(F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE)).alias("text"), (i == 0).alias("first"), (i == last).alias("last")))
+
+    least = F.array_min(F.transform(F.sequence(F.lit(0), last), place))
+    sizes = rows.groupBy("lang", "teaches").agg(F.sum(F.length("text")).alias("chars"), F.min(least).alias("least")).collect()
     if not any(r["teaches"] for r in sizes):
         return Models([], order)
-    rate = {(r["lang"], r["teaches"]): math.ceil(PARTS * min(1.0, sample_chars / max(r["chars"], 1))) for r in sizes}
-    chosen = F.lit(False)
-    for (lang, teach), most in rate.items():
-        chosen = chosen | ((F.col("lang") == lang) & ((F.col("part") > 1) == teach) & (F.col("h") < most))
-    sample = stage(rows.filter(chosen).select("lang", "text", teaches), "language-sample")
+    rates = {(r["lang"], r["teaches"]): math.ceil(PARTS * min(1.0, sample_chars / max(r["chars"], 1))) for r in sizes}
+    most, lacking = F.lit(0), F.lit(-1)
+    for r in sizes:
+        rate = rates[r["lang"], r["teaches"]]
+        here = (F.col("lang") == r["lang"]) & (F.col("teaches") == r["teaches"])
+        most = F.when(here, F.lit(rate)).otherwise(most)
+        if r["least"] >= rate:
+            lacking = F.when(here, F.lit(r["least"])).otherwise(lacking)
+    pieces = rows.select("lang", "teaches", F.explode(cut(lambda i: place(i) < most)).alias("piece"))
+    if any(r["least"] >= rates[r["lang"], r["teaches"]] for r in sizes):
+        # repeated rows share their place, so one of them is taken
+        single = rows.select("lang", "teaches", F.explode(cut(lambda i: place(i) == lacking)).alias("piece"))
+        pieces = pieces.unionByName(single.groupBy("lang", "teaches").agg(F.min("piece").alias("piece")))
+    sample = stage(pieces.select("lang", "teaches", "piece.*"), "language-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             grams: Counter = Counter()
-            for lang, text in zip(batch["lang"], batch["text"]):
+            for lang, text, first, last in zip(batch["lang"], batch["text"], batch["first"], batch["last"]):
                 line = padded(text, order)
+                # a cut is no border of a word
+                line = line[0 if first else order - 1 : len(line) if last else -1]
                 for i in range(0, len(line), CHUNK):
                     piece = line[i : i + CHUNK + order - 1]
                     grams.update((lang, piece[j : j + order]) for j in range(len(piece) - order + 1))
