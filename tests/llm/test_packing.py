@@ -79,3 +79,12 @@ def test_each_place_has_the_smallest_sum_of_squares():
 def test_only_long_documents_are_cut():
     assert cut(1, 2048) == [(0, 1)] and cut(2048, 2048) == [(0, 2048)]
     assert cut(2049, 2048) == [(0, 1), (1, 2048)] and cut(4096, 2048) == [(0, 2048), (2048, 2048)]
+
+
+def test_whole_pieces_go_to_no_shard(spark):
+    df = spark.createDataFrame([(i, "word " * n) for i, n in enumerate([9000] * 6 + [30] * 9)], "doc_id bigint, text string")
+    got = collected(pack_documents(df))
+    whole, short = [[g for g in got if (g["length"] == 2048) == w] for w in (True, False)]
+    assert len(whole) == 6 * 4 and len({g["sequence_id"] for g in whole}) == len(whole)
+    assert all(g["sequence_id"] >= 1 << 32 for g in whole) and all(g["sequence_id"] < 1 << 32 for g in short)
+    check(df)

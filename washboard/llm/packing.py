@@ -114,11 +114,13 @@ def pack_documents(
 
     A document is the ids of its whole text and ``end_id``; null text is empty, which leaves ``end_id`` alone. Only documents of
     more than ``capacity`` ids are cut. Each row is packed, so repeated rows and ids are packed as often as they come; null
-    ids stay null. An empty table gives no rows. Columns not named are not looked at. A shard holds about
-    ``shard_pieces`` pieces, whatever their lengths, documents or copies, and numbers its sequences from shard * 2 ** 32."""
+    ids stay null. An empty table gives no rows. Columns not named are not looked at. A piece of ``capacity`` ids is a sequence of its
+    own and goes to no shard. A shard holds about ``shard_pieces`` of the shorter pieces, whatever their documents or copies, and numbers its
+    sequences from shard * 2 ** 32; the whole pieces' numbers come after those of all shards."""
     cut_up = stage(pieces(docs, id_col, text_col, capacity, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
-    shards = -(-cut_up.filter(F.col("length") < capacity).count() // shard_pieces) or 1
-    dealt = cut_up.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    short = cut_up.filter(F.col("length") < capacity)
+    shards = -(-short.count() // shard_pieces) or 1
+    dealt = short.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "row"], ascending=[False, True]).reset_index(drop=True)
@@ -130,4 +132,6 @@ def pack_documents(
         ]
 
     packed = dealt.groupBy("shard").applyInPandas(pack, f"doc string, {PIECES}, sequence_id bigint, offset bigint")
+    whole = cut_up.filter(F.col("length") == capacity).withColumn("sequence_id", F.lit(shards << 32) + F.col("row"))
+    packed = packed.unionByName(whole.withColumn("offset", F.lit(0).cast("bigint")).select(*packed.columns))
     return packed.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), *packed.columns[1:])
