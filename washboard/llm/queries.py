@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from washboard.llm.common import documents, stage, table
+from washboard.llm.divergence import source_divergence
 from washboard.llm.language import predict_language, remainder, train
 from washboard.llm.lm_scores import lm_scores
+from washboard.llm.merkle import audit_columns, build_manifest, proofs
 from washboard.llm.mixing import mix_sources
 from washboard.llm.neighbours import nearest_neighbours
 from washboard.llm.packing import pack_documents
@@ -67,6 +69,18 @@ def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its proof; in each seventh id or so the number of characters is tampered with."""
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    tampered = F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    found = proofs(build_manifest(documents(spark, sf_dir), changes={"n_chars": tampered}))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", *audit_columns())
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_prefix_free_parsing": op2_prefix_free_parsing,
@@ -78,6 +92,8 @@ QUERIES = {
     "op8_sum_of_squares": op8_sum_of_squares,
     "op9_edit_aware_counts": op9_edit_aware_counts,
     "op10_stable_projections": op10_stable_projections,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 OP7_SQL = r"""
@@ -123,6 +139,42 @@ WITH d AS (
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM c
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found
+  FROM documents
+), w AS (
+  SELECT lang, source, doc, unnest(found) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS whole FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 30
+), langs AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(whole)::HUGEINT AS n FROM kept GROUP BY lang
+), counts AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS c FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN counts USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (g.n + 5 * l.v) AS p,
+         1 + (1000000000::HUGEINT * (k.whole + 5)) // (l.n + 5 * l.v) AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 50
+"""
+
 ORACLE_SQL = {
     "op7_pareto_mixing": OP7_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
