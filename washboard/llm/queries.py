@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from washboard.llm.common import documents, stage, table
 from washboard.llm.divergence import source_divergence
+from washboard.llm.jaccard import jaccard_components
 from washboard.llm.language import predict_language, remainder, train
 from washboard.llm.lm_scores import lm_scores
 from washboard.llm.merkle import audit_columns, build_manifest, proofs
@@ -69,6 +70,10 @@ def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
@@ -92,6 +97,7 @@ QUERIES = {
     "op8_sum_of_squares": op8_sum_of_squares,
     "op9_edit_aware_counts": op9_edit_aware_counts,
     "op10_stable_projections": op10_stable_projections,
+    "op11_prefix_tree": op11_prefix_tree,
     "op12_source_divergence": op12_source_divergence,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
