@@ -145,6 +145,27 @@ WITH d AS (
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM c
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                      ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle
+  FROM d
+), n AS (
+  SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * n_both >= 90 * (nx.size + ny.size - n_both)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, y FROM reach JOIN links ON other = x
+)
+SELECT doc_id, coalesce(size, 0)::BIGINT AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, size
+"""
+
 OP12_SQL = r"""
 WITH d AS (
   SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
@@ -180,7 +201,61 @@ SELECT lang, source, part, item, value,
 FROM parts QUALIFY part = 'pair' OR rank <= 50
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))) AS crc
+  FROM documents
+), f AS (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+         coalesce(strlen(text) || ':' || text, '-') AS after, n_chars + CASE WHEN xor(crc, 4294967295::UBIGINT) % 7 = 0 THEN 1 ELSE 0 END AS tampered
+  FROM d
+), l AS (
+  SELECT r, doc_id, tree, sha256(before || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || after) AS leaf,
+         sha256(before || coalesce(strlen(tampered::VARCHAR) || ':' || tampered, '-') || after) AS changed
+  FROM f
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l
+), nodes(tree, level, i, h) AS (
+  SELECT tree, 0, i, leaf FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM nodes)
+  WHERE n > 1 GROUP BY tree, level, i // 2
+), subroots AS (
+  SELECT tree, max(level) AS height, arg_max(h, level) AS h FROM nodes GROUP BY tree
+), tops(level, i, h) AS (
+  SELECT 0, tree, h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE (SELECT count(*) FROM tops) > 1 GROUP BY level, i // 2
+), top AS (
+  SELECT max(level) AS height, arg_max(h, level) AS h FROM tops
+), places AS (
+  SELECT r, leaves.tree, unnest(range(height)) AS step, 0 AS below, i FROM leaves JOIN subroots USING (tree)
+), steps AS (
+  SELECT r, step, n.h, (p.i >> step) & 1 = 1 AS on_left FROM places p LEFT JOIN nodes n ON n.tree = p.tree AND n.level = step AND n.i = xor(p.i >> step, 1)
+  UNION ALL
+  SELECT r, u.height + u.step, t.h, (u.tree >> u.step) & 1 = 1
+  FROM (SELECT r, leaves.tree, s.height, unnest(range((SELECT height FROM top))) AS step FROM leaves JOIN subroots s USING (tree)) u
+  LEFT JOIN tops t ON t.level = u.step AND t.i = xor(u.tree >> u.step, 1)
+), fold(r, step, h) AS (
+  SELECT r, 0::BIGINT, changed FROM leaves
+  UNION ALL
+  SELECT r, fold.step + 1, sha256(CASE WHEN s.h IS NULL THEN fold.h WHEN on_left THEN s.h || fold.h ELSE fold.h || s.h END)
+  FROM fold JOIN steps s USING (r) WHERE s.step = fold.step
+), folded AS (
+  SELECT r, arg_max(h, step) AS folded_root FROM fold GROUP BY r
+), proofs AS (
+  SELECT r, coalesce(string_agg(h, '' ORDER BY step), '') AS others FROM steps GROUP BY r
+)
+SELECT doc_id, leaf, s.h AS subroot, (SELECT h FROM top) AS root, sha256(coalesce(others, '')) AS proof_sha256, folded_root,
+       folded_root = (SELECT h FROM top) AS verified
+FROM leaves JOIN subroots s USING (tree) JOIN folded USING (r) LEFT JOIN proofs USING (r)
+"""
+
 ORACLE_SQL = {
     "op7_pareto_mixing": OP7_SQL,
+    "op11_prefix_tree": OP11_SQL,
     "op12_source_divergence": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
