@@ -186,3 +186,28 @@ def test_labels_by_column_name():
     assert PACK.labels_for(ColumnRule("Name of District", "geo"))[-1] == "Umerkot"
     assert PACK.labels_for(ColumnRule("planet", "geo")) == ()
     assert PACK.labels_for(ColumnRule("District", "geo", labels=("A",))) == ("A",)
+
+
+def test_counts_need_no_pass_of_their_own(cleaned):
+    result, cells, records = cleaned
+    for df in (result.summary(), result.step_breakdown(), result.review_by_column()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "LocalTableScan" in plan and "FileScan" not in plan
+    by_column = {r["column"]: r["cells"] for r in result.review_by_column().collect()}
+    assert by_column == {n: k for n in DEFAULTS if (k := sum(1 for (_, c), v in cells.items() if c == n and v["flagged"]))}
+
+
+def test_counts_with_repeats_over_many_tasks(spark):
+    """Flags of repeats come on top of others: rows flagged for both, or for one alone, count once each."""
+    pack = RulePack(rules=(ColumnRule("id", "numeric", non_null=True, unique=True), ColumnRule("ok", "bool")), reference_year=2026)
+    data = [(i, str(i // 2) if i % 5 else "x7", "maybe" if i % 3 == 0 else "yes", f"n{i % 40}") for i in range(400)]
+    df = spark.createDataFrame(data, "row_idx long, id string, ok string, note string").repartition(7)
+    result = clean_dataset(df, pack)
+    cells = result.tracked.cells().collect()
+    records = result.records().collect()
+    row = result.summary().first()
+    repeated = sum(1 for r in records if "_record" in r["manual_reviews"])
+    assert row["cells_flagged"] == sum(c["flagged"] for c in cells) + repeated
+    assert row["rows_need_review"] == sum(1 for r in records if r["manual_reviews"])
+    assert row["rows_auto_cleaned"] == sum(1 for r in records if r["cleaned_values"])
+    assert row["duplicate_uuid_rows"] == sum(r["is_dup"] for r in records) > 0

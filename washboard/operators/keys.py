@@ -7,6 +7,9 @@ repeated keys only, see ``lookup.members_of``. All of it runs on a narrow table
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from washboard.operators import lookup
 from washboard.operators.lookup import BROADCAST_ROWS, bounded_key, left_by_row, members_of
 from washboard.operators.tracked import ROW_COLUMN, TrackedFrame
 from washboard.rules import RulePack
-from washboard.session import stage
+from washboard.session import counted, counts_of, stage, stage_counted
 
 RECORD_KEY = "record_key"
 ROW_DIGEST = "row_digest"
@@ -90,37 +93,59 @@ def add_keys(t: TrackedFrame, pack: RulePack, key_column: str | None = None) ->
 
 
 def key_table(t: TrackedFrame, pack: RulePack, key_column: str | None = None) -> DataFrame:
-    """Narrow long table (row_idx, kind, key) of all keys that are compared. ``kind`` is a column slot,
-    -1 for the record key and -2 for the whole cleaned row. Row labels are unique and stay out."""
+    """Narrow long table (row_idx, kind, known, reviewed, key) of all keys that are compared. ``kind`` is a column slot,
+    -1 for the record key and -2 for the whole cleaned row; ``known`` says that the key's cell is flagged already, ``reviewed``
+    that some cell of the row is. Row labels are unique and stay out."""
     ids, cnics = unique_columns(t.names, pack)
-    parts = [(t.slot(n), F.col(f"id_key{t.slot(n)}")) for n in ids + cnics]
+    parts = [(t.slot(n), F.col(f"id_key{t.slot(n)}"), t.flagged(n)) for n in ids + cnics]
     if record_key_column(t.names, pack, key_column):
-        parts.append((-1, F.col("base_key")))
-    entries = [
-        F.when(c.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.encode(bounded_key(c), "UTF-8").alias("key")))
-        for kind, c in parts
-    ]
-    entries.append(F.struct(F.lit(-2).alias("kind"), row_digest([t.value(n) for n in t.names]).alias("key")))
-    long = t.df.select(ROW_COLUMN, F.explode(F.array(*entries)).alias("entry")).where("entry is not null")
-    return long.select(ROW_COLUMN, "entry.kind", "entry.key")
-
-
-def decide_flags(t: TrackedFrame, pack: RulePack, key_column: str | None = None) -> DataFrame:
-    """Written table of flagged rows only: row_idx, one boolean per unique column, ``later_key`` for a
-    record that repeats an earlier key, ``same_row`` for a repeated row."""
+        parts.append((-1, F.col("base_key"), F.lit(False)))
+
+    def entry(kind: int, key: Column, known: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), known.alias("known"), key.alias("key"))
+
+    entries = [F.when(c.isNotNull(), entry(kind, F.encode(bounded_key(c), "UTF-8"), known)) for kind, c, known in parts]
+    entries.append(entry(-2, row_digest([t.value(n) for n in t.names]), F.lit(False)))
+    reviewed = reduce(or_, [t.flagged(n) for n in t.names], F.lit(False))
+    long = t.df.select(ROW_COLUMN, reviewed.alias("reviewed"), F.explode(F.array(*entries)).alias("entry")).where("entry is not null")
+    return long.select(ROW_COLUMN, "entry.kind", "entry.known", "reviewed", "entry.key")
+
+
+def repeat_counts(t: TrackedFrame, pack: RulePack) -> dict[str, Column]:
+    """Aggregates of the table of flagged rows: what the repeats add to the counts of the rows themselves."""
+    ids, cnics = unique_columns(t.names, pack)
+    slots = [t.slot(n) for n in ids + cnics]
+    any_repeat = reduce(or_, [F.col(f"repeat{s}") for s in slots], F.col("same_row"))
+    return {
+        "rows_added": F.count_if(any_repeat & ~F.col("reviewed")), "same_rows": F.count_if("same_row"),
+        "repeated_ids": F.count_if(F.col(f"repeat{t.slot(ids[-1])}") if ids else F.lit(False)),
+        **{f"added{s}": F.count_if(F.col(f"repeat{s}") & ~F.col(f"known{s}")) for s in slots},
+    }
+
+
+def decide_flags(
+    t: TrackedFrame, pack: RulePack, key_column: str | None = None, counts: dict[str, Column] | None = None
+) -> tuple[DataFrame, dict[str, int]]:
+    """Written table of flagged rows only, and counts: row_idx, one boolean per unique column (``repeat<slot>``, and ``known<slot>``
+    where the cell is flagged already), ``later_key`` for a record that repeats an earlier key, ``same_row`` for a repeated row,
+    ``reviewed`` for a row with flagged cells.
+
+    ``counts`` are aggregates of ``t``, observed while the keys are written; those of ``repeat_counts`` are observed
+    with the flags."""
     ids, cnics = unique_columns(t.names, pack)
-    keys = stage(key_table(t, pack, key_column), "keys")
+    rows, seen = counted(t.df, counts or {})
+    keys = stage(key_table(t.with_df(rows), pack, key_column), "keys")
     members = rows_with_repeated_key(keys, ["kind", "key"])
     kind = F.col("kind")
     flags = [F.bool_or(kind == t.slot(n)).alias(f"repeat{t.slot(n)}") for n in ids + cnics]
-    return stage(
-        members.groupBy(ROW_COLUMN).agg(
-            *flags,
-            F.bool_or((kind == -1) & (F.col(ROW_COLUMN) != F.col("first_row"))).alias("later_key"),
-            F.bool_or(kind == -2).alias("same_row"),
-        ),
-        "flags",
+    flags += [F.bool_or((kind == t.slot(n)) & F.col("known")).alias(f"known{t.slot(n)}") for n in ids + cnics]
+    flagged = members.groupBy(ROW_COLUMN).agg(
+        *flags,
+        F.bool_or((kind == -1) & (F.col(ROW_COLUMN) != F.col("first_row"))).alias("later_key"),
+        F.bool_or(kind == -2).alias("same_row"), F.bool_or("reviewed").alias("reviewed"),
     )
+    written, added = stage_counted(flagged, "flags", repeat_counts(t, pack))
+    return written, counts_of(seen, counts or {}) | added
 
 
 def apply_flags(t: TrackedFrame, pack: RulePack, flags: DataFrame) -> TrackedFrame:
@@ -131,7 +156,7 @@ def apply_flags(t: TrackedFrame, pack: RulePack, flags: DataFrame) -> TrackedFra
     ids, cnics = unique_columns(t.names, pack)
     slots = [t.slot(n) for n in ids + cnics]
     names = [f"repeat{s}" for s in slots] + ["later_key", "same_row"]
-    df = left_by_row(t.df, flags, ROW_COLUMN, lookup.BROADCAST_ROWS).withColumns({n: F.coalesce(n, F.lit(False)) for n in names})
+    df = left_by_row(t.df, flags.select(ROW_COLUMN, *names), ROW_COLUMN, lookup.BROADCAST_ROWS).withColumns({n: F.coalesce(n, F.lit(False)) for n in names})
     is_dup = F.col(f"repeat{t.slot(ids[-1])}") if ids else F.lit(False)
     is_dup_cnic = F.lit(False)
     for n in cnics:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from washboard.functions import numbers, text
 from washboard.operators.tracked import Edit, TrackedFrame
 from washboard.rules import RulePack, normal_name
+from washboard.session import stage_counted
 
 MIN_VALUES = 10
 
@@ -23,20 +24,15 @@ def _present(t: TrackedFrame, name: str, pack: RulePack) -> Column:
     return ~text.null_like(t.value(name), pack.null_tokens, stripped=True)
 
 
-def number_counts(t: TrackedFrame, pack: RulePack, names) -> dict[str, tuple[int, int]]:
-    """Column -> (non-null values, numbers among them), all columns in one aggregate."""
-    names = list(names)
-    if not names:
-        return {}
-    aggregates = []
-    for i, n in enumerate(names):
+def number_counts(t: TrackedFrame, pack: RulePack, names) -> dict[str, Column]:
+    """Aggregates per column: ``present<slot>`` non-null values and ``numeric<slot>`` numbers among them. They are observed
+    while the rows are written, or aggregated by themselves."""
+    counts = {}
+    for n in names:
         present = _present(t, n, pack)
-        aggregates += [
-            F.count_if(present).alias(f"n{i}"),
-            F.count_if(present & numbers.is_number(F.trim(t.value(n)))).alias(f"k{i}"),
-        ]
-    row = t.df.agg(*aggregates).first()
-    return {n: (row[f"n{i}"], row[f"k{i}"]) for i, n in enumerate(names)}
+        counts[f"present{t.slot(n)}"] = F.count_if(present)
+        counts[f"numeric{t.slot(n)}"] = F.count_if(present & numbers.is_number(F.trim(t.value(n))))
+    return counts
 
 
 def wanted_type(name: str, values: int, numeric: int, pack: RulePack) -> str | None:
@@ -51,12 +47,19 @@ def wanted_type(name: str, values: int, numeric: int, pack: RulePack) -> str | N
     return "text" if text_like else None
 
 
-def decide_types(t: TrackedFrame, pack: RulePack) -> dict[str, str]:
-    counts = number_counts(t, pack, checked_columns(t.names, pack))
-    wanted = {n: wanted_type(n, *c, pack) for n, c in counts.items()}
+def types_of(t: TrackedFrame, pack: RulePack, counts: dict[str, int]) -> dict[str, str]:
+    """Column -> wanted type, from the values of ``number_counts``."""
+    names = checked_columns(t.names, pack)
+    wanted = {n: wanted_type(n, counts[f"present{t.slot(n)}"], counts[f"numeric{t.slot(n)}"], pack) for n in names}
     return {n: w for n, w in wanted.items() if w}
 
 
+def decide_types(t: TrackedFrame, pack: RulePack) -> tuple[TrackedFrame, dict[str, str]]:
+    """The rows, written, and their types, decided by counts taken while they were written."""
+    rows, counts = stage_counted(t.df, "typed", number_counts(t, pack, checked_columns(t.names, pack)))
+    return t.with_df(rows), types_of(t, pack, counts)
+
+
 def flag_type_mismatch(t: TrackedFrame, wanted: dict[str, str], pack: RulePack) -> TrackedFrame:
     edits = {}
     for n, kind in wanted.items():

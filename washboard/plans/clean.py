@@ -1,10 +1,10 @@
 """The whole cleaning run: every step in order, decisions taken from the data in between.
 
-Four questions are put to the data: which labels and banks the distinct values stand for, which columns hold
-dates, which type a column without a rule has. Each is a job over the columns it concerns. Then the rows
-with their history are written once; repeated keys are looked for on a narrow table of keys read from there,
-and all outputs read the written rows. Rows only move when many of them are flagged as repeats; then once,
-by row index, and never for the cleaned table.
+Questions are put to the data: which labels and banks the distinct values stand for and which columns hold dates, each a
+job over the columns it concerns. Then the rows with their history are written once, which also tells the type of columns
+without a rule: what does not fit it is flagged where the rows are read. Repeated keys are looked for on a narrow table of keys
+read from there, and all counts of the run are taken on the way. All outputs read the written rows. Rows only move when many of them
+are flagged as repeats; then once, by row index, and never for the cleaned table.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from washboard.operators import banks, canonical, cells, dates, keys, lookup, qu
 from washboard.operators.lookup import ValueMap
 from washboard.operators.tracked import ROW_COLUMN, TrackedFrame
 from washboard.rules import RulePack, default_pack
-from washboard.session import stage
+from washboard.session import stage, stage_counted
 
 
 @dataclass
@@ -38,6 +38,8 @@ class CleanResult:
     rows: TrackedFrame
     tracked: TrackedFrame
     decisions: Decisions
+    pack: RulePack
+    counts: dict[str, int]
 
     @property
     def cleaned(self) -> DataFrame:
@@ -61,13 +63,13 @@ class CleanResult:
         )
 
     def summary(self) -> DataFrame:
-        return summary.clean_summary(self.tracked)
+        return summary.clean_summary(self.rows.df.sparkSession, self.rows, self.pack, self.counts)
 
     def step_breakdown(self) -> DataFrame:
-        return summary.step_breakdown(self.tracked)
+        return summary.step_breakdown(self.rows.df.sparkSession, self.counts)
 
     def review_by_column(self) -> DataFrame:
-        return summary.review_by_column(self.tracked)
+        return summary.review_by_column(self.rows.df.sparkSession, self.rows, self.pack, self.counts)
 
 
 def first_steps(df: DataFrame, pack: RulePack, row: str = ROW_COLUMN, key_column: str | None = None) -> TrackedFrame:
@@ -77,7 +79,7 @@ def first_steps(df: DataFrame, pack: RulePack, row: str = ROW_COLUMN, key_column
 
 
 def run_steps(t: TrackedFrame, pack: RulePack, known: Decisions | None = None) -> tuple[TrackedFrame, Decisions]:
-    """All steps after the first ones, deciding on the way. ``known`` decisions are used as they are."""
+    """The steps after the first ones that look at a row alone, deciding on the way. ``known`` decisions are used as they are."""
     d, source = known or Decisions(), t.df
     t = cells.apply_rules(t, pack)
     if not known:
@@ -88,10 +90,7 @@ def run_steps(t: TrackedFrame, pack: RulePack, known: Decisions | None = None) -
     t = dates.standardize_dates(t, d.date_columns, pack)
     if not known:
         d.banks = banks.decide_banks(t, pack)
-    t = banks.standardize_banks(t, pack, d.banks)
-    if not known:
-        d.types = quality.decide_types(t, pack)
-    return quality.flag_type_mismatch(t, d.types, pack), d
+    return banks.standardize_banks(t, pack, d.banks), d
 
 
 def clean_dataset(
@@ -107,10 +106,14 @@ def clean_dataset(
     if row not in df.columns:
         raise ValueError(f"no row order column {row!r}; add one with sources.row_index")
     t, decisions = run_steps(first_steps(df, pack, row, key_column), pack, known)
-    t = t.with_df(stage(t.df, "rows"))
-    flags = keys.decide_flags(t, pack, key_column)
+    asked = {} if known else quality.number_counts(t, pack, quality.checked_columns(t.names, pack))
+    rows, counts = stage_counted(t.df, "rows", asked)
+    if not known:
+        decisions.types = quality.types_of(t, pack, counts)
+    t = quality.flag_type_mismatch(t.with_df(rows), decisions.types, pack)
+    flags, counts = keys.decide_flags(t, pack, key_column, summary.row_counts(t))
     flagged = keys.apply_flags(t, pack, flags)
     if flags.count() > lookup.BROADCAST_ROWS:
         # rows move for this join, so it is made once for all outputs
         flagged = flagged.with_df(stage(flagged.df, "flagged"))
-    return CleanResult(t, flagged, decisions)
+    return CleanResult(t, flagged, decisions, pack, counts)

@@ -384,7 +384,7 @@ def _with_repeats(spark, folder, name):
     pack = dirty_pack().with_rules(_rule(name))
     t = first_steps(rows, pack)
     t = cells.check_values(t, [_rule(name)], pack)
-    t = keys.apply_flags(t, pack, keys.decide_flags(t, pack))
+    t = keys.apply_flags(t, pack, keys.decide_flags(t, pack)[0])
     return _column(t, name).join(t.df.select(ROW_COLUMN, "is_dup", "is_dup_cnic"), ROW_COLUMN)
 
 
@@ -446,14 +446,14 @@ def bank_standardize(spark, folder):
 def duplicate_rows(spark, folder):
     pack = dirty_pack().with_rules()
     t = first_steps(dirty_with_copies(spark, folder), pack)
-    t = keys.apply_flags(t, pack, keys.decide_flags(t, pack))
+    t = keys.apply_flags(t, pack, keys.decide_flags(t, pack)[0])
     return t.df.select(ROW_COLUMN, "duplicate_row")
 
 
 @query
 def type_mismatch(spark, folder):
-    t, pack = _nulled(spark, folder), dirty_pack()
-    flagged = quality.flag_type_mismatch(t, quality.decide_types(t, pack), pack)
+    pack = dirty_pack()
+    flagged = quality.flag_type_mismatch(*quality.decide_types(_nulled(spark, folder), pack), pack)
     return flagged.cells().select(ROW_COLUMN, "column", "review_value")
 
 
@@ -537,7 +537,7 @@ def touched_columns(spark, folder):
 def dup_flag_or(spark, folder):
     pack = dirty_pack()
     t = first_steps(dirty(spark, folder), pack)
-    t = keys.apply_flags(t, pack, keys.decide_flags(t, pack))
+    t = keys.apply_flags(t, pack, keys.decide_flags(t, pack)[0])
     return t.df.select(ROW_COLUMN, "is_dup", "is_dup_cnic", (F.col("is_dup") | F.col("is_dup_cnic")).alias("any_dup"))
 
 
@@ -607,7 +607,7 @@ def merge_steps(spark, folder):
 def record_key(spark, folder):
     pack = dirty_pack()
     t = first_steps(dirty_with_copies(spark, folder), pack)
-    return keys.apply_flags(t, pack, keys.decide_flags(t, pack)).df.select(ROW_COLUMN, keys.RECORD_KEY)
+    return keys.apply_flags(t, pack, keys.decide_flags(t, pack)[0]).df.select(ROW_COLUMN, keys.RECORD_KEY)
 
 
 @query

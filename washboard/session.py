@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 _TEST_FOLDERS: dict[str, str] = {}
@@ -77,6 +77,27 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, counts: dict[str, Column]) -> tuple[DataFrame, Observation | None]:
+    """``df`` with aggregates taken of the rows that pass here while a later step is written, without a job of their own."""
+    if not counts:
+        return df, None
+    seen = Observation()
+    return df.observe(seen, *[c.alias(name) for name, c in counts.items()]), seen
+
+
+def counts_of(seen: Observation | None, counts: dict[str, Column]) -> dict[str, int]:
+    """What was observed, once the write is done. Where no task had rows there may be nothing, which is a count of zero."""
+    found = seen.get if seen else {}
+    return {name: found.get(name) or 0 for name in counts}
+
+
+def stage_counted(df: DataFrame, label: str, counts: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """``stage`` with aggregates of the rows written."""
+    rows, seen = counted(df, counts)
+    written = stage(rows, label)
+    return written, counts_of(seen, counts)
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> int:
     count = 0
     while paths:
