@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from washboard import domain
 from washboard.functions.text import na_on_load
 from washboard.session import stage
-from washboard.sources.row_index import file_position, in_file_order
+from washboard.sources.records import file_splits, read_records
+from washboard.sources.row_index import in_file_order
 
 FALLBACK_CHARSET = "ISO-8859-1"
+BOM = "\ufeff"
 # Column with the text of records whose number of fields is not the header's, and a text that no field holds.
 RECORD = "_unread_record"
 MARK = "\x1aend\x1a"
@@ -25,15 +24,14 @@ def file_charsets(spark: SparkSession, path) -> DataFrame:
     That is where trying UTF-8 first and Latin-1 second ends up, since Latin-1 accepts any bytes. Line
     breaks are never part of a longer UTF-8 sequence, so lines can be checked in parallel, whatever the
     file size."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    valid = lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"))
-    return valid.select("path", F.when(F.col("valid"), "UTF-8").otherwise(FALLBACK_CHARSET).alias("charset"))
+    files = file_splits(spark, path, quotes=False).select("path", "latin").distinct()
+    return files.select("path", F.when(F.col("latin"), FALLBACK_CHARSET).otherwise("UTF-8").alias("charset"))
 
 
 def header_names(raw) -> list[str]:
     """Column names from a header row: repeats become ``a.1``, ``a.2``; blanks ``Unnamed: <position>``."""
     names: list[str] = []
-    wanted = [(n or f"Unnamed: {i}").removeprefix("﻿") for i, n in enumerate(raw)]
+    wanted = [(n or f"Unnamed: {i}").removeprefix(BOM) for i, n in enumerate(raw)]
     for i, name in enumerate(wanted):
         candidate, again = name, 0
         while candidate in names or (again and candidate in wanted[i + 1:]):
@@ -61,39 +59,34 @@ def scan_csv_text(
 ) -> DataFrame:
     """CSV files with a header as a table of strings; the charset is found per file.
 
-    ``multi_line=False`` lets Spark split files, for data without line breaks inside quotes. ``na`` lists
-    the texts read as null. ``position`` keeps the columns that ``in_file_order`` needs. Fields missing at the end of a
-    record are null; a record with more fields than the header is an error when its rows are read, as is a file whose header
-    differs from the first one's. Files without any line are passed over."""
-    # one row per file: metadata the driver holds for the scan in any case
-    charsets = {r["path"]: r["charset"] for r in file_charsets(spark, path).collect()}
-    if not charsets:
+    Files are split among tasks, also inside quotes; ``multi_line=False`` saves the search for quotes where no field has line
+    breaks, and makes each line a record. ``na`` lists the texts read as null. ``position`` keeps the columns that ``in_file_order``
+    needs. Fields missing at the end of a record are null; a record with more fields than the header is an error when its rows are
+    read, as is a file whose header differs from the first one's. Files without any line are passed over."""
+    splits = file_splits(spark, path, quotes=multi_line)
+    first = splits.agg(F.min(F.struct("path", "latin")).alias("file")).first()["file"]
+    if first is None:
         raise FileNotFoundError(f"no CSV data under {path}")
-    first = min(charsets)
-    head = _reader(spark, charsets[first], multi_line).csv(first).first()
+    head = _reader(spark, FALLBACK_CHARSET if first["latin"] else "UTF-8", multi_line).csv(first["path"]).first()
     if head is None:
-        raise ValueError(f"no header in {first}")
+        raise ValueError(f"no header in {first['path']}")
     names = header_names(list(head))
-    # Spark checks headers against the names it is given; repeated and blank ones are renamed here and cannot be checked
-    plain = names == list(head) and len({n.lower() for n in names}) == len(names) and RECORD not in names
-    read = names if plain else [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*read, RECORD]])
-    parts = []
-    for charset in sorted(set(charsets.values())):
-        files = [p for p, c in charsets.items() if c == charset]
-        source = path if len(files) == len(charsets) else files
-        reader = _reader(spark, charset, multi_line).option("header", True).option("enforceSchema", not plain)
-        part = reader.option("columnNameOfCorruptRecord", RECORD).schema(schema).csv(source)
-        record = F.col(f"`{RECORD}`")
-        failed = record.isNotNull() & _extra_fields(record, len(names))
-        error = F.raise_error(F.concat(F.lit(f"more than {len(names)} fields: "), F.substring(record, 1, 200)))
-        values = [F.col("`" + n.replace("`", "``") + "`") for n in read]
-        values[0] = F.when(failed, error.cast("string")).otherwise(values[0])
-        parts.append(part.select(*[(na_on_load(v, na) if na else v).alias(f"c{i}") for i, v in enumerate(values)],
-                                 *(file_position() if position else [])))
-    table = reduce(DataFrame.unionByName, parts)
-    keep = ["_file", "_block"] if position else []
-    return table.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], *keep)
+    fields = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(f"{n} string" for n in [*fields, RECORD])
+    options = {"escape": '"', "columnNameOfCorruptRecord": RECORD}
+    rows = read_records(spark, path, splits, quotes=multi_line).withColumn("fields", F.from_csv("text", schema, options))
+    own = F.array(*[F.lower(F.regexp_replace(F.coalesce(F.col("fields")[n], F.lit("")), f"^{BOM}", "")) for n in fields])
+    wanted = F.array(*[F.lower(F.lit((n or "").removeprefix(BOM))) for n in head])
+    same = (own == wanted) & F.col("fields")[RECORD].isNull()
+    error = F.raise_error(F.concat(F.lit("the header of "), "path", F.lit(f" is not that of {first['path']}: "), F.substring("text", 1, 200)))
+    rows = rows.filter(F.when(~F.col("first"), True).when(same, False).otherwise(error.cast("boolean")))
+    record = F.col("fields")[RECORD]
+    failed = record.isNotNull() & _extra_fields(record, len(names))
+    error = F.raise_error(F.concat(F.lit(f"more than {len(names)} fields: "), F.substring(record, 1, 200)))
+    values = [F.col("fields")[n] for n in fields]
+    values[0] = F.when(failed, error.cast("string")).otherwise(values[0])
+    place = [F.col("path").alias("_file"), F.col("block").alias("_block"), F.col("seq").alias("_local")] if position else []
+    return rows.select(*[(na_on_load(v, na) if na else v).alias(n) for v, n in zip(values, names)], *place)
 
 
 def load_dataset(spark: SparkSession, path, **options) -> DataFrame:

@@ -27,7 +27,8 @@ def file_position() -> list[Column]:
 def in_file_order(df: DataFrame, row: str = ROW_COLUMN) -> DataFrame:
     """Number the rows 0, 1, 2, ... by file path and position in the file.
 
-    ``df`` is a file read, or one that already carries the columns of ``file_position``."""
+    ``df`` is a file read, or one that already carries the columns of ``file_position``, and maybe ``_local``, places in a
+    block that ascend without gaps."""
     if "_file" not in df.columns:
         df = df.select("*", *file_position())
     return _number(df, row)
@@ -41,7 +42,7 @@ def by_order(df: DataFrame, *order, row: str = ROW_COLUMN) -> DataFrame:
 
 
 def _number(df: DataFrame, row: str) -> DataFrame:
-    placed = stage(df.withColumn("_local", F.monotonically_increasing_id()), "rows")
+    placed = stage(df if "_local" in df.columns else df.withColumn("_local", F.monotonically_increasing_id()), "rows")
     blocks = placed.groupBy(*BLOCK).agg(F.count("*").alias("rows"), F.min("_local").alias("first"))
     before = Window.orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     # one row per file split or sort range, so this window is over a short table
