@@ -192,7 +192,7 @@ def test_counts_need_no_pass_of_their_own(cleaned):
     result, cells, records = cleaned
     for df in (result.summary(), result.step_breakdown(), result.review_by_column()):
         plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "LocalTableScan" in plan and "FileScan" not in plan
+        assert "Scan parquet" not in plan and "Exchange" not in plan
     by_column = {r["column"]: r["cells"] for r in result.review_by_column().collect()}
     assert by_column == {n: k for n in DEFAULTS if (k := sum(1 for (_, c), v in cells.items() if c == n and v["flagged"]))}
 
