@@ -90,3 +90,51 @@ def test_udf_keeps_rows_in_place(spark):
     for i, v in enumerate(values):
         expected = S.best_choice(v, domain.DISTRICTS, 70) or (None, None)
         assert tuple(found[i]) == expected
+
+
+def test_native_ratio_of_long_texts(spark):
+    """Patterns of one word of bits, exactly one, and several, with runs that carry across words."""
+    rng = random.Random(11)
+    pairs = [(words(rng, "ab", n), words(rng, "abc", m)) for n, m in ((59, 60), (60, 60), (61, 200), (120, 121), (181, 400), (300, 70))]
+    pairs += [("a" * n, "a" * m) for n, m in ((60, 61), (61, 61), (120, 120), (121, 300))] + [("ba" * 90, "ab" * 90), ("x" * 70, "y" * 130), ("é漢" * 50, "漢" * 99)]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", S.indel_ratio("a", "b").alias("r"))
+    for a, b, r in df.collect():
+        assert r == pytest.approx(table_ratio(a, b)), (a, b)
+
+
+def spelling(rng, labels):
+    """A label with some edits, or made of parts of several."""
+    text = rng.choice(labels)
+    for _ in range(rng.randint(0, 4)):
+        i = rng.randint(0, len(text))
+        text = rng.choice([text[:i] + rng.choice("abe xyz é") + text[i:], text[:i] + text[i + 1:], text + " " + rng.choice(labels)[:rng.randint(1, 9)]])
+    return text
+
+
+LABEL_LISTS = [
+    [d.lower() for d in domain.DISTRICTS], ["a", "ab", "ba", "ab ba", "ab ab", "", " ", "abab", "b a b"],
+    ["house in town", "town house", "a house in a town", "land", "land / village", "village land", "zzzz zzzz"],
+]
+
+
+@pytest.mark.parametrize("labels", LABEL_LISTS)
+@pytest.mark.parametrize("at_least", [0, 70, 80])
+def test_index_loses_nothing(labels, at_least):
+    rng = random.Random(len(labels) + at_least)
+    texts = [spelling(rng, labels) for _ in range(250)] + [words(rng, "abc  ", 12) for _ in range(150)] + ["", " ", "a"]
+    index = S.LabelIndex(labels)
+    assert index.best(texts, at_least) == [S.best_choice(t, labels, at_least) for t in texts]
+    bounds = index.bounds(texts)
+    for text, row in zip(texts, bounds):
+        for label, bound in zip(index.labels, row):
+            assert S.weighted_ratio(text, label) <= bound + 1e-9, (text, label)
+
+
+def test_index_scores_few_labels(monkeypatch):
+    scored, full = [], S.weighted_ratio
+    monkeypatch.setattr(S, "weighted_ratio", lambda *a: scored.append(1) or full(*a))
+    labels = [d.lower() for d in domain.DISTRICTS]
+    rng = random.Random(2)
+    texts = [f"{rng.choice(labels)}{rng.randrange(99999)}" for _ in range(300)]
+    S.LabelIndex(labels).best(texts, 70)
+    assert len(scored) < 3 * len(texts)

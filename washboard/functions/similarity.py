@@ -1,6 +1,6 @@
 """Text similarity.
 
-``indel_ratio`` is a native expression for the base score. The weighted score also slides the shorter
+``indel_ratio`` is a native expression for the base score, bit-parallel over 60-bit words. The weighted score also slides the shorter
 text along the longer one, which SQL cannot express well, so it runs in a pandas UDF. Callers feed that
 UDF distinct values only; the labels are a short list from the rule pack and travel with the function.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -31,32 +32,76 @@ from washboard.functions.text import as_col
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def indel_ratio(a, b) -> Column:
-    """``200 * lcs(a, b) / (len(a) + len(b))``, two empty texts score 100.
+#: Bits of a word of the LCS row. Sums of two words and a carry stay within 64 bits.
+WORD_BITS = 60
+WORD_MASK = (1 << WORD_BITS) - 1
+
+
+def _ones(count: Column) -> Column:
+    """A word with that many low bits set."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), count.cast("int")) - 1
+
+
+def _places(text: Column) -> Column:
+    """Map from each character of a text of up to one word to the bits of its places."""
+    chars = F.split(text, "")
+    bit = F.transform(chars, lambda c, i: F.struct(c.alias("c"), F.call_function("shiftleft", F.lit(1).cast("bigint"), i).alias("bit")))
+
+    def entry(c: Column) -> Column:
+        own = F.filter(bit, lambda b: b["c"] == c)
+        return F.struct(c, F.aggregate(own, F.lit(0).cast("bigint"), lambda bits, b: bits.bitwiseOR(b["bit"])))
+
+    return F.map_from_entries(F.transform(F.array_distinct(chars), entry))
+
+
+def _lcs(text: Column, pattern: Column) -> Column:
+    """Length of a longest common subsequence, for two texts that are not empty.
+
+    The row of the LCS table over ``pattern`` is kept as differences, one bit each: a zero bit is a step up. One character of ``text``
+    turns a row into the next by an addition, which carries from word to word."""
+    none, chars = F.lit(0).cast("bigint"), F.split(text, "")
+
+    def bits_of(places: Column, c: Column, row: Column) -> Column:
+        return row.bitwiseAND(F.coalesce(F.try_element_at(places, c), none))
+
+    def one_word(places: Column) -> Column:
+        def step(row: Column, c: Column) -> Column:
+            hit = bits_of(places, c, row)
+            return (row + hit).bitwiseAND(F.lit(WORD_MASK)).bitwiseOR(row - hit)
 
-    Folds over the characters of ``a``; the state is the current row of the LCS table over ``b``."""
+        return F.length(pattern) - F.bit_count(F.aggregate(chars, _ones(F.length(pattern)), step).bitwiseAND(_ones(F.length(pattern))))
+
+    words = F.sequence(F.lit(0), F.ceil(F.length(pattern) / WORD_BITS).cast("int") - 1)
+    pieces = F.transform(words, lambda w: F.substring(pattern, w * WORD_BITS + 1, F.lit(WORD_BITS)))
+
+    def many_words(places: Column) -> Column:
+        def step(row: Column, c: Column) -> Column:
+            def add(done: Column, w: Column) -> Column:
+                own = F.get(row, w)
+                hit = bits_of(F.get(places, w), c, own)
+                total = own + hit + done["carry"]
+                word = total.bitwiseAND(F.lit(WORD_MASK)).bitwiseOR(own - hit)
+                return F.struct(F.array_append(done["row"], word).alias("row"), F.shiftright(total, WORD_BITS).alias("carry"))
+
+            return F.aggregate(words, F.struct(F.array().cast("array<bigint>").alias("row"), none.alias("carry")), add)["row"]
+
+        full = F.transform(pieces, lambda p: _ones(F.length(p)))
+        last = F.aggregate(chars, full, step)
+        left = F.zip_with(last, full, lambda row, own: F.bit_count(row.bitwiseAND(own)))
+        return F.length(pattern) - F.aggregate(left, F.lit(0), lambda x, y: x + y)
+
+    # the places are looked up once per pair: a list of one goes through ``transform``, which names it
+    short = F.get(F.transform(F.array(_places(pattern)), one_word), F.lit(0))
+    long = F.get(F.transform(F.array(F.transform(pieces, _places)), many_words), F.lit(0))
+    return F.when(F.length(pattern) <= WORD_BITS, short).otherwise(long)
+
+
+def indel_ratio(a, b) -> Column:
+    """``200 * lcs(a, b) / (len(a) + len(b))``, two empty texts score 100. The shorter text is the pattern whose places are bits."""
     a, b = as_col(a), as_col(b)
-    chars_b = F.split(b, "")
-    start = F.transform(chars_b, lambda _: F.lit(0))
-
-    def next_row(row: Column, ch: Column) -> Column:
-        # the new row grows left to right; its last element is the neighbour on the left
-        def extend(new: Column, pair: Column) -> Column:
-            left = F.coalesce(F.try_element_at(new, F.lit(-1)), F.lit(0))
-            hit = pair["up_left"] + F.lit(1)
-            return F.array_append(new, F.when(pair["ch"] == ch, hit).otherwise(F.greatest(left, pair["up"])))
-
-        shifted = F.concat(F.array(F.lit(0)), row)
-        cells = F.transform(
-            chars_b,
-            lambda c, i: F.struct(c.alias("ch"), F.get(row, i).alias("up"), F.get(shifted, i).alias("up_left")),
-        )
-        return F.aggregate(cells, F.array().cast("array<int>"), extend)
-
-    lcs = F.when(
-        (F.length(a) > 0) & (F.length(b) > 0),
-        F.try_element_at(F.aggregate(F.split(a, ""), start, next_row), F.lit(-1)),
-    ).otherwise(F.lit(0))
+    first_shorter = F.length(a) < F.length(b)
+    text, pattern = F.when(first_shorter, b).otherwise(a), F.when(first_shorter, a).otherwise(b)
+    lcs = F.when((F.length(a) > 0) & (F.length(b) > 0), _lcs(text, pattern)).otherwise(F.lit(0))
     total = F.length(a) + F.length(b)
     return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs / total)
 
@@ -165,13 +210,99 @@ def best_choice(value: str | None, choices: Sequence[str], at_least: float = 0.0
     return (best, int(top)) if top >= at_least else None
 
 
+class LabelIndex:
+    """Inverted index from characters and words to labels, for the best label of a text without scoring all of them.
+
+    No subsequence of two texts is longer than the number of characters they share, each counted as often as both have it. With the
+    lengths this bounds every part of the weighted score from above; a common or repeated word lets the part on sets of words reach
+    100. Labels are scored from the highest bound down, until the bound is below the best score or what is asked for."""
+
+    #: (text, label) pairs whose bounds are worked out at once.
+    PAIRS = 1 << 20
+
+    def __init__(self, labels: Sequence[str]):
+        self.labels = sorted(set(labels))
+        words = [label.split() for label in self.labels]
+        self.sizes = self._sizes(self.labels, words)
+        self.repeats = np.array([len(set(w)) < len(w) for w in words], dtype=bool)
+        self.of_char: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for ch in sorted({c for ws in words for w in ws for c in w}):
+            counts = np.array([label.count(ch) for label in self.labels])
+            self.of_char[ch] = (np.flatnonzero(counts), counts[counts > 0])
+        self.of_word: dict[str, list[int]] = {}
+        for i, ws in enumerate(words):
+            for w in set(ws):
+                self.of_word.setdefault(w, []).append(i)
+
+    @staticmethod
+    def _sizes(texts: Sequence[str], words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Characters of each text, those that are not white space, and the gaps between words."""
+        number = np.array([len(w) for w in words], dtype=np.int64)
+        return np.array([len(t) for t in texts], dtype=np.int64), np.array([sum(map(len, w)) for w in words], dtype=np.int64), np.maximum(number - 1, 0)
+
+    def bounds(self, texts: Sequence[str]) -> np.ndarray:
+        """Upper bounds of the weighted ratio, one row per text."""
+        words = [t.split() for t in texts]
+        length, letters, gaps = (x[:, None] for x in self._sizes(texts, words))
+        size, own_letters, own_gaps = self.sizes
+        common = np.zeros((len(texts), len(self.labels)), dtype=np.int64)
+        for ch, (labels, counts) in self.of_char.items():
+            here = np.array([t.count(ch) for t in texts])
+            rows = np.flatnonzero(here)
+            common[np.ix_(rows, labels)] += np.minimum(here[rows, None], counts)
+        as_written = common + np.minimum(length - letters, size - own_letters)
+        by_word = common + np.minimum(gaps, own_gaps)
+        short, long = np.minimum(length, size), np.maximum(length, size)
+        short_words = np.minimum(letters + gaps, own_letters + own_gaps)
+        none = short == 0
+
+        def share(shared: np.ndarray, total: np.ndarray) -> np.ndarray:
+            return 200.0 * shared / np.maximum(total, 1)
+
+        spread = long / np.maximum(short, 1)
+        scale = np.where(spread < 1.5, 1.0, np.where(spread <= 8.0, 0.9, 0.6))
+        whole = share(as_written, length + size)
+        close = 0.95 * share(by_word, letters + gaps + own_letters + own_gaps)
+        # the best stretch has no characters but common ones
+        part = scale * np.maximum(share(as_written, short + as_written), 0.95 * share(by_word, short_words + by_word))
+        bound = np.maximum(whole, np.where(spread < 1.5, close, part))
+        open_ = np.array([len(set(w)) < len(w) for w in words], dtype=bool)[:, None] | self.repeats
+        for i, ws in enumerate(words):
+            for w in ws:
+                open_[i, self.of_word.get(w, [])] = True
+        bound = np.where(open_, np.maximum(bound, 95.0 * scale), bound)
+        return np.where(none, 0.0, bound)
+
+    def best(self, texts: Sequence[str], at_least: float = 0.0) -> list[tuple[str, int] | None]:
+        """``best_choice`` of each text."""
+        out: list[tuple[str, int] | None] = []
+        step = max(1, self.PAIRS // max(len(self.labels), 1))
+        for start in range(0, len(texts), step):
+            part = texts[start : start + step]
+            bounds = self.bounds(part) + 1e-9 if self.labels else np.zeros((len(part), 0))
+            for text, row in zip(part, bounds):
+                out.append(self._best(text, row, at_least))
+        return out
+
+    def _best(self, text: str, bounds: np.ndarray, at_least: float) -> tuple[str, int] | None:
+        place, top = -1, -1.0
+        fit = np.flatnonzero(bounds >= at_least) if text else []
+        for j in sorted(fit, key=lambda j: -bounds[j]):
+            if bounds[j] < top:
+                break
+            score = weighted_ratio(text, self.labels[j], at_least)
+            if score > top or (score == top and j < place):
+                place, top = int(j), score
+        return (self.labels[place], int(top)) if place >= 0 and top >= at_least else None
+
+
 BEST_TYPE = "struct<choice:string,score:int>"
 
 
 def best_choice_udf(choices: dict[int, Sequence[str]], at_least: float = 0.0, fold_case: bool = False):
     """Pandas UDF (slot, value) -> (choice, score), with one list of choices per slot.
 
-    Each batch scores its distinct values once. ``fold_case`` compares with lower-cased choices and still
+    Each batch looks its distinct values up once in an index of the labels. ``fold_case`` compares with lower-cased choices and still
     returns the choice as written. Declared nondeterministic so that the optimizer neither moves a filter on the
     result below the aggregate that finds the distinct values nor evaluates it twice."""
     compare = {
@@ -179,12 +310,16 @@ def best_choice_udf(choices: dict[int, Sequence[str]], at_least: float = 0.0, fo
         for slot, many in choices.items()
     }
 
+    indexes = {slot: LabelIndex(tuple(many)) for slot, many in compare.items()}
+
     @F.pandas_udf(BEST_TYPE)
     def score(slots: pd.Series, values: pd.Series) -> pd.DataFrame:
         pairs = list(zip(slots, values))
-        found = {
-            (slot, v): best_choice(v, tuple(compare.get(slot, ())), at_least) for slot, v in set(pairs) if v
-        }
+        distinct: dict[int, list[str]] = {}
+        for slot, v in set(pairs):
+            if v and slot in indexes:
+                distinct.setdefault(slot, []).append(v)
+        found = {(slot, v): hit for slot, many in distinct.items() for v, hit in zip(many, indexes[slot].best(many, at_least))}
         hits = [found.get(p) for p in pairs]
         return pd.DataFrame({
             "choice": [compare[p[0]][h[0]] if h else None for p, h in zip(pairs, hits)],
