@@ -33,6 +33,8 @@ BLOCK_MEMBERS, SET_WEIGHT = 1_500_000, 256
 #: Sizes of sets whose edges are cut alike, as a ratio.
 BAND = 1.25
 TINY = 2
+#: Edges that are broadcast at most, the ones with at least that part of all shared filings.
+HOT_EDGES = 20_000
 #: Hashes of texts (8 bytes) that are broadcast at most.
 MOST_HASHES = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -191,7 +193,7 @@ def all_links(texts: DataFrame, rows: DataFrame, words: int, percent: int, block
     filed = rows.select(F.col("j_node").alias("node"), weight.alias("weight"), F.explode("j_edges").alias("edge"))
     shared = filed.groupBy("edge").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("rows"))
     shared = stage(shared.filter("hub < last").drop("last"), "jaccard-edges")
-    pairs = members_of(filed, shared, ["edge"], "rows").filter("node <> hub").select("hub", "node", "weight").distinct()
+    pairs = members_of(filed, shared, ["edge"], "rows", limit=HOT_EDGES).filter("node <> hub").select("hub", "node", "weight").distinct()
     pairs = stage(pairs, "jaccard-pairs")
     hubs = pairs.select(F.col("hub").alias("node")).distinct()
     wanted = stage(pairs.select("node").unionByName(hubs).distinct(), "jaccard-wanted")
