@@ -213,13 +213,15 @@ def all_links(texts: DataFrame, rows: DataFrame, words: int, percent: int, block
     # gatherings that were not searched whole and are still apart
     reached = components(first, "jaccard-first").withColumnRenamed("node", "linked")
     gathered = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("sets"), F.sum("weight").alias("whole"))
-    gathered = gathered.join(weights, "hub", "left").filter("blocks is null or blocks > 1 or chose < sets").select("hub", "whole")
-    rest = pairs.join(gathered, "hub").select("hub", "node", "whole", "weight")
+    gathered = gathered.join(weights, "hub", "left").filter("blocks is null or blocks > 1 or chose < sets").select("hub", "whole", "sets")
+    gathered = stage(gathered, "jaccard-gathered")
+    rest = members_of(pairs, gathered, ["hub"], "sets").select("hub", "node", "whole", "weight")
     rest = rest.unionByName(gathered.select("hub", F.col("hub").alias("node"), "whole", F.lit(SET_WEIGHT).cast("bigint").alias("weight")))
     rest = rest.join(reached, F.col("node") == F.col("linked"), "left").withColumn("component", F.coalesce("component", "node")).drop("linked")
     rest = stage(rest, "jaccard-rest")
-    apart = rest.groupBy("hub").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("hub")
-    apart = stage(rest.join(apart, "hub"), "jaccard-apart")
+    apart = rest.groupBy("hub").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("sets"))
+    apart = stage(apart.filter("least < most").select("hub", "sets"), "jaccard-hubs")
+    apart = stage(members_of(rest, apart, ["hub"], "sets"), "jaccard-apart")
     one = apart.filter(F.col("whole") <= block_members).select("hub", F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("other"), "node", "component", F.lit(False).alias("query"))
     tasks = one.unionByName(crossed(apart.filter(F.col("whole") > block_members), block_members))
     second = searched(tasks, sets, percent)
