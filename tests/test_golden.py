@@ -1,6 +1,7 @@
 """Hand-derived results of the whole run on one small table with the default rules."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from washboard.operators import dates, quality
 from washboard.plans.clean import clean_dataset
@@ -211,3 +212,15 @@ def test_counts_with_repeats_over_many_tasks(spark):
     assert row["rows_need_review"] == sum(1 for r in records if r["manual_reviews"])
     assert row["rows_auto_cleaned"] == sum(1 for r in records if r["cleaned_values"])
     assert row["duplicate_uuid_rows"] == sum(r["is_dup"] for r in records) > 0
+
+
+def test_report_text_is_that_of_the_maps(spark):
+    """JSON put together as text is what the JSON writer makes of the maps, whatever the values hold."""
+    odd = ['say "x"', "back\\slash", "tab\tline\nreturn\r\x01\x1f", "é漢😀\u2028/<&>'", "", " ", None, "n/a", "\x7f\x85", "{a: [1]}"]
+    names = ["da_uuid", 'a "quoted" name', "näme"]
+    df = spark.createDataFrame([(i, str(i % 4), v, f" {v} ") for i, v in enumerate(odd)], ", ".join(["row_idx long", *[f"`{n}` string" for n in names]]))
+    result = clean_dataset(df, RulePack(rules=(ColumnRule("da_uuid", "numeric", unique=True),)))
+    texts = {r["uuid"]: r for r in result.report().collect()}
+    maps = ("original_values", "cleaned_values", "manual_reviews")
+    for r in result.records().select("uuid", *[F.to_json(m).alias(m) for m in maps]).collect():
+        assert all(texts[r["uuid"]][m] == r[m] for m in maps)

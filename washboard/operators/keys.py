@@ -156,7 +156,7 @@ def apply_flags(t: TrackedFrame, pack: RulePack, flags: DataFrame) -> TrackedFra
     ids, cnics = unique_columns(t.names, pack)
     slots = [t.slot(n) for n in ids + cnics]
     names = [f"repeat{s}" for s in slots] + ["later_key", "same_row"]
-    df = left_by_row(t.df, flags.select(ROW_COLUMN, *names), ROW_COLUMN, lookup.BROADCAST_ROWS).withColumns({n: F.coalesce(n, F.lit(False)) for n in names})
+    df = left_by_row(t.df, flags.select(ROW_COLUMN, *names), ROW_COLUMN, lookup.NARROW * lookup.BROADCAST_ROWS).withColumns({n: F.coalesce(n, F.lit(False)) for n in names})
     is_dup = F.col(f"repeat{t.slot(ids[-1])}") if ids else F.lit(False)
     is_dup_cnic = F.lit(False)
     for n in cnics:

@@ -13,6 +13,8 @@ from washboard.session import stage
 # A table is only broadcast when a count over the written table shows it is within these limits.
 BROADCAST_ROWS = 200_000
 BROADCAST_CHARS = 32_000_000
+# So many times as many rows of a few numbers and booleans, of about 40 bytes in memory, are as good as that.
+NARROW = 10
 # Keys longer than this are replaced by a digest, which bounds the bytes of a table of keys.
 KEY_CHARS = 64
 

@@ -8,6 +8,7 @@ job does not use, and survive a shuffle cheaply. Maps and JSON are built in the
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,13 @@ def _has(mask: Column, bit: int) -> Column:
     return mask.bitwiseAND(F.lit(1 << bit)) != 0
 
 
+def json_text(value: Column) -> Column:
+    """A text as a JSON value. Only texts with characters that are escaped go through the JSON writer."""
+    written = F.to_json(F.array(value))
+    escaped = F.substring(written, F.lit(2), F.length(written) - 2)
+    return F.when(value.isNull(), "null").when(value.rlike(r'["\\\x00-\x1f]'), escaped).otherwise(F.concat(F.lit('"'), value, F.lit('"')))
+
+
 class TrackedFrame:
     """A lazy DataFrame plus the names of its data columns. Methods return new frames."""
 
@@ -159,6 +167,26 @@ class TrackedFrame:
         """Names of the changed or flagged columns."""
         return F.array_union(F.map_keys(self.changes()), F.map_keys(self.reviews()))
 
+    def changes_json(self) -> Column:
+        """``changes`` as JSON text."""
+        return self._touched_json(lambda n: self.mask(n) != 0, lambda n: F.concat(
+            F.lit("["), json_text(self.value(n)), F.lit(","), json_text(step_text(self.mask(n))), F.lit("]")))
+
+    def reviews_json(self, duplicate_row: Column | None = None) -> Column:
+        """``reviews`` as JSON text."""
+        extra = [] if duplicate_row is None else [(duplicate_row, RECORD_COLUMN, json_text(F.lit(DUPLICATE_ROW)))]
+        return self._touched_json(self.flagged, lambda n: json_text(self.review_value(n)), extra)
+
+    def originals_json(self) -> Column:
+        """``touched_originals`` as JSON text."""
+        return self._touched_json(lambda n: (self.mask(n) != 0) | self.flagged(n), lambda n: json_text(self.original(n)))
+
+    def _touched_json(self, touched, value, extra=()) -> Column:
+        # texts put together in generated code, where a map would be built entry by entry and then written
+        entries = [*((touched(n), n, value(n)) for n in self.names), *extra]
+        parts = [F.when(condition, F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ":"), v)) for condition, n, v in entries]
+        return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
     def _touched_map(self, touched, value, extra=(), value_type="string") -> Column:
         # flattening lists of no or one entry stays in generated code, filtering entries would not
         entries = [(touched(n), F.struct(F.lit(n).alias("key"), value(n).alias("value"))) for n in self.names]

@@ -57,9 +57,10 @@ class CleanResult:
 
     def report(self) -> DataFrame:
         """The records in stored form: maps as JSON text, no row index."""
-        maps = ("original_values", "cleaned_values", "manual_reviews")
-        return self.records().select(
-            "uuid", *[F.to_json(m).alias(m) for m in maps], "is_dup", "is_dup_cnic"
+        t = self.tracked
+        return t.df.select(
+            F.col(keys.RECORD_KEY).alias("uuid"), t.originals_json().alias("original_values"), t.changes_json().alias("cleaned_values"),
+            t.reviews_json(F.col("duplicate_row")).alias("manual_reviews"), "is_dup", "is_dup_cnic",
         )
 
     def summary(self) -> DataFrame:
@@ -113,7 +114,7 @@ def clean_dataset(
     t = quality.flag_type_mismatch(t.with_df(rows), decisions.types, pack)
     flags, counts = keys.decide_flags(t, pack, key_column, summary.row_counts(t))
     flagged = keys.apply_flags(t, pack, flags)
-    if flags.count() > lookup.BROADCAST_ROWS:
+    if flags.count() > lookup.NARROW * lookup.BROADCAST_ROWS:
         # rows move for this join, so it is made once for all outputs
         flagged = flagged.with_df(stage(flagged.df, "flagged"))
     return CleanResult(t, flagged, decisions, pack, counts)
