@@ -1,10 +1,13 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from samples import collected, docs, none, odd, odd_rows  # noqa: F401
+from test_jaccard import plain_links, plain_set, roots
 from test_packing import check
 from test_quality import plain
 from test_secrets import plain as plain_spans
-from test_simhash import plain_components, plain_fingerprint
+from test_simhash import plain_fingerprint
 
 import corpus_pipeline as P
 from washboard.llm.common import stage
@@ -44,15 +47,36 @@ def test_quality_stage_keeps_what_was_labelled_good(spark, docs, sf_dir):
     assert all(i in kept for i, good in judged.items() if good and i in text and not plain(text[i])[5])
 
 
+def plain_groups(texts):
+    """Group of each text: links of similar sets of five-word shingles, and of fingerprints of these that are 2 bits apart at most."""
+    sets, prints = [plain_set(t, 5) for t in texts], [plain_fingerprint(t, 5) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    return roots(len(texts), near + plain_links(sets, 80))
+
+
 def test_near_dedup_stage(spark, given, sf_dir):
     out = FUNCTIONS["simhash_near_dedup"](spark, given, sf_dir)
     assert out.columns == given.columns
     everything = sorted((tuple(r) for r in given.collect()), key=lambda r: (r[0] is None, r[0] or 0))
-    component = plain_components([plain_fingerprint(r[1]) for r in everything])
-    expected = [everything[c] for i, c in enumerate(component) if c == i]
+    group = plain_groups([r[1] for r in everything])
+    expected = [everything[c] for i, c in enumerate(group) if c == i]
     assert rows_of(out) == sorted(expected, key=str)
 
 
+def test_near_copies_are_dropped(spark, sf_dir):
+    """On a larger table: of all similar pairs at most a tenth stay, of equal texts none, and no document goes without a reason."""
+    docs = spark.read.parquet(f"{Path(sf_dir).parent}/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    kept = {r["doc_id"] for r in FUNCTIONS["simhash_near_dedup"](spark, docs, sf_dir).collect()}
+    pairs = plain_links([plain_set(t, 5) for _, t in rows], 80)
+    left = [1 for i, j in pairs if rows[i][0] in kept and rows[j][0] in kept]
+    assert pairs and len(left) <= 0.1 * len(pairs)
+    texts = [t for i, t in rows if i in kept]
+    assert len(set(texts)) == len(texts)
+    group = plain_groups([t for _, t in rows])
+    assert kept == {rows[g][0] for g in set(group)}
+
+
 def test_secret_stage(spark, given, sf_dir):
     secret = F.when(F.col("doc_id") == 1, F.concat(F.lit("secret = 'abcdefgh' "), F.col("text"), F.lit(" " + "0a" * 20))).otherwise(F.col("text"))
     before = stage(given.withColumn("text", secret), "test")

@@ -11,9 +11,9 @@ from washboard.llm.components import components
 from washboard.llm.simhash import around, bit_counts, fingerprint, grid_points, simhash_components
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, width=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([" ".join(words)] if words else [])
     if not shingles:
         return 0
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]

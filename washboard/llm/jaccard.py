@@ -13,6 +13,7 @@ if they share an edge with another.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -102,15 +103,21 @@ def set_name(values: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes(), SEED)).astype(np.int64))
 
 
+DESCRIPTION = [T.StructField("j_size", T.LongType()), T.StructField("j_node", T.LongType()), T.StructField("j_edges", T.ArrayType(T.LongType()))]
+
+
+def description(values: np.ndarray, keys: Callable[[np.ndarray], np.ndarray]) -> tuple:
+    """Size and name of a set, and the ``keys`` it is filed under."""
+    return (len(values), set_name(values), keys(values).view(np.int64)) if len(values) else (0, None, [])
+
+
 def described(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
     """``docs`` with j_size, j_node (the set's name) and j_edges in place of the text."""
-    kinds = [("j_size", T.LongType()), ("j_node", T.LongType()), ("j_edges", T.ArrayType(T.LongType()))]
 
     def make(texts: list) -> list[tuple]:
-        sets = [shingle_set(t, words) for t in texts]
-        return [(len(s), set_name(s) if len(s) else None, edges(s, percent).view(np.int64) if len(s) else []) for s in sets]
+        return [description(shingle_set(t, words), lambda s: edges(s, percent)) for t in texts]
 
-    return text_pass(docs, text, T.StructType([T.StructField(*k) for k in kinds]), make)
+    return text_pass(docs, text, T.StructType(DESCRIPTION), make)
 
 
 def set_bytes(docs: DataFrame, text: str, words: int) -> DataFrame:
@@ -188,7 +195,9 @@ def jaccard_components(
 
 
 def all_links(texts: DataFrame, rows: DataFrame, words: int, percent: int, block_members: int) -> DataFrame:
-    """Links (a, b) of nodes that join all sets that similarity joins. ``texts`` are (text_hash, j_text)."""
+    """Links (a, b) of nodes that join all sets that similarity joins, as far as similar sets share one of their ``j_edges``.
+
+    ``texts`` are (text_hash, j_text), ``rows`` (j_text_hash, j_size, j_node, j_edges)."""
     weight = F.col("j_size") + SET_WEIGHT
     filed = rows.select(F.col("j_node").alias("node"), weight.alias("weight"), F.explode("j_edges").alias("edge"))
     shared = filed.groupBy("edge").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("rows"))

@@ -19,11 +19,14 @@ from pyspark.sql import types as T
 
 from washboard.llm.common import stage, text_pass
 from washboard.llm.components import components
+from washboard.llm.jaccard import BLOCK_MEMBERS, DESCRIPTION, all_links, description, mixed, shingle_set
 
 BITS = 64
 SEED = 42
 #: Shingles whose bits are unpacked at once.
 CHUNK = 1 << 14
+#: Bands of minima for candidates of similar sets, and minima of a band.
+BANDS, BAND_ROWS = 20, 5
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -49,10 +52,38 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str, name: str = "fp", keep_text: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str, name: str = "fp", keep_text: bool = False, words: int = 3) -> DataFrame:
     """``docs`` with the fingerprint ``name``, in place of the text unless ``keep_text``."""
     added = T.StructType([T.StructField(name, T.LongType())])
-    return text_pass(docs, text_col, added, lambda texts: ((fingerprint(t),) for t in texts), keep_column=keep_text)
+    return text_pass(docs, text_col, added, lambda texts: ((fingerprint(t, words),) for t in texts), keep_column=keep_text)
+
+
+def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """One key per band of ``rows`` minima of the set under random orders. Two sets of similarity s share one with a chance of
+    1 - (1 - s ** rows) ** bands: 0.9996 for 0.8."""
+    orders = np.random.default_rng(SEED)
+    seeds = orders.integers(0, 2**64, bands * rows, dtype=np.uint64)
+    factors = orders.integers(0, 2**64, bands * rows, dtype=np.uint64) | np.uint64(1)
+    least = np.full(bands * rows, 2**64 - 1, dtype=np.uint64)
+    for i in range(0, len(values), CHUNK // 8):
+        least = np.minimum(least, mixed((values[i : i + CHUNK // 8, None] ^ seeds) * factors).min(axis=0))
+    key = np.arange(bands, dtype=np.uint64)
+    for own in least.reshape(bands, rows).T:
+        key = mixed(key ^ own)
+    return np.unique(key)
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of fingerprints whose texts have similar sets of n-grams, and of those with equal sets.
+
+    Sets that share a band are held against each other exactly, see ``jaccard.all_links``."""
+    links = all_links(docs.select(F.xxhash64("s_text").alias("text_hash"), F.col("s_text").alias("j_text")), rows, words, percent, BLOCK_MEMBERS)
+    owners = stage(rows.filter("j_size > 0").groupBy(F.col("j_node").alias("node"), "s_fp").agg(F.lit(1)).select("node", "s_fp"), "simhash-owners")
+    first = stage(owners.groupBy("node").agg(F.min("s_fp").alias("fp")), "simhash-first")
+    equal = owners.join(first, "node").select(F.col("fp").alias("a"), F.col("s_fp").alias("b"))
+    a, b = first.select(F.col("node").alias("a"), F.col("fp").alias("fp_a")), first.select(F.col("node").alias("b"), F.col("fp").alias("fp_b"))
+    near = links.join(a, "a").join(b, "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    return equal.unionByName(near).filter("a <> b")
 
 
 def bit(k: int) -> int:
@@ -89,9 +120,13 @@ def around(fp: Column) -> Column:
     return F.array(fp, *[fp.bitwiseXOR(F.lit(bit(k))) for k in range(BITS)])
 
 
-def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def simhash_components(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), words: int = 3, similar: int | None = None
+) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``keep``, fingerprint (16 hexadecimal digits), component_id, the smallest id that
-    links of at most 2 differing bits reach, and component_key, a number of the component that is never null.
+    links of at most 2 differing bits reach, and component_key, a number of the component that is never null. Fingerprints are made of
+    shingles of ``words`` words. With ``similar``, texts whose sets of shingles have at least that many percent of their members in common
+    are linked as well; a pair just that similar is missed with a chance of 0.0004, an equal one never.
 
     Null and empty texts and texts without words have fingerprint zero and are linked like others. Repeated rows and ids stay;
     rows without id get the component of their fingerprint (null if no row reached has an id). Texts are read whole. An empty
@@ -99,7 +134,13 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     if {"fingerprint", "component_id", "component_key"} & set(keep):
         raise ValueError("columns would be overwritten")
     selected = docs.select(F.col(id_col), *[F.col(k) for k in keep], F.col(text_col).alias("s_text"))
-    rows = stage(fingerprints(selected, "s_text", "s_fp"), "simhash-rows")
+    if similar:
+        hashed = selected.withColumn("j_text_hash", F.xxhash64("s_text"))
+        added = T.StructType([T.StructField("s_fp", T.LongType()), *DESCRIPTION])
+        made = text_pass(hashed, "s_text", added, lambda texts: ((fingerprint(t, words), *description(shingle_set(t, words), band_keys)) for t in texts))
+        rows = stage(made, "simhash-rows")
+    else:
+        rows = stage(fingerprints(selected, "s_text", "s_fp", words=words), "simhash-rows")
     # one node per fingerprint; the fingerprint itself is the node, its smallest document decides the name
     nodes = stage(rows.groupBy(F.col("s_fp").alias("fp")).agg(F.min(F.col(id_col).cast("bigint")).alias("doc")), "simhash-nodes")
     cells = nodes.select("fp", F.explode(grid_points(F.col("fp"))).alias("cell"))
@@ -108,6 +149,8 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     hubs = stage(near.select("fp", F.explode(around(F.col("fp"))).alias("hub")), "simhash-hubs")
     centres = hubs.groupBy("hub").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hub", "a")
     links = hubs.join(centres, "hub").select("a", F.col("fp").alias("b")).filter("a <> b").distinct()
+    if similar:
+        links = links.unionByName(similar_links(selected, rows, words, similar))
     groups = components(links, "simhash-links")
     known = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "doc", F.coalesce("component", "fp").alias("root"))
     known = stage(known, "simhash-known")
