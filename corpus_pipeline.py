@@ -16,6 +16,9 @@ from washboard.llm.quality import quality_rules
 from washboard.llm.secrets import blob_of, masked, scan_history
 from washboard.llm.simhash import fingerprints, simhash_components
 
+#: Near copies: words of a shingle, and percent of shingles in common.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def by_place(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with columns c0, c1, .., and the new name of each old one."""
@@ -35,12 +38,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, once if its row is repeated.
+    """Of each group of near copies the document with the smallest id, once if its row is repeated. Near copies share 80 % or more of
+    their shingles of five words, or have fingerprints of these that differ in two bits at most.
 
     Texts do not move unless too many rows go for a broadcast: rows to be dropped are known by id and fingerprint."""
     rows, c = by_place(docs)
     doc_id = c["doc_id"]
-    grouped = stage(simhash_components(rows, id_col=doc_id, text_col=c["text"]), "pipeline-groups")
+    grouped = stage(simhash_components(rows, id_col=doc_id, text_col=c["text"], words=NEAR_WORDS, similar=NEAR_PERCENT), "pipeline-groups")
     order = F.struct(F.col("id").isNull(), "id", "fingerprint")
     pairs = grouped.groupBy(F.col(doc_id).alias("id"), "fingerprint", "component_key").agg(F.count(F.lit(1)).alias("rows"))
     pairs = stage(pairs, "pipeline-pairs")
@@ -49,7 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # most rows are alone in their group and do not come up here
     marked = judged.filter(~F.col("stays") | (F.col("rows") > 1)).select("id", F.conv("fingerprint", 16, -10).cast("bigint").alias("marked_fp"), "stays")
     marked = stage(marked, "pipeline-marked")
-    with_fp = fingerprints(rows, c["text"], "fp", keep_text=True)
+    with_fp = fingerprints(rows, c["text"], "fp", keep_text=True, words=NEAR_WORDS)
     joined = with_fp.join(marked, F.col(doc_id).eqNullSafe(F.col("id")) & (F.col("fp") == F.col("marked_fp")), "left")
     repeated = joined.filter("stays").dropDuplicates([doc_id, "fp"])
     return restored(joined.filter(F.col("stays").isNull()).unionByName(repeated), c)
