@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from washboard.operators import lookup
 from washboard.plans.clean import clean_dataset
 from washboard.rules import ColumnRule, RulePack
 from washboard.sinks import outputs
-from washboard.session import release, stage, staging
+from washboard.session import TABLE, release, remember, stage, stage_alone, staging
 from washboard.sources import csv, row_index
 
 
@@ -160,3 +162,18 @@ def test_cleaned_keeps_row_order_and_needs_no_flags(spark, tmp_path, monkeypatch
     parts = sorted((tmp_path / "Banks_Financials" / "Banks_Financials_cleaned.parquet").glob("part-*"))
     notes = [r["note"] for p in parts for r in spark.read.parquet(str(p)).collect()]
     assert notes == [n for _, _, n in data]
+
+
+def test_stage_alone_leaves_one_table(spark):
+    def make():
+        inner = stage(spark.range(5), "inner")
+        spark.range(3).write.mode("overwrite").saveAsTable("wb_leak_test")
+        remember(spark, TABLE + "wb_leak_test")
+        return inner.where("id > 1")
+
+    with staging(spark):
+        kept = stage_alone(spark, make, "outer")
+        assert kept.count() == 3 and not spark.catalog.tableExists("wb_leak_test")
+        folder = Path(kept.inputFiles()[0].removeprefix("file:")).parent.parent
+        assert not list(folder.glob("washboard-inner-*"))
+    assert not list(folder.glob("washboard-outer-*"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -68,11 +68,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/washboard-{label}-{uuid.uuid4().hex}"
 
 
+#: Marks the name of a catalog table among the paths to be deleted.
+TABLE = "table "
+
+
+def remember(spark: SparkSession, path: str) -> str:
+    """Note an intermediate table, by its path or, behind ``TABLE``, its name, for ``staging`` or ``release`` to delete."""
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
-    path = new_path(spark, label)
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = remember(spark, new_path(spark, label))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -101,11 +110,24 @@ def stage_counted(df: DataFrame, label: str, counts: dict[str, Column]) -> tuple
 def _delete(spark: SparkSession, paths: list[str]) -> int:
     count = 0
     while paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        last = paths.pop()
+        if last.startswith(TABLE):
+            spark.sql(f"DROP TABLE IF EXISTS `{last.removeprefix(TABLE)}`")
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(last)
         count += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return count
 
 
+def stage_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``stage`` of what ``make`` returns; the intermediate tables it was made from are deleted, also after a failure."""
+    path = remember(spark, new_path(spark, label))
+    with staging(spark):
+        df = make()
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end the intermediate tables written inside, and no others. What is to stay has to be written out
