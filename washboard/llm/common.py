@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from washboard.session import new_path, stage
+from washboard.session import TABLE, new_path, remember, stage
 
 __all__ = ["documents", "table", "stage", "text_pass", "bucketed", "stage_briefly", "partitions_for", "text_bytes", "WORD", "size_of"]
 
@@ -60,7 +60,9 @@ def bucketed(df: DataFrame, buckets: int, key: str, label: str) -> DataFrame:
     """``df`` written to the shared folder in buckets of ``key`` and read back, so that later groupings by ``key`` leave it
     in place."""
     name = f"washboard_{uuid.uuid4().hex}"
-    writer = df.write.bucketBy(buckets, key).option("path", new_path(df.sparkSession, label)).option("compression", "zstd")
+    path = remember(df.sparkSession, new_path(df.sparkSession, label))
+    remember(df.sparkSession, TABLE + name)
+    writer = df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd")
     writer.format("parquet").saveAsTable(name)
     return df.sparkSession.table(name)
 
@@ -68,7 +70,7 @@ def bucketed(df: DataFrame, buckets: int, key: str, label: str) -> DataFrame:
 def stage_briefly(df: DataFrame, label: str) -> tuple[DataFrame, Callable[[], None]]:
     """``df`` written to the shared folder and read back, and what deletes it once nothing reads it any more."""
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = remember(spark, new_path(spark, label))
     df.write.option("compression", "zstd").parquet(path)
 
     def drop() -> None:
