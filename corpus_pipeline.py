@@ -15,6 +15,7 @@ from washboard.llm.packing import pack_documents
 from washboard.llm.quality import quality_rules
 from washboard.llm.secrets import blob_of, masked, scan_history
 from washboard.llm.simhash import fingerprints, simhash_components
+from washboard.session import stage_alone
 
 #: Near copies: words of a shingle, and percent of shingles in common.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -99,8 +100,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
-    rows = documents(spark, sf_dir)
-    for name, function in STAGES[:-1]:
-        rows = stage(function(spark, rows, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, rows, sf_dir)
+    """All stages over ``documents``, each written and read again before the next; its own intermediate tables and the result of the
+    one before are deleted then. The last result stays as one written table, which ``session.release`` or an outer
+    ``session.staging`` deletes."""
+
+    def upto(n: int) -> DataFrame:
+        name, function = STAGES[n]
+        return stage_alone(spark, lambda: function(spark, upto(n - 1) if n else documents(spark, sf_dir), sf_dir), f"pipeline-{name}")
+
+    return upto(len(STAGES) - 1)
