@@ -55,7 +55,7 @@ def stored_report(spark, folder):
     rows = lines.select(uuid, *maps, F.lit(False).alias("is_dup"), F.lit(False).alias("is_dup_cnic"))
     target = outputs.route_output(new_path(spark, "bench-report"), "banks")
     outputs.write_report(rows, target)
-    return outputs.read_report(spark, target)
+    return outputs.read_report(spark, target), outputs.read_report_index(spark, target)
 
 
 def main() -> None:
@@ -84,7 +84,7 @@ def main() -> None:
             ("record_key", "record_key"), ("scan_csv_text", "scan_csv_text"),
         )
     }
-    spelt, paged = misspelt(wide), stored_report(spark, folder)
+    spelt, (paged, index) = misspelt(wide), stored_report(spark, folder)
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     line_keys = lines.select(F.monotonically_increasing_id().alias("row_idx"), F.col("l_orderkey").cast("string").alias("key"))
     runs = {
@@ -96,7 +96,7 @@ def main() -> None:
         "score_100k_distinct": lambda: canonical.score_labels(TrackedFrame.begin(spelt), pack),
         "repeated_keys_many": lambda: keys.rows_with_repeated_key(line_keys, ["key"], limit=1000),
         "page_deep_stored": lambda: report.page_by_offset(paged, 5_000, 100),
-        "page_cursor_stored": lambda: report.page_by_cursor(paged, report.encode_cursor("300001"), 100),
+        "page_cursor_stored": lambda: report.page_by_cursor(paged, report.encode_cursor("300001"), 100, index),
     }
     consume(registered["clean_dataset"]())  # warm up
     seconds = {}

@@ -50,6 +50,35 @@ def test_pages_of_a_written_report_are_filters(spark, tmp_path):
     assert set(R.ORDER_COLUMNS).isdisjoint(page.rows.columns)
 
 
+@pytest.mark.parametrize("keys", [[str(i) for i in range(100)], NUMERIC, MIXED])
+def test_pages_by_the_stored_index(spark, tmp_path, monkeypatch, keys):
+    monkeypatch.setattr(R, "INDEX_STEP", 7)
+    target = outputs.route_output(str(tmp_path), "banks")
+    flags = [(k, '{"a": 1}' if i % 3 else "{}", i % 5 == 0, None) for i, k in enumerate(keys)]
+    outputs.write_report(spark.createDataFrame(flags, "uuid string, cleaned_values string, is_dup boolean, is_dup_cnic boolean"), target)
+    stored, index = outputs.read_report(spark, target), outputs.read_report_index(spark, target)
+    assert index.rows == len(keys) and index.keys.count() == -(-len(keys) // 7)
+    assert index.summary == R.report_summary(R.report_defaults(stored)).first().asDict()
+    for key in [*keys[::2], " ", "~"] if keys is MIXED else [*keys[::9], "0", "50.5", "1000"]:
+        cursor = R.encode_cursor(key)
+        assert rows(R.page_by_cursor(stored, cursor, 10, index)) == rows(R.page_by_cursor(stored, cursor, 10))
+        assert R.page_metadata(stored, 10, cursor, index=index).first() == R.page_metadata(stored, 10, cursor).first()
+    plan = R.page_by_cursor(stored, R.encode_cursor("5"), 10, index)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(place" in plan
+    page = R.read_page(stored, 10, R.encode_cursor(keys[0]), index=index)
+    assert page.metadata["total_rows"] == len(keys) and page.summary == index.summary
+
+
+def test_index_of_an_empty_report(spark, tmp_path):
+    target = outputs.route_output(str(tmp_path), "banks")
+    outputs.write_report(report_of(spark, ["1"]).where("false"), target)
+    stored, index = outputs.read_report(spark, target), outputs.read_report_index(spark, target)
+    assert index.rows == 0 and set(index.summary.values()) == {0}
+    page = R.read_page(stored, 10, R.encode_cursor("3"), index=index)
+    assert page.rows.count() == 0 and page.metadata["total_pages"] == 1
+    assert outputs.read_report_index(spark, outputs.route_output(str(tmp_path), "certificates", "X")) is None
+
+
 def test_broken_json_is_an_error(spark):
     df = R.report_defaults(spark.createDataFrame([("1", "{broken")], "uuid string, cleaned_values string"))
     with pytest.raises(Exception, match="MALFORMED|FAILFAST"):

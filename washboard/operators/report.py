@@ -19,6 +19,8 @@ VALIDATION_TYPE = "struct<result:string,filters:array<string>>"
 EMPTY_TEXTS = ("", "null", "None", "{}", "[]")
 # Stored with a report, so that a page is a range of places and a cursor a range of keys: the place in sort order, the key as
 # a number where it is one, and whether all keys are.
+#: Rows of a report per row of its index.
+INDEX_STEP = 10_000
 ORDER_COLUMNS = ("place", "key_number", "keys_numeric")
 
 
@@ -146,33 +148,76 @@ def page_by_offset(report: DataFrame, page: int, page_size: int) -> DataFrame:
     return _range(in_stored_order(report), (page - 1) * page_size, page_size)
 
 
-def page_by_cursor(report: DataFrame, cursor: str | None, page_size: int) -> DataFrame:
-    """The next ``page_size`` rows after a cursor; the first ones without a cursor."""
+@dataclass(frozen=True)
+class ReportIndex:
+    """What is stored beside a report: the totals of all its rows, and place and key of every ``INDEX_STEP``-th row."""
+
+    keys: DataFrame
+    rows: int
+    numeric: bool
+    summary: dict
+
+    def before(self, key: str) -> int:
+        """Place of the last indexed row that does not come after ``key``; the row after ``key`` is less than a step behind it."""
+        row = self.keys.where(~after_key(key, self.numeric)).agg(F.max("place")).first()
+        return row[0] or 0
+
+
+def index_rows(stored: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """The table of an index: one row of totals (place -1) and one per step of ``stored``, a written report in stored order."""
+    keys = stored.where(F.col("place") % INDEX_STEP == 0).select("place", F.col("uuid").cast("string").alias("uuid"), "key_number", "keys_numeric")
+    numbers_ = [F.lit(n).cast("bigint").alias(name) for name, n in totals.items()]
+    none = stored.sparkSession.range(1).select(
+        F.lit(-1).cast("bigint").alias("place"), F.lit(None).cast("string").alias("uuid"), F.lit(None).cast("double").alias("key_number"),
+        F.lit(None).cast("boolean").alias("keys_numeric"))
+    return keys.unionByName(none).select("*", *numbers_)
+
+
+def open_index(table: DataFrame) -> ReportIndex:
+    first = table.where("place <= 0").orderBy(F.desc("place")).first().asDict()
+    summary = {name: first[name] for name in summary_counts(table)}
+    return ReportIndex(table.where("place >= 0"), first["rows"], bool(first["keys_numeric"]), summary)
+
+
+def _from_key(report: DataFrame, key: str, index: ReportIndex | None, more: int = 0) -> DataFrame:
+    """Rows that come after ``key``: the first ``more`` of them at least, and all of them where there is no index."""
+    if index is None:
+        return report.where(after_key(key, keys_are_numeric(report)))
+    start = index.before(key)
+    return report.where((F.col("place") >= start) & (F.col("place") <= start + INDEX_STEP + more) & after_key(key, index.numeric))
+
+
+def page_by_cursor(report: DataFrame, cursor: str | None, page_size: int, index: ReportIndex | None = None) -> DataFrame:
+    """The next ``page_size`` rows after a cursor; the first ones without a cursor. With the index of the report one short range of
+    places is read, wherever the cursor points."""
     _check_size(page_size)
     report = in_stored_order(report)
     if cursor is None:
         return _range(report, 0, page_size)
-    rest = report.where(after_key(decode_cursor(cursor), keys_are_numeric(report)))
+    rest = _from_key(report, decode_cursor(cursor), index, page_size)
     return rest.orderBy("place").limit(page_size).drop(*ORDER_COLUMNS)
 
 
-def get_page(report: DataFrame, page_size: int, cursor: str | None = None, page: int | None = None):
+def get_page(report: DataFrame, page_size: int, cursor: str | None = None, page: int | None = None, index: ReportIndex | None = None):
     """One page by number or by cursor (the number wins), the first page without either."""
     if page is None and cursor is not None:
-        return page_by_cursor(report, cursor, page_size)
+        return page_by_cursor(report, cursor, page_size, index)
     return page_by_offset(report, 1 if page is None else page, page_size)
 
 
-def page_metadata(report: DataFrame, page_size: int, cursor: str | None = None, page: int | None = None) -> DataFrame:
+def page_metadata(
+    report: DataFrame, page_size: int, cursor: str | None = None, page: int | None = None, index: ReportIndex | None = None
+) -> DataFrame:
     """One row of page counts and the cursor of the next page (null on the last one).
 
-    The counts follow from the number of rows and the first place of the page; one more row is read for the cursor."""
+    The counts follow from the number of rows, which the index of the report holds, and the first place of the page; one more row
+    is read for the cursor."""
     _check_size(page_size)
     report = in_stored_order(report)
-    total = report.count()
+    total = index.rows if index else report.count()
     start = ((page or 1) - 1) * page_size
     if page is None and cursor is not None:
-        after = report.where(after_key(decode_cursor(cursor), keys_are_numeric(report))).agg(F.min("place")).first()[0]
+        after = _from_key(report, decode_cursor(cursor), index).agg(F.min("place")).first()[0]
         start = total if after is None else after
     returned = max(0, min(page_size, total - start))
     has_more = start + page_size < total
@@ -196,24 +241,32 @@ class Page:
     summary: dict
 
 
-def read_page(report: DataFrame, page_size: int, cursor: str | None = None, page: int | None = None, decode_json: bool = True) -> Page:
-    """One page of a report with everything that is shown around it."""
+def read_page(
+    report: DataFrame, page_size: int, cursor: str | None = None, page: int | None = None, decode_json: bool = True, index: ReportIndex | None = None
+) -> Page:
+    """One page of a report with everything that is shown around it. With the index of the report no count is taken of its rows."""
     report = in_stored_order(report)
-    rows = report_defaults(get_page(report, page_size, cursor, page))
-    counts = page_metadata(report, page_size, cursor, page).first().asDict() | {"cursor": cursor}
-    return Page(decode_report(rows) if decode_json else rows, counts, report_summary(report_defaults(report)).first().asDict())
+    rows = report_defaults(get_page(report, page_size, cursor, page, index))
+    counts = page_metadata(report, page_size, cursor, page, index).first().asDict() | {"cursor": cursor}
+    summary = index.summary if index else report_summary(report_defaults(report)).first().asDict()
+    return Page(decode_report(rows) if decode_json else rows, counts, summary)
 
 
-def report_summary(report: DataFrame) -> DataFrame:
-    """One row: records with changes, with reviews, with a repeated id, with a repeated identity number."""
+def summary_counts(report: DataFrame) -> dict[str, Column]:
+    """Aggregates of a report: records with changes, with reviews, with a repeated id, with a repeated identity number."""
 
     def filled(name: str) -> Column:
-        return F.count_if(~F.coalesce(F.trim(name), F.lit("")).isin(*EMPTY_TEXTS)) if name in report.columns else F.lit(0).cast("bigint")
+        return F.count_if(~F.coalesce(F.trim(name), F.lit("")).isin(*EMPTY_TEXTS)) if name in report.columns else F.sum(F.lit(0)).cast("bigint")
 
     def flagged(name: str) -> Column:
-        return F.count_if(F.col(name)) if name in report.columns else F.lit(0).cast("bigint")
+        return F.count_if(F.col(name)) if name in report.columns else F.sum(F.lit(0)).cast("bigint")
 
-    return report.agg(
-        filled("cleaned_values").alias("total_cleaned"), filled("manual_reviews").alias("total_review"),
-        flagged("is_dup").alias("total_duplicate_uuid"), flagged("is_dup_cnic").alias("total_duplicate_cnic"),
-    )
+    return {
+        "total_cleaned": filled("cleaned_values"), "total_review": filled("manual_reviews"),
+        "total_duplicate_uuid": flagged("is_dup"), "total_duplicate_cnic": flagged("is_dup_cnic"),
+    }
+
+
+def report_summary(report: DataFrame) -> DataFrame:
+    """One row of ``summary_counts``."""
+    return report.agg(*[F.coalesce(c, F.lit(0)).alias(name) for name, c in summary_counts(report).items()])

@@ -78,6 +78,13 @@ def _orders_report(spark, folder) -> DataFrame:
     )
 
 
+def _stored_orders(spark, folder):
+    """The report of the orders, written once, and its index."""
+    target = outputs.route_output(new_path(spark, "out"), "banks")
+    outputs.write_report(_orders_report(spark, folder), target)
+    return outputs.read_report(spark, target), outputs.read_report_index(spark, target)
+
+
 def _events_report(spark, folder) -> DataFrame:
     return from_sql(spark, folder, OLD_REPORT_SQL, "events")
 
@@ -634,15 +641,16 @@ def page_by_offset(spark, folder):
 
 @query
 def page_by_cursor(spark, folder):
-    page = report.page_by_cursor(_orders_report(spark, folder), report.encode_cursor("599"), 100)
+    rows, index = _stored_orders(spark, folder)
+    page = report.page_by_cursor(rows, report.encode_cursor("599"), 100, index)
     return page.withColumn("cursor", report.cursor_column(F.col("uuid")))
 
 
 @query
 def page_metadata(spark, folder):
-    rows = report.in_stored_order(_orders_report(spark, folder))
-    by_page = report.page_metadata(rows, 100, page=7)
-    return by_page.unionByName(report.page_metadata(rows, 100, cursor=report.encode_cursor("650")))
+    rows, index = _stored_orders(spark, folder)
+    by_page = report.page_metadata(rows, 100, page=7, index=index)
+    return by_page.unionByName(report.page_metadata(rows, 100, cursor=report.encode_cursor("650"), index=index))
 
 
 # ---- scalar functions ---------------------------------------------------------------------------
