@@ -11,6 +11,8 @@ group of any size gives as many links as it has members and no pairs.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -58,18 +60,25 @@ def fingerprints(docs: DataFrame, text_col: str, name: str = "fp", keep_text: bo
     return text_pass(docs, text_col, added, lambda texts: ((fingerprint(t, words),) for t in texts), keep_column=keep_text)
 
 
+@lru_cache
+def random_orders(number: int) -> tuple[np.ndarray, np.ndarray]:
+    """What turns 32-bit hashes into as many others, each an order of its own."""
+    draw = np.random.default_rng(SEED)
+    seeds, factors = (draw.integers(0, 2**32, number, dtype=np.uint32) for _ in range(2))
+    return seeds, factors | np.uint32(1)
+
+
 def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
     """One key per band of ``rows`` minima of the set under random orders. Two sets of similarity s share one with a chance of
     1 - (1 - s ** rows) ** bands: 0.9996 for 0.8."""
-    orders = np.random.default_rng(SEED)
-    seeds = orders.integers(0, 2**64, bands * rows, dtype=np.uint64)
-    factors = orders.integers(0, 2**64, bands * rows, dtype=np.uint64) | np.uint64(1)
-    least = np.full(bands * rows, 2**64 - 1, dtype=np.uint64)
-    for i in range(0, len(values), CHUNK // 8):
-        least = np.minimum(least, mixed((values[i : i + CHUNK // 8, None] ^ seeds) * factors).min(axis=0))
+    seeds, factors = random_orders(bands * rows)
+    least = np.full(bands * rows, 2**32 - 1, dtype=np.uint32)
+    short = (values >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(short), CHUNK // 8):
+        least = np.minimum(least, ((short[i : i + CHUNK // 8, None] ^ seeds) * factors).min(axis=0))
     key = np.arange(bands, dtype=np.uint64)
     for own in least.reshape(bands, rows).T:
-        key = mixed(key ^ own)
+        key = mixed(key ^ own.astype(np.uint64))
     return np.unique(key)
 
 
