@@ -177,3 +177,37 @@ def test_stage_alone_leaves_one_table(spark):
         folder = Path(kept.inputFiles()[0].removeprefix("file:")).parent.parent
         assert not list(folder.glob("washboard-inner-*"))
     assert not list(folder.glob("washboard-outer-*"))
+
+
+def test_many_reports_in_one_write(spark, tmp_path):
+    """One write replaces just the targets it has rows for; each is read and listed like one written alone."""
+    root = str(tmp_path)
+    names = ["North", "50% + more", "a=b:c", "é x"]
+
+    def frame(rows):
+        return spark.createDataFrame(rows, "data_type string, ip_name string, uuid string, cleaned_values string")
+
+    outputs.write_report(spark.createDataFrame([("old",)], "uuid string"), outputs.route_output(root, "certificates", "North"))
+    first = [(" Beneficiary ", f" {n} ", str(k), "{}") for n in names for k in (10, 9, 100)] + [("banks", None, "b", "{}"), ("banks", "", "10", "{}")]
+    assert outputs.write_reports(frame(first), root).count() == 5
+    for n in names:
+        stored = outputs.read_report(spark, outputs.route_output(root, "beneficiary", n))
+        assert [r["uuid"] for r in stored.orderBy("place").collect()] == ["9", "10", "100"]
+        assert [r["place"] for r in stored.orderBy("place").collect()] == [0, 1, 2]
+    banks = outputs.read_report(spark, outputs.route_output(root, "financials"))
+    assert [r["uuid"] for r in banks.orderBy("place").collect()] == ["10", "b"]  # a text key: sorted as text
+    # the next write has two of the targets, one of which lay alone before
+    outputs.write_reports(frame([("certificates", "North", "new", "{}"), ("beneficiary", "North", "7", "{}")]), root)
+    read = {n: rows(outputs.read_report(spark, outputs.route_output(root, "beneficiary", n)).orderBy("place"), "uuid") for n in names}
+    assert read == {n: [("7",)] if n == "North" else [("9",), ("10",), ("100",)] for n in names}
+    assert rows(outputs.read_report(spark, outputs.route_output(root, "certificates", "North")), "uuid") == [("new",)]
+    # and a single write takes its target out of the common table
+    outputs.write_report(spark.createDataFrame([("alone",)], "uuid string"), outputs.route_output(root, "beneficiary", "a=b:c"))
+    assert rows(outputs.read_report(spark, outputs.route_output(root, "beneficiary", "a=b:c")), "uuid") == [("alone",)]
+    listed = rows(outputs.list_outputs(spark, root), "data_type", "ip_name", "stem", "file")
+    assert sorted(listed, key=str) == sorted(
+        [("beneficiary", n, n, f"{n}_report.parquet") for n in names] + [("certificates", "North", "North", "North_report.parquet"),
+         ("banks", None, "Banks_Financials", "Banks_Financials_report.parquet")], key=str)
+    for bad in (("planets", None), ("beneficiary", None), ("beneficiary", "a/b"), ("banks", "x"), (None, "x")):
+        with pytest.raises(Exception, match="no target"):
+            outputs.write_reports(frame([(*bad, "1", "{}")]), root)

@@ -141,22 +141,19 @@ def list_outputs(spark, folder):
     _write_by_region(spark, folder, root)
     listed = outputs.list_outputs(spark, root)
     megabytes = F.round(F.sum("length") / outputs.MEGABYTE, 2).alias("stored_mb")
-    stored = outputs.part_files(spark, root).select(F.regexp_extract("path", r"([^/]+)_report\.parquet/[^/]+$", 1).alias("s"), "length")
+    stored = outputs.part_files(spark, root).select(F.regexp_extract("path", r"/stem=([^/]+)/[^/]+$", 1).alias("s"), "length")
     stored = stored.groupBy("s").agg(megabytes)
     joined = listed.join(stored, F.col("stem") == F.col("s"), "left")
     return joined.select("data_type", "ip_name", "stem", "file", (F.col("size_mb") == F.col("stored_mb")).alias("size_right"))
 
 
 def _write_by_region(spark, folder, root):
-    """One small report per region, each under its own ip name, and one for the banks."""
+    """One small report per region, each under its own ip name, and one for the banks, all in one write."""
     nations = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     suppliers = table(spark, folder, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    suppliers = suppliers.select(F.col("s_name").alias("uuid"), "r_name")
-    # one row per region
-    for region in sorted(r["r_name"] for r in table(spark, folder, "region").select("r_name").distinct().collect()):
-        target = outputs.route_output(root, "beneficiary", region)
-        outputs.write_report(suppliers.where(F.col("r_name") == region), target)
-    outputs.write_report(suppliers, outputs.route_output(root, "Banks"))
+    uuid = F.col("s_name").alias("uuid")
+    by_region = suppliers.select(uuid, F.lit("beneficiary").alias("data_type"), F.col("r_name").alias("ip_name"))
+    outputs.write_reports(by_region.unionByName(suppliers.select(uuid, F.lit("Banks").alias("data_type"), F.lit(None).cast("string").alias("ip_name"))), root)
 
 
 @query
