@@ -14,14 +14,15 @@ from washboard.functions import numbers
 from washboard.sources.row_index import by_order
 
 JSON_COLUMNS = ("original_values", "cleaned_values", "manual_reviews")
+# fixed values: what a report holds where nothing was validated, and the texts that count as empty maps
 EMPTY_VALIDATION = '{"result": "PASS", "filters": []}'
 VALIDATION_TYPE = "struct<result:string,filters:array<string>>"
 EMPTY_TEXTS = ("", "null", "None", "{}", "[]")
 # Stored with a report, so that a page is a range of places and a cursor a range of keys: the place in sort order, the key as
 # a number where it is one, and whether all keys are.
-#: Rows of a report per row of its index.
-INDEX_STEP = 10_000
 ORDER_COLUMNS = ("place", "key_number", "keys_numeric")
+# Rows of a report per row of its index.
+INDEX_STEP = 10_000
 
 
 def report_defaults(report: DataFrame) -> DataFrame:
