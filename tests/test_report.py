@@ -135,3 +135,17 @@ def test_defaults_and_decoding(spark):
     assert one["validation_status"]["result"] == "PASS" and two["validation_status"]["result"] == "FAIL"
     assert two["original_values"] == {} and two["cleaned_values"] == {}
     assert R.report_summary(full).first()["total_cleaned"] == 1
+
+
+def test_write_report_makes_each_row_once(spark, tmp_path):
+    # a sort makes what it reads twice, once for its ranges, which for a report are the texts of all its rows
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(key):
+        made.add(1)
+        return key
+
+    report = report_of(spark, [str(k) for k in range(50)]).withColumn("cleaned_values", counted("uuid"))
+    outputs.write_report(report, outputs.route_output(str(tmp_path), "certificates", "Once"))
+    assert made.value == 50

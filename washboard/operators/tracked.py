@@ -57,8 +57,7 @@ def _has(mask: Column, bit: int) -> Column:
 
 def json_text(value: Column) -> Column:
     """A text as a JSON value. Only texts with characters that are escaped go through the JSON writer."""
-    written = F.to_json(F.array(value))
-    escaped = F.substring(written, F.lit(2), F.length(written) - 2)
+    escaped = F.btrim(F.to_json(F.array(value)), F.lit("[]"))  # quotes are what lies at the brackets
     return F.when(value.isNull(), "null").when(value.rlike(r'["\\\x00-\x1f]'), escaped).otherwise(F.concat(F.lit('"'), value, F.lit('"')))
 
 
@@ -170,7 +169,7 @@ class TrackedFrame:
     def changes_json(self) -> Column:
         """``changes`` as JSON text."""
         return self._touched_json(lambda n: self.mask(n) != 0, lambda n: F.concat(
-            F.lit("["), json_text(self.value(n)), F.lit(","), json_text(step_text(self.mask(n))), F.lit("]")))
+            F.lit("["), json_text(self.value(n)), F.lit(',"'), step_text(self.mask(n)), F.lit('"]')))
 
     def reviews_json(self, duplicate_row: Column | None = None) -> Column:
         """``reviews`` as JSON text."""
