@@ -1,7 +1,13 @@
+import re
+
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from washboard.functions import dates as D
+from washboard.operators import dates as date_ops
+from washboard.operators.tracked import TrackedFrame
+from washboard.rules import default_pack
 
 TEXTS = """2024-01-15|2024/1/5|2024.01.05|2024-13-01|13/02/2024|02/13/2024|31/31/2024|1/5/2023|1.5.2023|13/2/75
 01/2024|13/2024|2024-01|2024/05|2024|99|12|45|20240115|20241315|202401|15 Jan 2010|15 January 2010|15-Jan-2010|15Jan2010
@@ -39,3 +45,12 @@ def test_signals_in_unicode_text(spark):
     }
     df = spark.createDataFrame([(t,) for t in expected], "t string").select("t", D.has_date_signal("t").alias("s"), D.is_time_only("t").alias("o"))
     assert {r["t"]: (r["s"], r["o"]) for r in df.collect()} == expected
+
+
+def test_date_step_is_small_enough_for_the_jit(spark):
+    # methods beyond 8,000 bytes are interpreted
+    df = spark.range(3).select(F.col("id").alias("row_idx"), F.col("id").cast("string").alias("day"))
+    step = date_ops.standardize_dates(TrackedFrame.begin(df), ["day"], default_pack(reference_year=2026))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", step.df._jdf.queryExecution().explainString(mode))
+    assert sizes and max(map(int, sizes)) < 8000

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from washboard.operators import banks, canonical, cells, keys, lookup
 from washboard.operators.tracked import TrackedFrame
+from washboard.plans import queries
 from washboard.plans.clean import clean_dataset
 from washboard.plans.fixtures import dirty, dirty_pack
 from washboard.session import stage
@@ -96,3 +97,10 @@ def test_same_row_many_times(spark):
     assert records.select("uuid").distinct().count() == 400
     assert records.where("uuid = '7'").count() == 1
     assert result.summary().first()["duplicate_uuid_rows"] == 200
+
+
+def test_rows_are_dealt_before_they_are_made(spark, sf_dir, monkeypatch):
+    # one split makes all rows in one task, and moves fourteen texts where five columns do
+    monkeypatch.setattr(queries, "clean_dataset", lambda rows, pack: rows)
+    plan = queries._clean(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("CASE WHEN") < plan.index("Exchange")

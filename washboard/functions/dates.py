@@ -80,50 +80,39 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
 
 
-def _month_number(name: Column) -> Column:
-    start = F.position(F.lower(F.substring(name, 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec"))
-    return F.floor((start + F.lit(2)) / F.lit(3)).cast("string")
+def _month_number(month: Column) -> Column:
+    """Number of a month given by number, by name or by quarter (``q2``)."""
+    start = F.position(F.lower(F.substring(month, 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec"))
+    return (
+        F.when(month < "A", month)
+        .when(month.startswith("q"), (F.substring(month, 2, 1).try_cast("int") * 3 - 2).cast("string"))
+        .otherwise(F.floor((start + F.lit(2)) / F.lit(3)).cast("string"))
+    )
+
+
+# The order in which shapes are tried, and where year, month and day stand in them; a fourth part says that month and day may be
+# the other way round. Groups that took no part in the match are empty.
+_SHAPES = (
+    (_YEAR_FIRST, "$1|$2|$3"), (_YEAR_LAST, "$3|$1|$2|either"), (_DAY_NAME, "$3|$2|$1"), (_NAME_DAY, "$3|$1|$2"),
+    (_COMPACT, "$1|$2|$3"), (_YEAR_ONLY, "$0|1|1"), (_YEAR_MONTH, "$1|$2|1"), (_MONTH_YEAR, "$2|$1|1"),
+    (_NAME_YEAR, "$2|$1|1"), (_YEAR_NAME, "$1|$2|$3"), (_QUARTER, "$1$4|q$2$3|1"),
+)
 
 
 def parse_core(core, reference_year: int | None = None) -> Column:
-    """Date of a text that went through ``date_core``; null when it is no date."""
+    """Date of a text that went through ``date_core``; null when it is no date.
+
+    Every shape is first written as ``year|month|day``, so that the steps behind it stand in the plan once."""
     core = as_col(core)
     reference_year = reference_year or date.today().year
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(core, pattern, group)
-
-    first, second, last = (part(_YEAR_LAST, i) for i in (1, 2, 3))
-    year = _full_year(last, reference_year)
-    parsed = (
-        F.when(core.rlike(_YEAR_FIRST), _day(*(part(_YEAR_FIRST, i) for i in (1, 2, 3))))
-        .when(core.rlike(_YEAR_LAST), F.coalesce(_day(year, first, second), _day(year, second, first)))
-        .when(
-            core.rlike(_DAY_NAME),
-            _day(_full_year(part(_DAY_NAME, 3), reference_year), _month_number(part(_DAY_NAME, 2)), part(_DAY_NAME, 1)),
-        )
-        .when(
-            core.rlike(_NAME_DAY),
-            _day(_full_year(part(_NAME_DAY, 3), reference_year), _month_number(part(_NAME_DAY, 1)), part(_NAME_DAY, 2)),
-        )
-        .when(core.rlike(_COMPACT), _day(*(part(_COMPACT, i) for i in (1, 2, 3))))
-        .when(core.rlike(_YEAR_ONLY), _day(core, F.lit("1"), F.lit("1")))
-        .when(core.rlike(_YEAR_MONTH), _day(part(_YEAR_MONTH, 1), part(_YEAR_MONTH, 2), F.lit("1")))
-        .when(core.rlike(_MONTH_YEAR), _day(part(_MONTH_YEAR, 2), part(_MONTH_YEAR, 1), F.lit("1")))
-        .when(core.rlike(_NAME_YEAR), _day(part(_NAME_YEAR, 2), _month_number(part(_NAME_YEAR, 1)), F.lit("1")))
-        .when(
-            core.rlike(_YEAR_NAME),
-            _day(part(_YEAR_NAME, 1), _month_number(part(_YEAR_NAME, 2)), part(_YEAR_NAME, 3)),
-        )
-        .when(
-            core.rlike(_QUARTER),
-            _day(
-                F.concat(part(_QUARTER, 1), part(_QUARTER, 4)),
-                (F.concat(part(_QUARTER, 2), part(_QUARTER, 3)).try_cast("int") * 3 - 2).cast("string"),
-                F.lit("1"),
-            ),
-        )
-    )
+    found = F.lit(None).cast("string")
+    for shape, order in reversed(_SHAPES):
+        found = F.when(core.rlike(shape), F.regexp_replace(core, shape, order)).otherwise(found)
+    parts = F.split(found, r"\|")
+    year, month, day = (F.get(parts, F.lit(i)) for i in range(3))
+    year, month = _full_year(year, reference_year), _month_number(month)
+    swapped = F.when(F.size(parts) > 3, _day(year, day, month))
+    parsed = F.coalesce(F.when(found.isNotNull(), _day(year, month, day)), swapped)
     return F.when(parsed.between(F.lit(FIRST_DAY), F.lit(LAST_DAY)), parsed)
 
 

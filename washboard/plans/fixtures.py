@@ -111,15 +111,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def from_sql(spark: SparkSession, folder: str, sql: str, name: str) -> DataFrame:
-    """Run one of the texts above over the table it reads."""
+def from_sql(spark: SparkSession, folder: str, sql: str, name: str, deal_by: str | None = None) -> DataFrame:
+    """Run one of the texts above over the table it reads, dealt out to all cores by the column ``deal_by``."""
     view = f"washboard_{name}"
-    table(spark, folder, name).createOrReplaceTempView(view)
+    rows = table(spark, folder, name)
+    if deal_by:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism, deal_by)
+    rows.createOrReplaceTempView(view)
     return spark.sql(sql.replace(f"FROM {name}", f"FROM {view}"))
 
 
-def dirty(spark: SparkSession, folder: str) -> DataFrame:
-    return from_sql(spark, folder, DIRTY_SQL, "customer")
+def dirty(spark: SparkSession, folder: str, deal: bool = False) -> DataFrame:
+    return from_sql(spark, folder, DIRTY_SQL, "customer", "c_custkey" if deal else None)
 
 
 def dirty_with_copies(spark: SparkSession, folder: str) -> DataFrame:

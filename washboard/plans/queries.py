@@ -60,8 +60,7 @@ def _rule(name: str):
 
 def _clean(spark, folder) -> CleanResult:
     # the test tables are one split each; a caller deals rows out to as many tasks as suit the cluster
-    rows = dirty(spark, folder).repartition(spark.sparkContext.defaultParallelism, ROW_COLUMN)
-    return clean_dataset(rows, dirty_pack())
+    return clean_dataset(dirty(spark, folder, deal=True), dirty_pack())
 
 
 def _column(t: TrackedFrame, name: str) -> DataFrame:
