@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from washboard.plans import queries
 from washboard.sources import csv
 from washboard.sources.records import ends_inside, file_splits
 
@@ -105,3 +106,60 @@ def test_mixed_charsets_are_one_scan(spark, tmp_path):
     assert sorted(tuple(r) for r in df.collect()) == [("1", "café"), ("2", "café")]
     final = str(df._jdf.queryExecution().executedPlan().toString()).split("== Initial Plan ==")[0]
     assert final.count("Scan text") == 1 and "Union" not in final
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_both_passes_find_the_same_splits(spark, tmp_path, monkeypatch, late):
+    """Settings change, or executors come and go, between the two passes, or else between the call and the job."""
+    text, data = table(5, 80, 2)
+    (tmp_path / "a.csv").write_text(text)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+
+    def split(size):
+        for name, value in zip(names, (size, "1", "1")):
+            spark.conf.set(name, value)
+
+    def splits_then_change(*args, found=csv.file_splits, **options):
+        splits = found(*args, **options)
+        split("300")
+        return splits
+
+    if not late:
+        monkeypatch.setattr(csv, "file_splits", splits_then_change)
+    try:
+        split("100000" if late else "700")
+        df = csv.scan_csv_text(spark, str(tmp_path), na=())
+        split("300")
+        assert sorted(tuple(v or "" for v in r) for r in df.collect()) == sorted(map(tuple, data))
+        df.createOrReplaceTempView("both_passes")
+        assert spark.table("both_passes").count() == len(data)
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
+def test_quoted_empty_fields_are_empty_texts(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b,c\n1,"",\n"",x,""\n2\n')
+    found = {tuple(r) for r in csv.scan_csv_text(spark, str(tmp_path), na=()).collect()}
+    assert found == {("1", "", None), ("", "x", ""), ("2", None, None)}
+    assert csv.scan_csv_text(spark, str(tmp_path)).where("b = '' or c = ''").count() == 0
+
+
+ODD = ["", None, " ", "\r", "\r\n", "a\r", "\n\n", "\\", '\\"', '"', '""', 'a"', '"a', ",", 'a,"\n"b', "\ufeffx", "\x00", "#c", "\x1aend\x1a", "\xa0", "\x85", "é", "Ã©", "\u2028", " x ", "null", "ï»¿x", 'a\x00"', '\x00"\n', "\uffff", 'a\uffff"']
+
+
+@pytest.mark.parametrize("name", ["scan_csv_text"])
+def test_odd_documents_come_back(spark, tmp_path, name):
+    texts = [(lang, "s", text) for lang in ("en", "de") for text in ODD] + [(odd, odd, "text") for odd in ODD]
+    docs = [(i, *row) for i, row in enumerate(texts)]
+    schema = "doc_id long, lang string, source string, text string"
+    spark.createDataFrame(docs, schema).repartition(len(docs)).write.parquet(str(tmp_path / "documents.parquet"))
+    # a file for each row, since a charset is found per file
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        df = queries.REGISTRY[name](spark, str(tmp_path))
+        found = {r["doc_id"]: r.asDict() for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wanted = {str(d[0]): dict(zip(("doc_id", "lang", "source", "text"), (str(d[0]), *d[1:]))) for d in docs}
+    assert found == {k: {c: w[c] for c in df.columns} for k, w in wanted.items()}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from washboard import domain
 from washboard.functions.text import na_on_load
 from washboard.session import stage
-from washboard.sources.records import file_splits, read_records
+from washboard.sources.records import file_splits, read_lines, read_records
 from washboard.sources.row_index import in_file_order
 
 FALLBACK_CHARSET = "ISO-8859-1"
@@ -16,6 +18,7 @@ BOM = "\ufeff"
 # Column with the text of records whose number of fields is not the header's, and a text that no field holds.
 RECORD = "_unread_record"
 MARK = "\x1aend\x1a"
+END_OF_INPUT = "\uffff"
 
 
 def file_charsets(spark: SparkSession, path) -> DataFrame:
@@ -51,7 +54,8 @@ def _extra_fields(record: Column, width: int) -> Column:
     first ``width`` fields."""
     fields = ", ".join(f"f{i} string" for i in range(width + 1))
     marked = F.concat(F.regexp_replace(record, r"[\r\n]+$", ""), F.lit("," + MARK))
-    return ~F.array_contains(F.array(*[F.coalesce(F.from_csv(marked, fields, {"escape": '"'})[f"f{i}"], F.lit("")) for i in range(width + 1)]), MARK)
+    options = {"escape": '"', "charToEscapeQuoteEscaping": END_OF_INPUT}
+    return ~F.array_contains(F.array(*[F.coalesce(F.from_csv(marked, fields, options)[f"f{i}"], F.lit("")) for i in range(width + 1)]), MARK)
 
 
 def scan_csv_text(
@@ -61,9 +65,11 @@ def scan_csv_text(
 
     Files are split among tasks, also inside quotes; ``multi_line=False`` saves the search for quotes where no field has line
     breaks, and makes each line a record. ``na`` lists the texts read as null. ``position`` keeps the columns that ``in_file_order``
-    needs. Fields missing at the end of a record are null; a record with more fields than the header is an error when its rows are
-    read, as is a file whose header differs from the first one's. Files without any line are passed over."""
-    splits = file_splits(spark, path, quotes=multi_line)
+    needs. Empty fields are null, quoted ones are empty texts, and fields missing at the end of a record are null; a record with more
+    fields than the header is an error when its rows are read, as is a file whose header differs from the first one's. Files without
+    any line are passed over."""
+    lines = read_lines(spark, path)
+    splits = file_splits(spark, path, quotes=multi_line, lines=lines)
     first = splits.agg(F.min(F.struct("path", "latin")).alias("file")).first()["file"]
     if first is None:
         raise FileNotFoundError(f"no CSV data under {path}")
@@ -73,8 +79,12 @@ def scan_csv_text(
     names = header_names(list(head))
     fields = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"{n} string" for n in [*fields, RECORD])
-    options = {"escape": '"', "columnNameOfCorruptRecord": RECORD}
-    rows = read_records(spark, path, splits, quotes=multi_line).withColumn("fields", F.from_csv("text", schema, options))
+    # only what is not there is null: the parser's own mark for it, an empty text, is that of a quoted empty field too
+    absent, end = (f"\x1a{uuid.uuid4().hex}" for _ in range(2))
+    # U+FFFF ends the parser's input, so another text stands for it; as the escape of escapes, which is NUL by default, it never occurs
+    options = {"escape": '"', "columnNameOfCorruptRecord": RECORD, "nullValue": absent, "charToEscapeQuoteEscaping": END_OF_INPUT}
+    parsed = F.from_csv(F.replace("text", F.lit(END_OF_INPUT), F.lit(end)), schema, options)
+    rows = read_records(lines, splits, quotes=multi_line).withColumn("fields", parsed)
     own = F.array(*[F.lower(F.regexp_replace(F.coalesce(F.col("fields")[n], F.lit("")), f"^{BOM}", "")) for n in fields])
     wanted = F.array(*[F.lower(F.lit((n or "").removeprefix(BOM))) for n in head])
     same = (own == wanted) & F.col("fields")[RECORD].isNull()
@@ -83,7 +93,7 @@ def scan_csv_text(
     record = F.col("fields")[RECORD]
     failed = record.isNotNull() & _extra_fields(record, len(names))
     error = F.raise_error(F.concat(F.lit(f"more than {len(names)} fields: "), F.substring(record, 1, 200)))
-    values = [F.col("fields")[n] for n in fields]
+    values = [F.replace(F.col("fields")[n], F.lit(end), F.lit(END_OF_INPUT)) for n in fields]
     values[0] = F.when(failed, error.cast("string")).otherwise(values[0])
     place = [F.col("path").alias("_file"), F.col("block").alias("_block"), F.col("seq").alias("_local")] if position else []
     return rows.select(*[(na_on_load(v, na) if na else v).alias(n) for v, n in zip(values, names)], *place)
