@@ -148,7 +148,7 @@ def test_quoted_empty_fields_are_empty_texts(spark, tmp_path):
 ODD = ["", None, " ", "\r", "\r\n", "a\r", "\n\n", "\\", '\\"', '"', '""', 'a"', '"a', ",", 'a,"\n"b', "\ufeffx", "\x00", "#c", "\x1aend\x1a", "\xa0", "\x85", "é", "Ã©", "\u2028", " x ", "null", "ï»¿x", 'a\x00"', '\x00"\n', "\uffff", 'a\uffff"']
 
 
-@pytest.mark.parametrize("name", ["scan_csv_text"])
+@pytest.mark.parametrize("name", ["scan_csv_text", "csv_encoding_ladder"])
 def test_odd_documents_come_back(spark, tmp_path, name):
     texts = [(lang, "s", text) for lang in ("en", "de") for text in ODD] + [(odd, odd, "text") for odd in ODD]
     docs = [(i, *row) for i, row in enumerate(texts)]
